@@ -56,7 +56,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75
         .groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     )
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
-    return counts.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
+    return counts.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 7).alias("score"))
 
 
 def ranked(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
@@ -170,8 +170,8 @@ def containing_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     token is compared with every term.
     """
     lengths = terms.agg(F.min(F.length("term")).alias("lo"), F.max(F.length("term")).alias("hi"))
-    lo, hi = lengths.select("lo").scalar(), lengths.select("hi").scalar()
-    n = F.length("token")
+    tokens = tokens.withColumn("_lo", lengths.select("lo").scalar()).withColumn("_hi", lengths.select("hi").scalar())
+    lo, hi, n = F.col("_lo"), F.col("_hi"), F.length("token")
     pieces = F.flatten(
         F.transform(
             F.sequence(F.lit(1), n),

@@ -25,7 +25,7 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 def _best(sims: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int, floor: float | None, skip_self: bool) -> pd.DataFrame:
     """The k best rows of every query column, best first, smaller id first on equal similarity."""
-    sims = np.round(sims, 9)
+    sims = np.round(sims, 7)
     out = []
     for j, query_id in enumerate(query_ids):
         column = sims[:, j]
@@ -192,6 +192,6 @@ def sparse_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFra
     ).where(F.col("len") > 0).select(key, "dim", (F.col("w") / F.col("len")).alias("w"))
     q = unit(queries, "query_id").withColumnRenamed("w", "qw")
     v = unit(vectors, "id")
-    scores = v.join(q, "dim").groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("similarity"))
+    scores = v.join(q, "dim").groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 7).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -46,3 +46,43 @@ query_vectors AS (
 
 def with_(*parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n"
+
+
+MENTIONS = f"""
+doc_words AS (SELECT DISTINCT doc_id, unnest({words_of('text')}) AS w FROM documents),
+concepts AS (SELECT w FROM doc_words GROUP BY w HAVING count(*) BETWEEN 2 AND 50),
+mentions AS (
+  SELECT DISTINCT chunk_id, doc_id, w AS entity_text, 'concept' AS entity_type, 0.6 AS confidence
+  FROM (SELECT chunk_id, doc_id, unnest({words_of('content')}) AS w FROM chunks)
+  WHERE w IN (SELECT w FROM concepts)
+)"""
+
+
+def bm25(k: int) -> str:
+    """``t_leg``: the k best chunks of every query (needs chunks and query_terms)."""
+    return f"""
+tok AS (SELECT chunk_id, ws, len(ws) AS dl FROM (SELECT chunk_id, {words_of('content')} AS ws FROM chunks)),
+st AS (SELECT count(*) AS n, avg(dl) AS a FROM tok),
+post AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl
+         FROM (SELECT chunk_id, dl, unnest(ws) AS term FROM tok) GROUP BY 1, 2),
+dfq AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+bm AS (
+  SELECT query_id, chunk_id,
+         round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 7) AS score
+  FROM query_terms JOIN dfq USING (term) JOIN post USING (term), st GROUP BY 1, 2),
+t_leg AS (
+  SELECT query_id, chunk_id, score, score / (score + 1) AS rank_score,
+         row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+  FROM bm QUALIFY rank <= {k})"""
+
+
+def vector_leg(k: int, floor: float) -> str:
+    """``v_leg``: the k nearest chunks of every query (needs chunks and query_vectors)."""
+    return f"""
+vec_scores AS (
+  SELECT q.query_id, c.chunk_id, round(list_cosine_similarity(q.query_vec, CAST(e.embedding AS DOUBLE[])), 7) AS sim
+  FROM chunks c JOIN embeddings e ON c.doc_id = e.vec_id CROSS JOIN query_vectors q),
+v_leg AS (
+  SELECT query_id, chunk_id, greatest(0, least(1, sim)) AS similarity,
+         row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank
+  FROM vec_scores WHERE sim >= {floor} QUALIFY rank <= {k})"""

@@ -41,3 +41,21 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.join(items, "vec_id", "left_semi").select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")
     )
+
+
+def concept_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity mentions of type ``concept``: words found in 2 to 50 documents, once per chunk."""
+    docs = load(spark, sf_dir, "documents")
+    doc_words = docs.select(F.explode(F.array_distinct(tx.words(F.col("text")))).alias("w"))
+    concepts = doc_words.groupBy("w").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 50").select("w")
+    in_chunks = chunks(spark, sf_dir).select(
+        "chunk_id", "doc_id", F.explode(F.array_distinct(tx.words(F.col("content")))).alias("w"))
+    return in_chunks.join(concepts, "w", "left_semi").select(
+        "chunk_id", "doc_id", F.col("w").alias("entity_text"), F.lit("concept").alias("entity_type"),
+        F.lit(0.6).alias("confidence"))
+
+
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with the vector of their document, NULL where the document has none."""
+    vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), "label")
+    return chunks(spark, sf_dir).join(vectors, "doc_id", "left")
