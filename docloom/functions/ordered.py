@@ -46,3 +46,23 @@ def sliced_lag(
         .withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev")))
         .drop("_v", "_prev", "_first", "_carry")
     )
+
+
+def order_statistic(df: DataFrame, group: Sequence[str], value: str, index: Column, width: float = 0.001, name: str = "picked") -> DataFrame:
+    """The value at a 0-based ``index`` of each group's sorted values, without sorting whole groups.
+
+    Values are counted per ``width``-wide slice; only the slice that holds the index is sorted.
+    ``index`` may use the group's row count as column ``n``.
+    """
+    sliced = df.where(F.col(value).isNotNull()).withColumn("_slice", F.floor(F.col(value) / F.lit(width)))
+    counts = sliced.groupBy(*group, "_slice").agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(*group)
+    located = (
+        counts.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
+        .withColumn("n", F.sum("_c").over(everything)).withColumn("_i", F.least(index, F.col("n") - 1))
+        .where((F.col("_before") <= F.col("_i")) & (F.col("_i") < F.col("_before") + F.col("_c")))
+    )
+    inside = sliced.join(located, [*group, "_slice"]).withColumn(
+        "_rn", F.row_number().over(Window.partitionBy(*group).orderBy(value)) + F.col("_before") - 1)
+    return inside.where(F.col("_rn") == F.col("_i")).select(*group, "n", F.col(value).alias(name))
