@@ -13,15 +13,15 @@ from docloom.plans.evaluation import rounded
 from docloom.plans.registry import query
 
 MENTIONED = sq.with_(sq.CHUNKS, sq.MENTIONS) + """,
-named AS (SELECT chunk_id, m.doc_id, CASE WHEN d.lang = 'en' THEN upper(entity_text) ELSE entity_text END AS entity_text, entity_type, confidence FROM mentions m JOIN documents d ON d.doc_id = m.doc_id),
+named AS (SELECT chunk_id, m.doc_id, CASE WHEN d.lang = 'en' THEN replace(entity_text, 'e', 'E') ELSE entity_text END AS entity_text, entity_type, confidence FROM mentions m JOIN documents d ON d.doc_id = m.doc_id),
 ids AS (SELECT *, 'ent_' || substr(md5(lower(entity_text) || ':' || lower(entity_type)), 1, 12) AS id FROM named)"""
 
 
 def mentioned(spark, sf_dir):
-    """Concept mentions; English documents write them in capitals, so case variants exist."""
+    """Concept mentions; English documents write a capital E, so case variants exist."""
     docs = tables.load(spark, sf_dir, "documents").select("doc_id", "lang")
     m = tables.concept_mentions(spark, sf_dir).join(docs, "doc_id")
-    return m.withColumn("entity_text", F.when(F.col("lang") == "en", F.upper("entity_text")).otherwise(F.col("entity_text"))).drop("lang")
+    return m.withColumn("entity_text", F.when(F.col("lang") == "en", F.replace("entity_text", F.lit("e"), F.lit("E"))).otherwise(F.col("entity_text"))).drop("lang")
 
 
 @query("grf1_entity_ids", MENTIONED + " SELECT id, count(*) AS n_mentions, count(DISTINCT entity_text) AS n_spellings, count(DISTINCT chunk_id) AS n_chunks FROM ids GROUP BY 1")

@@ -59,11 +59,11 @@ def compare(spark, fn, sql: str | None, sf: str):
     wn, w = rows_of(want_names, want)
     if gn != wn:
         return False, f"columns {gn} != {wn}", len(got)
-    if len(g) != len(w):
-        return False, f"rows {len(g)} != {len(w)}; {[x for x in g if x not in set(w)][:2]} / {[x for x in w if x not in set(g)][:2]}", len(got)
     bad = [(a, b) for a, b in zip(g, w) if a != b]
+    sg, sw = set(g), set(w)
+    if len(g) != len(w):
+        return False, f"rows {len(g)} != {len(w)}; {[x for x in g if x not in sw][:2]} / {[x for x in w if x not in sg][:2]}", len(got)
     if bad:
-        sg, sw = set(g), set(w)
         only_g = [x for x in g if x not in sw][:3]
         only_w = [x for x in w if x not in sg][:3]
         return False, f"{gn}: {len(bad)} differ; spark {str(only_g)[:600]} / sql {str(only_w)[:600]}", len(got)
