@@ -190,33 +190,47 @@ def grf9(spark, sf_dir):
     return labels.groupBy("label").agg(F.count("*").alias("size"))
 
 
+GROUPED = "WITH" + TRIPLES + """,
+adj AS (SELECT DISTINCT subject AS src, object AS dst FROM tr UNION SELECT object, subject FROM tr),
+lb AS (SELECT 'C' || c_custkey AS id, c_nationkey AS label, 'customer' AS type FROM customer UNION ALL SELECT 'S' || s_suppkey, s_nationkey, 'supplier' FROM supplier
+  UNION ALL SELECT 'P' || p_partkey, p_size % 25, 'part' FROM part)"""
+
+
+def grouped(spark, sf_dir):
+    """A given labelling to score: nation of customers and suppliers, size class of parts."""
+    part = lambda table, prefix, key, label, kind: tables.load(spark, sf_dir, table).select(
+        F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"), label.alias("label"), F.lit(kind).alias("type"))
+    return (
+        part("customer", "C", "c_custkey", F.col("c_nationkey"), "customer")
+        .unionByName(part("supplier", "S", "s_suppkey", F.col("s_nationkey"), "supplier"))
+        .unionByName(part("part", "P", "p_partkey", F.col("p_size") % 25, "part")))
+
+
 @query(
     "grf10_modularity",
-    PROPAGATED + f""",
+    GROUPED + """,
 d AS (SELECT src, count(*) AS d FROM adj GROUP BY 1), t AS (SELECT count(*)::DOUBLE AS two_m FROM adj),
-s AS (SELECT count(*)::DOUBLE AS inside, sum((da.d * db.d)::DOUBLE) AS prod FROM adj JOIN l{_ROUNDS} a ON a.id = adj.src JOIN l{_ROUNDS} b ON b.id = adj.dst JOIN d da ON da.src = adj.src JOIN d db ON db.src = adj.dst WHERE a.label = b.label),
-k AS (SELECT sum(k * k) AS k2 FROM (SELECT sum(d)::DOUBLE AS k FROM l{_ROUNDS} JOIN d ON d.src = id GROUP BY label))
+s AS (SELECT count(*)::DOUBLE AS inside, sum((da.d * db.d)::DOUBLE) AS prod FROM adj JOIN lb a ON a.id = adj.src JOIN lb b ON b.id = adj.dst JOIN d da ON da.src = adj.src JOIN d db ON db.src = adj.dst WHERE a.label = b.label),
+k AS (SELECT sum(k * k) AS k2 FROM (SELECT sum(d)::DOUBLE AS k FROM lb JOIN d ON d.src = id GROUP BY label))
 SELECT round((inside - prod / two_m) / two_m, 9) AS edge_only, round(inside / two_m - k2 / (two_m * two_m), 9) AS standard FROM s, k, t""",
 )
 def grf10(spark, sf_dir):
-    return rounded(gr.modularity(simple_edges(spark, sf_dir), propagated(spark, sf_dir)), "edge_only", "standard", digits=9)
+    return rounded(gr.modularity(simple_edges(spark, sf_dir), grouped(spark, sf_dir).select("id", "label")), "edge_only", "standard", digits=9)
 
 
 @query(
     "grf11_community_table",
-    PROPAGATED + f""",
-lb AS (SELECT id, label, CASE substr(id, 1, 1) WHEN 'C' THEN 'customer' WHEN 'S' THEN 'supplier' ELSE 'part' END AS type FROM l{_ROUNDS}),
+    GROUPED + """,
 dg AS (SELECT adj.src AS id, count(*) AS degree FROM adj JOIN lb a ON a.id = adj.src JOIN lb b ON b.id = adj.dst WHERE a.label = b.label GROUP BY 1),
 mb AS (SELECT lb.*, coalesce(degree, 0) AS degree FROM lb LEFT JOIN dg USING (id)),
 ty AS (SELECT label, type, count(*) AS n FROM mb GROUP BY 1, 2),
-sz AS (SELECT label, CAST(sum(n) AS BIGINT) AS size, arg_min(type, (-n, type)) AS main_type FROM ty GROUP BY 1 HAVING sum(n) >= 3 ORDER BY size DESC, label LIMIT 50),
+sz AS (SELECT label, CAST(sum(n) AS BIGINT) AS size, arg_min(type, (-n, type)) AS main_type FROM ty GROUP BY 1 HAVING sum(n) >= 3 ORDER BY size DESC, label LIMIT 20),
 tp AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY degree DESC, id) AS r FROM mb QUALIFY r <= 5)
-SELECT label, size, main_type, string_agg(id, ',' ORDER BY r) AS key_members FROM sz JOIN tp USING (label) GROUP BY 1, 2, 3""",
+SELECT CAST(label AS INTEGER) AS label, size, main_type, string_agg(id, ',' ORDER BY r) AS key_members FROM sz JOIN tp USING (label) GROUP BY 1, 2, 3""",
 )
 def grf11(spark, sf_dir):
-    labels = propagated(spark, sf_dir)
-    kind = F.when(F.startswith("id", F.lit("C")), "customer").when(F.startswith("id", F.lit("S")), "supplier").otherwise("part")
-    return gr.community_table(simple_edges(spark, sf_dir), labels, labels.select("id", kind.alias("type")), 3, 50)
+    labels = grouped(spark, sf_dir)
+    return gr.community_table(simple_edges(spark, sf_dir), labels.select("id", "label"), labels.select("id", "type"), 3, 20)
 
 
 @query("grf12_multi_level")
