@@ -39,25 +39,42 @@ class RateLimiter(StatefulProcessor):
         self.limit, self.window = limit, window_s * MICROS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getListState("accepted", "at bigint", self.window // 1000)
+        self.handle = handle
+        self.state = handle.getListState("accepted", "at bigint")
+
+    def _keep(self, accepted: list[int]) -> None:
+        """Store the window and wake up when its newest entry has left it."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if accepted:
+            self.state.put([(t,) for t in accepted])
+            self.handle.registerTimer((accepted[-1] + self.window) // 1000 + 1)
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         accepted = [r[0] for r in self.state.get()]
         batch = _ordered(rows, ["at", "event_id"])
         allowed = [admit(accepted, int(t), self.limit, self.window) for t in batch["at"]]
-        self.state.put([(t,) for t in accepted]) if accepted else self.state.clear()
+        self._keep(accepted)
         yield pd.DataFrame({"key": key[0], "event_id": batch["event_id"].to_numpy(), "allowed": allowed})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Nothing in the window any more: forget the key."""
+        self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def rate_limit(events: DataFrame, limit: int, window_s: int) -> DataFrame:
+def rate_limit(events: DataFrame, limit: int, window_s: int, delay: str = "10 minutes") -> DataFrame:
     """``(key, event_id, allowed)`` for every event. ``events(key, event_id, ts)``; rejected events do not count."""
-    keyed = events.select("key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    timed = events.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    keyed = timed.withColumn("at", F.unix_micros("ts"))
     return keyed.groupBy("key").transformWithStateInPandas(
         statefulProcessor=RateLimiter(limit, window_s), outputStructType=StructType.fromDDL("key long, event_id long, allowed boolean"),
-        outputMode="Append", timeMode="ProcessingTime")
+        outputMode="Append", timeMode="EventTime")
 
 
 # ---- circuit breaker -----------------------------------------------------------------------
@@ -122,37 +139,55 @@ def circuit_breaker(outcomes: DataFrame, failures: int = 5, successes: int = 3,
 # ---- retry deadlines -----------------------------------------------------------------------
 
 
+def attempt(state: tuple[int, int], at: int, ok: bool, waits: Sequence[int], max_retries: int):
+    """Next (attempts, due) after an outcome, and what it makes known.
+
+    ``due`` is the moment of the pending retry in microseconds, 0 without one. A retry that became
+    due before this outcome is reported first; success or exhaustion starts afresh.
+    """
+    attempts, due = state
+    known = [(attempts, due, "retry_due")] if due and due <= at else []
+    if ok:
+        return (0, 0), known
+    attempts += 1
+    if attempts > max_retries:
+        return (0, 0), [*known, (attempts, at, "exhausted")]
+    return (attempts, at + waits[min(attempts - 1, len(waits) - 1)] * MICROS), known
+
+
 class RetryTimer(StatefulProcessor):
     def __init__(self, waits_s: Sequence[int], max_retries: int) -> None:
         self.waits, self.max_retries = list(waits_s), max_retries
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("delivery", "attempts int")
+        self.state = handle.getValueState("delivery", "attempts int, due bigint")
 
-    def _row(self, key, attempt: int, due: int, what: str) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]], "attempt": [attempt], "due_s": [due], "what": [what]})
+    @staticmethod
+    def _rows(key, known) -> pd.DataFrame:
+        rows = [(key[0], n, due // MICROS, what) for n, due, what in known]
+        return pd.DataFrame(rows, columns=["key", "attempt", "due_s", "what"]).astype({"key": "int64", "attempt": "int32", "due_s": "int64", "what": "object"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        attempts = self.state.get()[0] if self.state.exists() else 0
-        for row in _ordered(rows, ["at"]).itertuples():
-            if row.ok:
-                for timer in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(timer)
-                self.state.clear()
-                return
-            attempts += 1
-            if attempts > self.max_retries:
-                self.state.clear()
-                yield self._row(key, attempts, int(row.at) // MICROS, "exhausted")
-                return
-            due_ms = int(row.at) // 1000 + self.waits[min(attempts - 1, len(self.waits) - 1)] * 1000
-            self.handle.registerTimer(due_ms)
-        self.state.update((attempts,))
+        current = tuple(self.state.get()) if self.state.exists() else (0, 0)
+        known = []
+        for row in _ordered(rows, ["at", "event_id"]).itertuples():
+            current, more = attempt(current, int(row.at), bool(row.ok), self.waits, self.max_retries)
+            known += more
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if current[1]:
+            self.state.update(current)
+            self.handle.registerTimer(current[1] // 1000)
+        else:
+            self.state.clear()
+        yield self._rows(key, known)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            yield self._row(key, self.state.get()[0], expiredTimerInfo.getExpiryTimeInMs() // 1000, "retry_due")
+        attempts, due = self.state.get() if self.state.exists() else (0, 0)
+        if due:
+            self.state.update((attempts, 0))
+            yield self._rows(key, [(attempts, due, "retry_due")])
 
     def close(self) -> None:
         pass
@@ -161,9 +196,9 @@ class RetryTimer(StatefulProcessor):
 def retry_deadlines(attempts: DataFrame, waits_s: Sequence[int] = (60, 300, 900, 3600), max_retries: int = 5, delay: str = "10 minutes") -> DataFrame:
     """Failed deliveries come back when their wait is over in event time, until retries run out.
 
-    ``attempts(key, ts, ok)``; output ``(key, attempt, due_s, what)`` with what = retry_due or exhausted.
+    ``attempts(key, event_id, ts, ok)``; output ``(key, attempt, due_s, what)`` with what = retry_due or exhausted.
     """
-    keyed = attempts.select("key", F.col("ts").cast("timestamp").alias("ts"), "ok").withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    keyed = attempts.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"), "ok").withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
     return keyed.groupBy("key").transformWithStateInPandas(
         statefulProcessor=RetryTimer(waits_s, max_retries), outputStructType=StructType.fromDDL("key long, attempt int, due_s long, what string"),
         outputMode="Append", timeMode="EventTime")
