@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions import sizing
 from docloom.functions import text as tx
 
 MAX_K = 100
@@ -35,13 +36,15 @@ def take_top(scored: DataFrame, k: int, score: str = "score", key: str = "chunk_
 def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi score of every (query, chunk) that shares a term: ``(query_id, chunk_id, score)``.
 
-    Tokens are reduced to the query vocabulary before anything moves, and one exchange on
-    ``chunk_id`` serves both the term counts and the score sums.
+    Tokens are reduced to the query vocabulary before anything moves. With a query side small
+    enough to be held by every task, one exchange on ``chunk_id`` serves both the term counts and
+    the score sums.
     """
     tokens = chunks.select("chunk_id", tx.words(F.col("content")).alias("ws"))
     totals = tokens.agg(F.count("*").alias("n"), F.avg(F.size("ws")).alias("avg_len"))
     n, avg_len = totals.select("n").scalar(), totals.select("avg_len").scalar()
-    vocabulary = queries.select("term").distinct()
+    small = sizing.is_small(queries)
+    vocabulary = sizing.small_side(queries.select("term").distinct(), small)
     doc_freq = (
         tokens.select(F.explode(F.array_distinct("ws")).alias("term"))
         .join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
@@ -56,7 +59,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75
         .groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     )
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
-    return counts.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 7).alias("score"))
+    return counts.join(sizing.small_side(weighted, small), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 7).alias("score"))
 
 
 def ranked(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
@@ -78,7 +81,8 @@ def boolean_match(queries: DataFrame, chunks: DataFrame) -> DataFrame:
         "*", F.explode(F.when(F.size(required) > 0, required).otherwise(F.col("any_of"))).alias("term"),
         (F.size(required) > 0).alias("anchored"),
     )
-    vocabulary = wanted.select("term").distinct()
+    small = sizing.is_small(wanted)
+    vocabulary = sizing.small_side(wanted.select("term").distinct(), small)
     hits = tokens.select("chunk_id", "ws", F.explode(F.array_distinct("ws")).alias("term")).join(vocabulary, "term", "left_semi")
     doc_freq = hits.groupBy("term").agg(F.count("*").alias("df"))
     rarity = Window.partitionBy("query_id").orderBy("df", "term")
@@ -94,7 +98,7 @@ def boolean_match(queries: DataFrame, chunks: DataFrame) -> DataFrame:
         & ~F.arrays_overlap("none_of", "ws")
         & F.forall("phrases", lambda p: F.contains(line, F.concat(F.lit(" "), p, F.lit(" "))))
     )
-    return hits.join(anchors, "term").where(ok).select("query_id", "chunk_id").distinct()
+    return hits.join(sizing.small_side(anchors, small), "term").where(ok).select("query_id", "chunk_id").distinct()
 
 
 def trigrams(text: Column) -> Column:
@@ -115,7 +119,7 @@ def fuzzy(queries: DataFrame, chunks: DataFrame, threshold: float = 0.3, k: int
     c = chunks.select("chunk_id", trigrams(F.col("content")).alias("g")).select(
         "chunk_id", F.size("g").alias("cn"), F.explode("g").alias("gram"))
     sizes_allow = F.least("qn", "cn") >= F.lit(threshold) * F.greatest("qn", "cn")
-    shared = c.join(q, "gram").where(sizes_allow).groupBy("query_id", "chunk_id", "qn", "cn").agg(F.count("*").alias("both"))
+    shared = c.join(sizing.small_side(q, sizing.is_small(q)), "gram").where(sizes_allow).groupBy("query_id", "chunk_id", "qn", "cn").agg(F.count("*").alias("both"))
     scored = shared.select(
         "query_id", "chunk_id",
         F.round(F.col("both") / (F.col("qn") + F.col("cn") - F.col("both")), 9).alias("score"),
@@ -181,7 +185,8 @@ def containing_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
             ).otherwise(F.array().cast("array<string>")),
         )
     )
-    return tokens.where(n > 0).select("token", F.explode(F.array_distinct(pieces)).alias("term")).join(terms, "term")
+    return tokens.where(n > 0).select("token", F.explode(F.array_distinct(pieces)).alias("term")).join(
+        sizing.small_side(terms, sizing.is_small(terms)), "term")
 
 
 def term_coverage(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
@@ -195,7 +200,7 @@ def term_coverage(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFra
     hits = tokens.join(where_found, "token").select("chunk_id", "term").distinct()
     totals = queries.groupBy("query_id").agg(F.sum("n").alias("total"))
     scored = (
-        hits.join(queries, "term").groupBy("query_id", "chunk_id").agg(F.sum("n").alias("hit"))
+        hits.join(sizing.small_side(queries, sizing.is_small(queries)), "term").groupBy("query_id", "chunk_id").agg(F.sum("n").alias("hit"))
         .join(totals, "query_id")
         .select("query_id", "chunk_id", F.round(F.col("hit") / F.col("total"), 9).alias("score"))
     )

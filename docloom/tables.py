@@ -12,8 +12,20 @@ from docloom.operators import chunking
 FIXED_CLOCK = "2024-01-31 00:00:00"
 
 
+# Tables whose rows hold whole texts, with the key that spreads them.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """An input table. Text tables stored in fewer splits than there are cores are spread by key.
+
+    A large table always has more splits than that and is read as it lies, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_KEYS and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, TEXT_KEYS[name])
+    return df
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
