@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import sizing
 from docloom.functions import text as tx
+from docloom.operators import vector_search as vs
 
 MAX_K = 100
 
@@ -33,6 +39,18 @@ def take_top(scored: DataFrame, k: int, score: str = "score", key: str = "chunk_
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _corpus(queries: DataFrame, chunks: DataFrame, small: bool):
+    """Tokens per chunk, corpus totals, the query vocabulary and its document frequencies."""
+    tokens = chunks.select("chunk_id", tx.words(F.col("content")).alias("ws"))
+    totals = tokens.agg(F.count("*").alias("n"), F.avg(F.size("ws")).alias("avg_len"))
+    vocabulary = sizing.small_side(queries.select("term").distinct(), small)
+    doc_freq = (
+        tokens.select(F.explode(F.array_distinct("ws")).alias("term"))
+        .join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    )
+    return tokens, totals, vocabulary, doc_freq
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi score of every (query, chunk) that shares a term: ``(query_id, chunk_id, score)``.
 
@@ -40,15 +58,9 @@ def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75
     enough to be held by every task, one exchange on ``chunk_id`` serves both the term counts and
     the score sums.
     """
-    tokens = chunks.select("chunk_id", tx.words(F.col("content")).alias("ws"))
-    totals = tokens.agg(F.count("*").alias("n"), F.avg(F.size("ws")).alias("avg_len"))
-    n, avg_len = totals.select("n").scalar(), totals.select("avg_len").scalar()
     small = sizing.is_small(queries)
-    vocabulary = sizing.small_side(queries.select("term").distinct(), small)
-    doc_freq = (
-        tokens.select(F.explode(F.array_distinct("ws")).alias("term"))
-        .join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    )
+    tokens, totals, vocabulary, doc_freq = _corpus(queries, chunks, small)
+    n, avg_len = totals.select("n").scalar(), totals.select("avg_len").scalar()
     weighted = queries.join(doc_freq, "term").select(
         "query_id", "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
@@ -62,9 +74,73 @@ def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75
     return counts.join(sizing.small_side(weighted, small), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 7).alias("score"))
 
 
-def ranked(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """Top-k text hits; ``rank_score`` squeezes the score to r / (r + 1)."""
-    top = take_top(bm25(queries, chunks), min(k, MAX_K))
+# Cells of a (term, query) weight matrix that every task may hold.
+WEIGHT_CELLS = 4_000_000
+SLICE_ROWS = 256
+
+
+def _bm25_block(queries: DataFrame, chunks: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """The k best chunks per query and partition for a query block of checked size.
+
+    The block's weights are one matrix in every task; a chunk's scores are a sparse row times that
+    matrix, so neither postings nor (query, chunk) pairs are shuffled.
+    """
+    tokens, totals, _, doc_freq = _corpus(queries, chunks, True)
+    corpus = totals.first()
+    n, avg_len = corpus["n"], corpus["avg_len"] or 1.0
+    block = queries.join(doc_freq, "term").distinct().toPandas()
+    terms, term_at = np.unique(block["term"].to_numpy(dtype=object).astype(str), return_inverse=True)
+    query_ids, query_at = np.unique(block["query_id"].to_numpy(dtype=np.int64), return_inverse=True)
+    weights = np.zeros((len(terms), len(query_ids)))
+    df = block["df"].to_numpy(dtype=float)
+    weights[term_at, query_at] = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    shared = chunks.sparkSession.sparkContext.broadcast((terms.tolist(), query_ids, weights))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, ids_q, w = shared.value
+        known = pa.array(vocabulary, pa.string())
+        best = None
+        for batch in batches:
+            ids = batch.column("chunk_id").to_numpy()
+            ws = batch.column("ws")
+            length = np.asarray(pc.list_value_length(ws))
+            row = np.repeat(np.arange(len(ids)), length)
+            at = pc.index_in(ws.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            hit = at >= 0
+            cell, tf = np.unique(row[hit] * len(vocabulary) + at[hit], return_counts=True)
+            row, at = cell // len(vocabulary), cell % len(vocabulary)
+            x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avg_len))
+            rows, first = np.unique(row, return_index=True)
+            ends = np.append(first[1:], len(row))
+            group = max(SLICE_ROWS, WEIGHT_CELLS // max(1, len(ids_q)))
+            for start in range(0, len(rows), group):
+                parts = []
+                for i in range(start, min(start + group, len(rows)), SLICE_ROWS):
+                    j = min(i + SLICE_ROWS, start + group, len(rows))
+                    lo, hi = first[i], ends[j - 1]
+                    parts.append(np.add.reduceat(w[at[lo:hi]] * x[lo:hi, None], first[i:j] - lo, axis=0))
+                scores = np.concatenate(parts)
+                scores[scores <= 0] = -1.0
+                best = vs._merge(best, vs._best(scores, ids[rows[start:start + group]], ids_q, k, 0.0, False), k)
+        if best is not None and len(best):
+            yield vs.as_batch(best)
+
+    if not len(terms):
+        return chunks.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
+    found = tokens.mapInArrow(score, "query_id long, id long, similarity double")
+    return found.select("query_id", F.col("id").alias("chunk_id"), F.col("similarity").alias("score"))
+
+
+def ranked(queries: DataFrame, chunks: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, weight_cells: int = WEIGHT_CELLS) -> DataFrame:
+    """Top-k text hits; ``rank_score`` squeezes the score to r / (r + 1).
+
+    A query block whose measured weight matrix fits ``weight_cells`` is scored where the chunks
+    lie; a larger one goes through the relational plan of :func:`bm25`. Both give the same rows.
+    """
+    k = min(k, MAX_K)
+    size = queries.agg(F.countDistinct("term").alias("t"), F.countDistinct("query_id").alias("q")).first()
+    fits = size["t"] * size["q"] <= weight_cells
+    top = take_top(_bm25_block(queries, chunks, k, k1, b) if fits else bm25(queries, chunks, k1, b), k)
     return top.withColumn("rank_score", F.col("score") / (F.col("score") + 1))
 
 

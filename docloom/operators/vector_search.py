@@ -26,7 +26,7 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 def _best(sims: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int, floor: float | None, skip_self: bool) -> pd.DataFrame:
     """The k best rows of every query column, best first, smaller id first on equal similarity."""
     sims = np.round(sims, 7)
-    out = []
+    kept_ids, kept_sims, sizes = [], [], []
     for j, query_id in enumerate(query_ids):
         column = sims[:, j]
         ok = np.ones(len(ids), dtype=bool) if floor is None else column >= floor
@@ -38,8 +38,12 @@ def _best(sims: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int, floo
             cut = np.partition(column[rows], len(rows) - k)[len(rows) - k]
             rows = rows[column[rows] >= cut]
         rows = rows[np.lexsort((ids[rows], -column[rows]))][:k]
-        out.append(pd.DataFrame({"query_id": query_id, "id": ids[rows], "similarity": column[rows]}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "id": [], "similarity": []})
+        kept_ids.append(ids[rows])
+        kept_sims.append(column[rows])
+        sizes.append(len(rows))
+    if not sizes:
+        return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
+    return pd.DataFrame({"query_id": np.repeat(query_ids, sizes), "id": np.concatenate(kept_ids), "similarity": np.concatenate(kept_sims)})
 
 
 def top_k(
@@ -73,6 +77,19 @@ def top_k(
 _SCHEMA = "query_id long, id long, similarity double"
 
 
+def _merge(best: pd.DataFrame | None, found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best per query of two partial results."""
+    if best is None:
+        return found
+    both = pd.concat([best, found], ignore_index=True)
+    return both.sort_values(["query_id", "similarity", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+
+def as_batch(best: pd.DataFrame) -> pa.RecordBatch:
+    typed = best.astype({"query_id": "int64", "id": "int64", "similarity": "float64"})
+    return pa.RecordBatch.from_pandas(typed, preserve_index=False)
+
+
 def _block_scan(queries, vectors, k, floor, skip_self) -> DataFrame:
     block = queries.toPandas()
     query_ids = block["query_id"].to_numpy(dtype=np.int64)
@@ -88,16 +105,9 @@ def _block_scan(queries, vectors, k, floor, skip_self) -> DataFrame:
             column = batch.column("vec")
             flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             unit_v = _unit(flat.reshape(batch.num_rows, -1))
-            found = _best(unit_v @ unit_q.T, batch.column("id").to_numpy(), ids_q, k, floor, skip_self)
-            if best is not None:
-                found = pd.concat([best, found], ignore_index=True)
-                found = found.sort_values(["query_id", "similarity", "id"], ascending=[True, False, True])
-                found = found.groupby("query_id").head(k)
-            best = found
+            best = _merge(best, _best(unit_v @ unit_q.T, batch.column("id").to_numpy(), ids_q, k, floor, skip_self), k)
         if best is not None and len(best):
-            yield pa.RecordBatch.from_pandas(
-                best.astype({"query_id": "int64", "id": "int64", "similarity": "float64"}), preserve_index=False
-            )
+            yield as_batch(best)
 
     return vectors.mapInArrow(scan, _SCHEMA)
 

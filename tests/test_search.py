@@ -144,3 +144,13 @@ def test_window_context(spark):
     c = spark.createDataFrame([(1, i, f"c{i}") for i in range(4)], "doc_id long, chunk_index int, content string")
     got = [(r.previous, r.next) for r in cx.window_context(c, 2).orderBy("chunk_index").collect()]
     assert got == [(None, "c1 c2"), ("c0", "c2 c3"), ("c0 c1", "c3"), ("c1 c2", None)]
+
+
+def test_text_ranking_paths_agree(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(60)]
+    c = chunks(spark, *[" ".join(rng.choice(words, rng.integers(0, 40))) for _ in range(700)]).repartition(5)
+    q = spark.createDataFrame([(i, str(t)) for i in range(6) for t in set(rng.choice(words + ["absent"], 8))], "query_id long, term string")
+    rows = lambda cells: sorted((r.query_id, r.chunk_id, r.rank, r.score) for r in ts.ranked(q, c, 7, weight_cells=cells).collect())
+    assert rows(10**6) == rows(0) and len(rows(0)) == 42
+    assert ts.ranked(q.where("term = 'absent'"), c).count() == 0
