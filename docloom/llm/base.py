@@ -49,16 +49,21 @@ def whole(text: Column) -> Column:
 
 
 class Remembered(dict):
-    """What ``work`` gives for a piece, computed once per worker; a full memory starts anew."""
+    """What ``work`` gives for a piece, computed once per worker.
+
+    Bounded: a full memory becomes the old generation, from which what is still in use moves back.
+    """
 
     def __init__(self, work: Callable, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.work, self.entries = work, entries
+        self.work, self.entries, self.old = work, entries, {}
 
     def __missing__(self, piece):
+        value = self.old[piece] if piece in self.old else self.work(piece)
         if len(self) >= self.entries:
+            self.old = dict(self)
             self.clear()
-        value = self[piece] = self.work(piece)
+        self[piece] = value
         return value
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 from docloom.functions.ordered import sliced_row_number
 from docloom.llm import base
 
+_MARKS = b".,;:!?"
 PIECES = "piece INT, start LONG, length LONG, ids_crc32 LONG"
 
 
@@ -34,7 +35,16 @@ def _encoder(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    words = base.Remembered(lambda word: np.array(tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes())
+
+    def ids(word: bytes) -> bytes:
+        if word.isascii() and b"<|" not in word:  # names of special tokens stay as they are
+            if word != word.lower():  # the tokenizer lower-cases too
+                return words[word.lower()]
+            if len(word) > 1 and word[-1:] in _MARKS and word[-2:-1].isalpha():  # a mark after a letter is a token of its own
+                return words[word[:-1]] + words[word[-1:]]
+        return np.array(tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    words = base.Remembered(ids)
     return lambda text: b"".join(map(words.__getitem__, text.encode().split()))
 
 

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 ODD = [
     None, "", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "\n\na\tb\r\n", "x" * 3000, "don't we'll ''ll 's", "<|endoftext|> and <|endoftext|>", "é́   x y  z",
     "日本語 テキスト  です", "A\x1cB \x1c C", "1234 5 67,8.9!?", "tab\t tab", "ǅ İstanbul ΣΑΣ", "same", "same", "word " * 9000, " " * 40000, ("ab" * 20000) + " c", "Mixed​zero", "a\x85b \x85 c",
-    "x" + "'" * 16383 + "ll y" * 3000, "z" * 16382 + "'ll " + "q w" * 6000,
+    "Thin, THE. <|EndOfText|> <|endoftext|>, a<|startoftext|>B. it's, don't! x'S, é, İ. 1, 2.5.", "x" + "'" * 32767 + "ll y" * 3000, "z" * 32766 + "'ll " + "q w" * 12000,
 ]
 
 
@@ -98,14 +98,6 @@ def test_stitch_equals_one_pass():
             pass
 
 
-def test_long_merge_equals_short():
-    ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
-    enc, rng = bpe_reference(), random.Random(5)
-    for n in (2, 30, 199, 201, 900):
-        piece = "".join(rng.choice("abcdeé") for _ in range(n))
-        assert byte_bpe.merge(piece.encode(), ranks) == enc.encode_ordinary(piece)
-
-
 def check_packing(rows, docs, capacity):
     """rows: doc_id, piece, start, length, crc, sequence, offset"""
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
