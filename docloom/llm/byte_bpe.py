@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, StringType
 from docloom.llm import base
 
 #: Characters of a chunk and of the part it shares with the next one.
-CHUNK, OVERLAP = 16_384, 512
+CHUNK, OVERLAP = 32_768, 512
 #: A pre-token is sure of its end if so many characters of the chunk follow: the pattern looks no further ahead.
 LOOK_AHEAD = 4
 
@@ -23,55 +23,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: join the adjacent pair of lowest rank until none is in the table."""
-    if piece in ranks:
-        return [ranks[piece]]
-    parts = [piece[i:i + 1] for i in range(len(piece))]
-    if len(parts) > 200:
-        return _merge_long(parts, ranks)
-    while len(parts) > 1:
-        best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-        if best == 1 << 60:
-            break
-        parts[at:at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
-
-
-def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
-    """The same for a long pre-token, with a heap of pairs over a linked list."""
-    import heapq
-
-    n = len(parts)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(ranks[parts[i] + parts[i + 1]], i, parts[i], parts[i + 1]) for i in range(n - 1) if parts[i] + parts[i + 1] in ranks]
-    heapq.heapify(heap)
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = after[i]
-        if j >= n or parts[i] != a or parts[j] != b:
-            continue  # a neighbour has been joined since
-        parts[i], parts[j] = a + b, b""
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        for left, right in ((before[i], i), (i, after[i])):
-            if left >= 0 and right < n and parts[left] + parts[right] in ranks:
-                heapq.heappush(heap, (ranks[parts[left] + parts[right]], left, parts[left], parts[right]))
-    return [ranks[p] for p in parts if p]
-
-
 @lru_cache(maxsize=2)
 def _codec(ranks_path: str, pattern: str):
     """The compiled pattern and a memory of what each pre-token gives: (ids as text, count, decoded bytes)."""
     import regex
+    import tiktoken
 
-    ranks = read_ranks(ranks_path)
-    by_id = {i: b for b, i in ranks.items()}
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
 
     def encode(piece: str) -> tuple[str, int, bytes]:
-        ids = merge(piece.encode(), ranks)
-        return ",".join(map(str, ids)), len(ids), b"".join(by_id[i] for i in ids)
+        ids = encoding.encode_ordinary(piece)  # a pre-token alone is still one pre-token
+        return ",".join(map(str, ids)), len(ids), b"".join(map(encoding.decode_single_token_bytes, ids))
 
     return regex.compile(pattern), base.Remembered(encode)
 
