@@ -24,6 +24,50 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors by cosine for every fiftieth vector."""
+    from docloom.llm import ann
+
+    return ann.nearest(base.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 5, 50)
+
+
+@query
+def op2_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by weighted clauses, with what insults weigh learned from two thirds of the labels."""
+    from docloom.llm import toxicity
+
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    labels = base.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(~held_out)
+    lexicon = toxicity.learn(docs, labels, "doc_id")
+    return toxicity.score(docs, lexicon, ["doc_id"]).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "clauses")
+
+
+@query
+def op3_count_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles have a Jaccard similarity of 0.9 and more."""
+    from docloom.llm import ngram_join
+
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ngram_join.linked_components(docs, ngram_join.Rule(3, 90, 100))
+    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query
+def op4_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document. A source stands for an owner, a document for a repository."""
+    from docloom.llm import secrets
+
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secrets.find(docs, ["doc_id"], ["source"], ["doc_id"])
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+                        F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(secrets.all_spans()).alias("spans"),
+                        F.size("live").cast("long").alias("n_live"))
+
+
 @query
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 contiguous shards of nearly equal bytes."""
@@ -35,6 +79,30 @@ def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op7_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five highest integer inner products for every fiftieth vector."""
+    from docloom.llm import topk
+
+    return topk.top_k(base.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 5, 50)
+
+
+SQL["op7_block_top_k"] = """
+WITH rows AS (
+    SELECT vec_id, MIN(embedding) AS embedding FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    GROUP BY vec_id),
+whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM rows),
+scored AS (
+    SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.w, d.w)::BIGINT AS score
+    FROM whole q JOIN whole d ON q.vec_id <> d.vec_id AND len(q.w) = len(d.w) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, through a digest cache that this run begins empty."""
