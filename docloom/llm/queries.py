@@ -68,6 +68,22 @@ def op4_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("live").cast("long").alias("n_live"))
 
 
+@query
+def op5_column_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 50-byte strings that start in an earlier document too."""
+    import hashlib
+
+    from docloom.llm import suffix_dedup
+
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def digest(text, removed):
+        b = text.encode()
+        return len(b), sum(e - s for s, e in removed), len(removed), hashlib.sha256(suffix_dedup.kept_bytes(b, removed)).hexdigest()
+
+    return suffix_dedup.with_removals(docs, digest, "n_bytes LONG, n_removed LONG, n_spans LONG, kept_sha256 STRING", ["doc_id"])
+
+
 @query
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 contiguous shards of nearly equal bytes."""
