@@ -80,7 +80,7 @@ def top_k(df: DataFrame, id_col: str, vec_col: str, k: int, query_every: int) ->
             blobs = [np.array(v, "<i8").tobytes() for v in batch.column("vec").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("dim"), pa.array(blobs, pa.binary())], names=["id", "dim", "w"])
 
-    ranged = rows.repartitionByRange(row_cells, "id").mapInArrow(pack, packed).withColumn("cell", F.spark_partition_id())
+    ranged = rows.repartitionByRange(row_cells, "id").mapInArrow(pack, packed).withColumn("cell", F.pmod(F.spark_partition_id(), F.lit(row_cells)))
     docs = ranged.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_cells - 1))))
     # Ranges of the sampled shuffle may be uneven, never unbounded; every range meets every query block.
     asks = (picked.mapInArrow(pack, packed).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(query_cells)).cast("int"))
