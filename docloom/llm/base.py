@@ -86,3 +86,26 @@ def per_batch(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict]], sc
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def with_columns(df: DataFrame, inputs: list[str], fn: Callable[..., dict[str, list]], columns, keep: list[str]) -> DataFrame:
+    """``keep`` as it is and the ``columns`` that ``fn`` makes from lists of the ``inputs``.
+
+    Kept columns stay in Arrow; only the inputs of a few rows at a time become Python objects.
+    """
+    from pyspark.sql.types import StructType
+
+    made = df.sparkSession.createDataFrame([], columns).schema if isinstance(columns, str) else columns
+    schema = StructType([*df.select(*keep).schema, *made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        fresh = to_arrow_schema(made)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                out = fn(*[part.column(c).to_pylist() for c in inputs])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *[pa.array(out[f.name], f.type) for f in fresh]], names=[*keep, *fresh.names])
+
+    return df.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(run, schema)

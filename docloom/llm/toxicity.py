@@ -222,12 +222,11 @@ def score(df: DataFrame, lexicon: Lexicon, keep: list[str], text: str = "text")
 
     Texts are scored whole and where they lie, without a shuffle. Null and empty texts score 0.
     """
-    shared = df.sparkSession.sparkContext.broadcast(lexicon)  # at most LEXICON entries
-    schema = type(df.schema)([*df.select(*keep).schema, *df.sparkSession.createDataFrame([], "score DOUBLE, clauses INT").schema])
+    shared = df.sparkSession.sparkContext.broadcast(lexicon)  # a few times LEXICON entries at most
 
-    def run(batch):
+    def run(texts):
         weighs = can_match(shared.value)
-        scored = [text_score(t, shared.value, weighs) for t in batch["_text"]]
-        yield {**{c: batch[c] for c in keep}, "score": [s for s, _ in scored], "clauses": [n for _, n in scored]}
+        scored = [text_score(t or "", shared.value, weighs) for t in texts]
+        return {"score": [s for s, _ in scored], "clauses": [n for _, n in scored]}
 
-    return base.per_batch(df.select(*keep, base.whole(F.col(text)).alias("_text")), run, schema)
+    return base.with_columns(df, [text], run, "score DOUBLE, clauses INT", keep)
