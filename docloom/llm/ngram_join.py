@@ -14,7 +14,6 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -218,21 +217,49 @@ class CountTree:
         return self.order[rows[bound >= rule.shared_needed(self.sizes[rows] + size)]]
 
 
-def _tree_pairs(cell: pd.DataFrame, rule: Rule) -> pd.DataFrame:
-    """Pairs of a cell of different components that the tree cannot rule out."""
-    rep, comp, sizes = cell["rep"].to_numpy(), cell["comp"].to_numpy(), cell["n"].to_numpy()
-    counts = np.array(cell["counts"].tolist(), np.int64).reshape(len(cell), -1)
-    tree, a, b = CountTree(counts, sizes), [], []
-    largest = pd.Series(comp).mode()[0] if len(comp) else None
-    for i in range(len(cell)):
-        if comp[i] == largest:
-            continue  # met from the other side
+def _cell_pairs(rep: np.ndarray, comp: np.ndarray, sizes: np.ndarray, counts: np.ndarray, rule: Rule):
+    """Pairs of a cell of different components that its tree cannot rule out, smaller id first."""
+    names, times = np.unique(comp, return_counts=True)
+    asking = np.flatnonzero(comp != names[times.argmax()])  # the largest component is met from the other side
+    tree = CountTree(counts, sizes)
+    for i in asking:
         near = tree.partners(counts[i], sizes[i], rule)
-        near = near[comp[near] != comp[i]]
-        a.append(np.minimum(rep[near], rep[i]))
-        b.append(np.maximum(rep[near], rep[i]))
-    empty = np.zeros(0, np.int64)
-    return pd.DataFrame({"a": np.concatenate(a) if a else empty, "b": np.concatenate(b) if b else empty}).drop_duplicates()
+        for j in near[comp[near] != comp[i]]:
+            yield min(rep[i], rep[j]), max(rep[i], rep[j])
+
+
+def tree_pairs(rows: DataFrame, rule: Rule, partitions: int) -> DataFrame:
+    """Pairs (a, b) of all cells. ``rows(sig, page, rep, comp, n, counts)``; a task reads its cells one after another."""
+
+    def search(batches):
+        waiting, key = [], None
+        for batch in batches:
+            sig, page = batch.column("sig").to_numpy(), batch.column("page").to_numpy()
+            cut = np.flatnonzero((sig[1:] != sig[:-1]) | (page[1:] != page[:-1])) + 1
+            out: set = set()
+            for lo, hi in zip(np.append(0, cut), np.append(cut, len(sig)), strict=True):
+                if key != (sig[lo], page[lo]):
+                    out.update(one_cell(waiting))
+                    waiting, key = [], (sig[lo], page[lo])
+                waiting.append(batch.slice(lo, hi - lo))
+            yield from as_rows(out)
+        yield from as_rows(set(one_cell(waiting)))
+
+    def one_cell(parts):
+        if not parts:
+            return ()
+        cell = pa.Table.from_batches(parts)
+        counts = cell.column("counts").combine_chunks()
+        counts = counts.chunk(0) if isinstance(counts, pa.ChunkedArray) else counts
+        columns = [cell.column(c).to_numpy() for c in ("rep", "comp", "n")]
+        return _cell_pairs(*columns, counts.flatten().to_numpy().reshape(len(cell), -1), rule)
+
+    def as_rows(pairs):
+        if pairs:
+            a, b = zip(*pairs, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.repartition(partitions, "sig", "page").sortWithinPartitions("sig", "page").mapInArrow(search, "a LONG, b LONG")
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
@@ -307,12 +334,15 @@ def linked_components(df: DataFrame, rule: Rule, key: str = "doc_id", text: str
             pairs = now.join(mixed, "sig").where("comp <> other.comp").select(F.least("rep", "other.rep").alias("a"), F.greatest("rep", "other.rep").alias("b"))
         else:
             left = base.stored(now.join(mixed.select("sig"), "sig", "left_semi").select("sig", "rep", "comp"), "mixed")
+            # The pair of a cell of two has been checked in the first turn.
+            larger = left.groupBy("sig").agg(F.count("*").alias("c")).where("c > 2").select("sig")
+            left = left.join(larger, "sig", "left_semi")
             sized = left.groupBy("sig", "comp").agg(F.count("*").alias("c"))
             main = sized.groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("m")).select("sig", F.col("m.comp").alias("main"), F.ceil(F.col("m.c") / CELL).cast("int").alias("pages"))
             # The rows outside the largest component go to each of its pages.
             pages = F.when(F.col("comp") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), F.col("pages")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("pages") - 1))
             placed = left.join(main, "sig").withColumn("page", F.explode(pages))
-            pairs = placed.join(points, "rep").select("sig", "page", "rep", "comp", "n", "counts").groupBy("sig", "page").applyInPandas(lambda cell: _tree_pairs(cell, rule), "a LONG, b LONG")
+            pairs = tree_pairs(placed.join(points, "rep").select("sig", "page", "rep", "comp", "n", "counts"), rule, int(spark.conf.get("spark.sql.shuffle.partitions")))
         fresh = base.stored(_bounded(pairs.distinct().join(checked, ["a", "b"], "left_anti"), points, rule), "pairs")
         links = links.unionByName(base.stored(_verified(fresh, texts, rule), "links"))
         checked = checked.unionByName(fresh)
