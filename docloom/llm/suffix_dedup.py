@@ -17,27 +17,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from docloom.llm import base
 
-WINDOW, KMER = 50, 16
+WINDOW, KMER = 50, 24
 #: Windows of a run (longer ones are cut) and strings of a collection.
-RUN, COLLECTION = 64, 20_000
+RUN, COLLECTION = 64, 800
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
 def _kmer_hashes(b: np.ndarray) -> np.ndarray:
-    """Hashes of all KMER-byte strings, by doubling (KMER is a power of two)."""
-    h, factor, width = b.astype(np.uint64) + np.uint64(1), _BASE, 1
-    while width < KMER:
-        h = h[:-width] * factor + h[width:]
-        with np.errstate(over="ignore"):
-            factor = factor * factor
-        width *= 2
-    h = (h ^ (h >> np.uint64(30))) * _M1
-    h = (h ^ (h >> np.uint64(27))) * _M2
-    return h ^ (h >> np.uint64(31))
+    """Hashes of all KMER-byte strings, put together from those of 1, 2, 4, ... bytes."""
+    h, factor, width, out, have = b.astype(np.uint64) + np.uint64(1), _BASE, 1, None, 0
+    with np.errstate(over="ignore"):
+        while True:
+            if KMER & width:
+                n = len(b) - KMER + 1
+                part = h[KMER - have - width:KMER - have - width + n]  # the lowest bits stand last
+                out = part if out is None else out + part * above
+                above = factor if have == 0 else above * factor
+                have += width
+            if width * 2 > KMER:
+                break
+            h, factor, width = h[:-width] * factor + h[width:], factor * factor, width * 2
+    out = (out ^ (out >> np.uint64(30))) * _M1
+    out = (out ^ (out >> np.uint64(27))) * _M2
+    return out ^ (out >> np.uint64(31))
 
 
 def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -363,15 +368,15 @@ def kept_text(text: str, removed: list[tuple[int, int]]) -> str:
 def with_removals(df: DataFrame, finish, columns: str, keep: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """``keep`` and what ``finish(text, removed)`` gives as a tuple for ``columns``, per row of ``df``."""
     found = repeated_spans(df, key, text).withColumnRenamed("doc", "_doc").withColumnRenamed("print", "_print")
-    source = df.select(*keep, F.col(key).cast("long").alias("_key"), base.whole(F.col(text)).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    source = df.select(*keep, F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).withColumn("_hash", F.xxhash64(base.whole(F.col("_text"))))
     joined = source.join(found, (F.col("_key") == F.col("_doc")) & (F.col("_hash") == F.col("_print")), "left").select(*keep, "_text", "spans")
-    made = df.sparkSession.createDataFrame([], columns).schema
+    names = df.sparkSession.createDataFrame([], columns).schema.names
 
-    def run(batch):
-        done = [finish(t, merged(s)) for t, s in zip(batch["_text"], batch["spans"], strict=True)]
-        yield {**{c: batch[c] for c in keep}, **{f.name: [d[i] for d in done] for i, f in enumerate(made)}}
+    def run(texts, spans):
+        done = [finish(t or "", merged(s)) for t, s in zip(texts, spans, strict=True)]
+        return {name: [d[i] for d in done] for i, name in enumerate(names)}
 
-    return base.per_batch(joined, run, StructType([*df.select(*keep).schema, *made]))
+    return base.with_columns(joined, ["_text", "spans"], run, columns, keep)
 
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
