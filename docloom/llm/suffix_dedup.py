@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from docloom.llm import base
 
 WINDOW, KMER = 50, 24
-#: Windows of a run (longer ones are cut) and strings of a collection.
-RUN, COLLECTION = 64, 800
+#: Windows of a run (longer ones are cut), strings of a collection, and the most strings of one anchor in it.
+RUN, COLLECTION, CROWD = 64, 800, 20_000
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -179,7 +179,7 @@ def _removals(batches):
 
     A run whose string an earlier document holds goes whole. The first documents of the strings of
     an anchor are compared through a collection, of which one task holds one at a time. An anchor
-    with more strings than a collection takes is handed on: its first runs come out with their
+    with more than CROWD strings is handed on: its first runs come out with their
     string, to be cut into windows.
     """
     names = ["doc", "print", "start", "stop", "windows", "string"]
@@ -250,7 +250,7 @@ def _removals(batches):
             elif not anchor_strings:  # its string was handed on
                 anchor_strings.append((string[i].as_py(), int(doc[i]), []))
             anchor_strings[-1][2].append((int(pr[i]), int(start[i]), int(windows[i])))
-            if len(anchor_strings) > COLLECTION or (too_many and len(anchor_strings) > 256):
+            if len(anchor_strings) > CROWD or (too_many and len(anchor_strings) > 256):
                 too_many = True
                 yield hand_on()
         if too_many and anchor_strings:
@@ -270,10 +270,18 @@ def _digest(string: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
 
 
+def later_copies(source: DataFrame) -> DataFrame:
+    """doc, print, stop of the rows whose whole text an earlier document has; only hashes are sent."""
+    keys = source.select("doc", "print", F.xxhash64(F.lit(1), "_text").alias("second"), F.octet_length("_text").alias("stop"))
+    first = keys.groupBy("print", "second").agg(F.min("doc").alias("first"))
+    return keys.join(first, ["print", "second"]).select("doc", "print", "stop", (F.col("doc") > F.col("first")).alias("copy"))
+
+
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, print (hash of the text) and spans (array of start, stop in UTF-8 bytes, unmerged) to remove.
 
-    A byte is covered if a window over it also starts in a document with a smaller key. Rows without
+    A byte is covered if a window over it also starts in a document with a smaller key. A later copy of
+    a whole text is covered whole, so only the first of equal texts is compared. Rows without
     a key and texts shorter than a window take no part; rows that share a key never remove from
     one another.
     """
@@ -294,6 +302,11 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     pairs = source.select("doc", "_text").mapInArrow(anchors, "anchor LONG, doc LONG").repartition(partitions, "anchor").sortWithinPartitions("anchor")
     shared = base.stored(pairs.mapInArrow(_shared_anchors, "doc LONG, anchor LONG").groupBy("doc").agg(F.collect_list("anchor").alias("anchors")), "anchors")
 
+    rows = base.stored(later_copies(source), "copies")
+    # A key goes only if all of its rows are copies.
+    gone = rows.groupBy("doc").agg(F.bool_and("copy").alias("all_copies")).where("all_copies").select("doc")
+    compared_docs = shared.join(gone, "doc", "left_anti")
+
     def cut(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -312,14 +325,15 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                                                  names=["anchor", "digest", "doc", "print", "start", "windows", "string"])
 
     run_schema = "anchor LONG, digest LONG, doc LONG, print LONG, start INT, windows INT, string BINARY"
-    cuts = source.join(shared, "doc").select("doc", "print", "_text", "anchors").mapInArrow(cut, run_schema)
+    cuts = source.join(compared_docs, "doc").select("doc", "print", "_text", "anchors").mapInArrow(cut, run_schema)
 
     def compared(rows: DataFrame) -> DataFrame:
         dealt = rows.repartition(partitions, "anchor").sortWithinPartitions("anchor", "digest", "doc")
         return base.stored(dealt.mapInArrow(_removals, _SPANS), "removals")
 
     found = compared(cuts)
-    spans = found.where("string IS NULL").select("doc", "print", "start", "stop")
+    spans = found.where("string IS NULL").select("doc", "print", "start", "stop").unionByName(
+        rows.where("copy").select("doc", "print", F.lit(0).alias("start"), "stop"))
     crowded = found.where("string IS NOT NULL").select("doc", "print", "start", "windows", "string")
     if crowded.limit(1).count():
         # Windows of crowded anchors meet by their own bytes, so equal ones have one string per anchor.

@@ -81,8 +81,9 @@ def digests(df):
 @pytest.mark.parametrize("collection", [suffix_dedup.COLLECTION, 5, 1])
 def test_odd_texts(spark, collection, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "COLLECTION", collection)
+    monkeypatch.setattr(suffix_dedup, "CROWD", collection)
     rows = odd_rows(collection)
-    rows += [rows[5], (None, rows[6][1])]
+    rows += [rows[5], (None, rows[6][1]), (90_000, rows[8][1]), (90_000, "own words, and " + rows[12][1] if rows[12][1] else "x")]
     df = spark.createDataFrame([(i, t, 0, "s") for i, t in rows], "doc_id LONG, text STRING, start INT, spans STRING")
     assert digests(df) == brute(rows)
     assert digests(df.limit(0)) == []
@@ -101,10 +102,10 @@ def test_crowded_anchors_are_handed_on():
     rows.sort()
     names = ["anchor", "digest", "doc", "print", "start", "windows", "string"]
     types = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.binary()]
-    before = suffix_dedup.COLLECTION
+    before = suffix_dedup.CROWD
     try:
         for limit in (5, 1000):
-            suffix_dedup.COLLECTION = limit
+            suffix_dedup.CROWD = limit
             batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[lo:lo + 7]], t) for i, t in enumerate(types)], names=names) for lo in range(0, len(rows), 7)]
             out = [r for b in suffix_dedup._removals(batches) for r in b.to_pylist()]
             later = sorted(r["doc"] for r in out if r["string"] is None and r["doc"] >= 50)
@@ -112,7 +113,7 @@ def test_crowded_anchors_are_handed_on():
             handed = sorted(r["string"] for r in out if r["string"] is not None)
             assert handed == (sorted({r[6] for r in rows}) if limit == 5 else [])
     finally:
-        suffix_dedup.COLLECTION = before
+        suffix_dedup.CROWD = before
 
 
 def test_kept_text_keeps_whole_characters():
