@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import ordered
 from docloom.functions import text as tx
-from docloom.operators.embeddings import hash_embedding
+from docloom.operators.embeddings import RunningEmbedding, hash_embedding
 
 # Words that mark technical prose; more than three of them make it technical.
 TECHNICAL_WORDS = ["code", "api", "function", "class", "module", "implementation", "configuration", "parameter"]
@@ -123,52 +124,43 @@ def token_windows(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFr
     )
 
 
+_ENDING = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
+
+
+def prose_and_code(text: str) -> Iterator[tuple[str, bool]]:
+    """Sentences and whole fenced blocks in order, with whether they are code. Blank pieces are left out."""
+    at = 0
+    ranges = [m.span() for m in re.finditer(FENCE, text)]
+    for start, end in [*ranges, (len(text), len(text))]:
+        yield from ((s.strip(), False) for s in _ENDING.split(text[at:start]) if s.strip())
+        if start < end:
+            yield text[start:end], True
+        at = end
+
+
 def semantic_sentences(
     docs: DataFrame, threshold: float = 0.85, min_tokens: int = 100, max_tokens: int = 512
 ) -> DataFrame:
-    """Start a new chunk where the next sentence is unlike the current chunk.
+    """Start a new chunk where the next piece is unlike the current chunk.
 
-    Sequential inside a document, parallel across documents. Fenced code is taken out before
-    the split and put back whole.
+    Pieces are sentences and fenced blocks; blocks stay whole. Sequential inside a document,
+    parallel across documents. A chunk's embedding is kept as a running sum.
     """
-    import re
-
-    ending = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
-    fence = re.compile(FENCE)
 
     def split_document(content: str) -> list[tuple[str, int]]:
-        blocks: list[str] = []
-
-        def hide(match: re.Match) -> str:
-            blocks.append(match.group(0))
-            return f"\n{{CODE_BLOCK_{len(blocks) - 1}}}\n"
-
-        parts = [s.strip() for s in ending.split(fence.sub(hide, content)) if s.strip()]
-
-        def restore(text: str) -> str:
-            for i, block in enumerate(blocks):
-                text = text.replace(f"{{CODE_BLOCK_{i}}}", block)
-            return text
-
         out: list[tuple[str, int]] = []
-        current: list[str] = []
-        tokens = 0
-        for part in parts:
-            size = len(part) // 4
-            cut = False
-            if current:
-                cut = tokens + size > max_tokens
-                if not cut and tokens >= min_tokens:
-                    cut = float(np.dot(hash_embedding(" ".join(current)), hash_embedding(part))) < threshold
-            if cut:
-                out.append((restore(" ".join(current)), len(current)))
-                current, tokens = [part], size
-            else:
-                current.append(part)
-                tokens += size
-        if current:
-            out.append((restore(" ".join(current)), len(current)))
-        return out
+        pieces: list[str] = []
+        tokens, running = 0, RunningEmbedding()
+        for piece, _ in prose_and_code(content):
+            size = len(piece) // 4
+            full = tokens + size > max_tokens
+            if pieces and (full or (tokens >= min_tokens and float(np.dot(running.unit(), hash_embedding(piece))) < threshold)):
+                out.append((" ".join(pieces), len(pieces)))
+                pieces, tokens, running = [], 0, RunningEmbedding()
+            pieces.append(piece)
+            tokens += size
+            running.add(piece)
+        return [*out, (" ".join(pieces), len(pieces))] if pieces else out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -22,17 +23,32 @@ TECHNICAL_TERMS = [
 ]
 
 
+class RunningEmbedding:
+    """The hash embedding of a growing text: word i adds its 16 MD5 bytes (as 0..1) from slot 16·i on, modulo 384."""
+
+    def __init__(self) -> None:
+        self.total, self.words = np.zeros(HASH_DIMS), 0
+
+    def add(self, text: str) -> None:
+        found = text.lower().split()
+        if found:
+            digests = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest() for w in found), dtype=np.uint8)
+            lead = self.words * 16 % HASH_DIMS
+            padded = np.zeros(-(-(lead + len(digests)) // HASH_DIMS) * HASH_DIMS)
+            padded[lead:lead + len(digests)] = digests
+            self.total += padded.reshape(-1, HASH_DIMS).sum(axis=0) / 255.0
+            self.words += len(found)
+
+    def unit(self) -> np.ndarray:
+        length = np.linalg.norm(self.total)
+        return self.total / length if length > 0 else self.total
+
+
 def hash_embedding(text: str) -> np.ndarray:
-    """Unit vector of word hashes: word i adds its 16 MD5 bytes (as 0..1) from slot 16·i on, modulo 384."""
-    found = text.lower().split()
-    total = np.zeros(HASH_DIMS)
-    if found:
-        digests = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest() for w in found), dtype=np.uint8)
-        padded = np.zeros(-(-len(digests) // HASH_DIMS) * HASH_DIMS)
-        padded[: len(digests)] = digests
-        total = padded.reshape(-1, HASH_DIMS).sum(axis=0) / 255.0
-    length = np.linalg.norm(total)
-    return total / length if length > 0 else total
+    """Unit vector of the word hashes of a text."""
+    whole = RunningEmbedding()
+    whole.add(text)
+    return whole.unit()
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -55,12 +71,15 @@ def worklist(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     return missing.join(cache.select("key"), "key", "left_anti")
 
 
-def embed_with_cache(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
-    """All texts with their vector: cached where known, embedded once per distinct text where not."""
-    fresh = worklist(texts, cache, model).select("key", hash_embed("text").alias("embedding"), F.lit(False).alias("hit"))
+def embed_with_cache(texts: DataFrame, cache: DataFrame, model: str, embed: Callable[[str], Column] = hash_embed) -> DataFrame:
+    """All texts with their vector: cached where known, embedded once per distinct text where not.
+
+    ``embed`` is a function of the text column. A NULL text keeps its row, without a vector or a hit.
+    """
+    fresh = worklist(texts, cache, model).where(F.col("key").isNotNull()).select("key", embed("text").alias("embedding"), F.lit(False).alias("hit"))
     known = cache.select("key", "embedding", F.lit(True).alias("hit"))
     keyed = texts.withColumn("key", cache_key(F.col("text"), model))
-    return keyed.join(known.unionByName(fresh), "key")
+    return keyed.join(known.unionByName(fresh), "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def quantise(df: DataFrame, column: str = "embedding") -> DataFrame:

@@ -6,10 +6,12 @@ chunk) and is expanded only from the side of the asked-for nodes.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.session import cut_lineage
+from docloom.session import Rounds, cut_lineage
 
 
 def entity_id(name: Column, kind: Column) -> Column:
@@ -104,25 +106,28 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both_ways(edges.select("src", "dst").where(F.col("src") != F.col("dst"))).distinct()
 
 
+def may_move(node: Column, turn: int) -> Column:
+    """Whether a node may change its label in this round: about every second one, drawn anew each round."""
+    return F.ascii(F.left(F.md5(F.concat(node.cast("string"), F.lit(f":{turn}"))), F.lit(1))) % 2 == 0
+
+
 def label_propagation(edges: DataFrame, rounds: int = 100, stop_when_stable: bool = True) -> DataFrame:
-    """Communities ``(id, label)``: every node takes its neighbours' most common label, the smallest on ties.
+    """Communities ``(id, label)``: a node takes its neighbours' most common label, its own on ties, else the smallest.
 
-    All nodes move at once. Counting labels is a partial aggregation, so a hub's neighbourhood is
-    never gathered in one place.
+    In each round a hash draws the nodes that may move. If all moved at once, a two-sided graph
+    would swap labels for ever. Counting labels is a partial aggregation, so a hub's neighbourhood
+    is never gathered in one place. Ends when no node wants to move.
     """
     adj = cut_lineage(adjacency(edges), "adjacency")
-    labels = adj.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
-    for _ in range(rounds):
+    labels, state = adj.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")), Rounds(edges.sparkSession, "labels")
+    for turn in range(1, rounds + 1):
         votes = adj.join(labels, adj.dst == labels.id).groupBy("src", "label").agg(F.count("*").alias("n"))
-        top = votes.groupBy("src").agg(F.max("n").alias("n"))
-        chosen = votes.join(top, ["src", "n"]).groupBy("src").agg(F.min("label").alias("label"))
-        if not stop_when_stable:
-            labels = cut_lineage(chosen.withColumnRenamed("src", "id"), "labels")
-            continue
-        moved = chosen.withColumnRenamed("src", "id").join(labels.withColumnRenamed("label", "old"), "id")
-        stored = cut_lineage(moved, "labels")
+        own = labels.select(F.col("id").alias("src"), F.col("label").alias("own"))
+        wanted = votes.join(own, "src").groupBy("src", "own").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label") != F.col("own"), F.col("label"))).alias("next"))
+        stored = state.store(wanted.select(
+            F.col("src").alias("id"), F.when(may_move(F.col("src"), turn), F.col("next")).otherwise(F.col("own")).alias("label"), (F.col("next") != F.col("own")).alias("unsettled")))
         labels = stored.select("id", "label")
-        if stored.where(F.col("label") != F.col("old")).isEmpty():
+        if stop_when_stable and stored.where("unsettled").isEmpty():
             break
     return labels
 
@@ -134,12 +139,13 @@ def _community_edges(adj: DataFrame, labels: DataFrame) -> DataFrame:
     return adj.join(a, "src").join(b, "dst").groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
-def greedy_modularity(edges: DataFrame, gamma: float = 1.0, max_rounds: int = 50) -> DataFrame:
+def greedy_modularity(edges: DataFrame, gamma: float = 1.0, max_rounds: int | None = None) -> DataFrame:
     """Communities ``(id, label)`` by merging pairs that raise modularity.
 
-    Per round every community looks for its best partner by the gain
-    w_ij/m − γ·k_i·k_j/(2m²); pairs that choose each other merge together, so one round
-    merges many pairs. Ends when no pair gains. ``edges(src, dst[, w])`` are undirected.
+    The gain of a pair is w_ij/m − γ·k_i·k_j/(2m²). Per round a hash draws who proposes and who
+    accepts; a community proposes to one, and accepts one, that is within a tenth of its best gain. So
+    a round merges many disjoint pairs, whose gains add up. Ends when no pair gains, or after
+    ``max_rounds`` if given. ``edges(src, dst[, w])`` are undirected.
     """
     weighted = edges if "w" in edges.columns else edges.select("src", "dst").distinct().withColumn("w", F.lit(1.0))
     adj = cut_lineage(both_ways(weighted.where(F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.sum("w").alias("w")), "weights")
@@ -149,27 +155,40 @@ def greedy_modularity(edges: DataFrame, gamma: float = 1.0, max_rounds: int = 50
         return labels
     m = total / 2.0
     between = adj.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w")
-    for _ in range(max_rounds):
+    merged, kept, weights = (Rounds(edges.sparkSession, label) for label in ("merges", "labels", "between"))
+    for turn in itertools.count() if max_rounds is None else range(max_rounds):
         degree = between.groupBy("a").agg(F.sum("w").alias("k"))
         scored = (
             between.where(F.col("a") != F.col("b"))
             .join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b")
             .withColumn("gain", F.col("w") / m - F.lit(gamma) * F.col("k") * F.col("kb") / (2.0 * m * m))
-            .where(F.col("gain") > 1e-15)
+            .where(F.col("gain") > 1e-15).select("a", "b", F.floor(F.log("gain") / F.log(F.lit(1.1))).alias("step"))
         )
-        # equal gains are decided by a hash of the unordered pair, so many pairs can agree
-        pair = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
-        best = scored.groupBy("a").agg(F.max_by("b", F.struct(F.round("gain", 15), pair)).alias("b"))
-        mutual = best.join(best.select(F.col("b").alias("a"), F.col("a").alias("b2")), "a").where((F.col("b") == F.col("b2")) & (F.col("a") > F.col("b")))
-        merges = cut_lineage(mutual.select(F.col("a").alias("from"), F.col("b").alias("to")), "merges")
+        best = scored.groupBy("a").agg(F.max("step").alias("top"))
+        close = scored.join(best.withColumnRenamed("top", "top_a"), "a").join(best.select(F.col("a").alias("b"), F.col("top").alias("top_b")), "b").where(
+            (F.col("step") == F.col("top_a")) & (F.col("step") == F.col("top_b")))
+        drawn = F.xxhash64("a", "b", F.lit(turn))
+        proposed = close.where(may_move(F.col("a"), turn) & ~may_move(F.col("b"), turn)).groupBy("a").agg(F.max_by("b", drawn).alias("b"))
+        accepted = proposed.groupBy("b").agg(F.max_by("a", drawn).alias("a"))
+        merges = merged.store(accepted.select(F.greatest("a", "b").alias("from"), F.least("a", "b").alias("to")))
         if merges.isEmpty():
-            break
+            if scored.isEmpty():
+                break
+            continue
         renamed = lambda df, c: df.join(merges.withColumnRenamed("from", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-        labels = cut_lineage(renamed(labels, "label").select("id", "label"), "labels")
-        between = cut_lineage(renamed(renamed(between, "a"), "b").groupBy("a", "b").agg(F.sum("w").alias("w")), "between")
+        labels = kept.store(renamed(labels, "label").select("id", "label"))
+        between = weights.store(renamed(renamed(between, "a"), "b").groupBy("a", "b").agg(F.sum("w").alias("w")))
     return labels
 
 
+def coverage(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Share of edges inside communities, 0 without edges."""
+    adj = adjacency(edges)
+    a, b = labels.select(F.col("id").alias("src"), F.col("label").alias("la")), labels.select(F.col("id").alias("dst"), F.col("label").alias("lb"))
+    inside = adj.join(a, "src").join(b, "dst").where(F.col("la") == F.col("lb")).agg(F.count("*").cast("double").alias("n"))
+    return inside.select(F.coalesce(F.try_divide("n", adj.agg(F.count("*")).scalar()), F.lit(0.0)).alias("coverage"))
+
+
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Both scores of a labelling: ``edge_only`` counts the null term on adjacent pairs only,
     ``standard`` on all pairs of a community."""
@@ -207,7 +226,7 @@ def community_table(edges: DataFrame, labels: DataFrame, nodes: DataFrame, min_s
     return sizes.join(top, "label")
 
 
-def multi_level(edges: DataFrame, levels: int = 2, gamma: float = 1.0, max_rounds: int = 50) -> DataFrame:
+def multi_level(edges: DataFrame, levels: int = 2, gamma: float = 1.0, max_rounds: int | None = None) -> DataFrame:
     """``(level, id, label)``: communities, then communities of the contracted graph, and so on.
 
     Contracted edges keep their summed weights.
@@ -254,7 +273,7 @@ def personalised_pagerank(
     n_seeds = seeds.groupBy("query_id").agg(F.countDistinct("entity").alias("k"))
     known = seeds.distinct().join(degree.withColumnRenamed("src", "entity"), "entity", "left_semi")
     jump = cut_lineage(known.join(n_seeds, "query_id").select("query_id", F.col("entity").alias("node"), (F.lit(teleport) / F.col("k")).alias("score")), "jump")
-    state = jump
+    state, scores = jump, Rounds(triples.sparkSession, "pagerank")
     for i in range(1, rounds):
         moved = state.join(walk, state.node == walk.src).select("query_id", F.col("dst").alias("node"), (F.lit(1.0 - teleport) * F.col("score") * F.col("p")).alias("new"), F.lit(0.0).alias("old"))
         parts = moved.unionByName(jump.select("query_id", "node", F.col("score").alias("new"), F.lit(0.0).alias("old")))
@@ -264,19 +283,21 @@ def personalised_pagerank(
                 state = cut_lineage(state, "pagerank")
             continue
         parts = parts.unionByName(state.select("query_id", "node", F.lit(0.0).alias("new"), F.col("score").alias("old")))
-        both = cut_lineage(parts.groupBy("query_id", "node").agg(F.sum("new").alias("score"), F.sum("old").alias("old")), "pagerank")
+        both = scores.store(parts.groupBy("query_id", "node").agg(F.sum("new").alias("score"), F.sum("old").alias("old")))
         state = both.select("query_id", "node", "score")
-        if both.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] < tolerance:
-            break
+        if both.where(F.abs(F.col("score") - F.col("old")) >= tolerance).isEmpty():
+            break  # also where no seed is in the graph
     return state
 
 
 def rank_passages(scores: DataFrame, links: DataFrame, passages: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Passages by the summed score of their entities, above 0, best k per query.
 
-    Queries that reached nothing because they had no seeds get the last k passages at 1.0.
-    ``queries(query_id, has_seeds)``.
+    Queries without seeds get the last k passages at 1.0, and so do all queries where the graph
+    has no entities. ``queries(query_id, has_seeds)``.
     """
+    if links.isEmpty():
+        queries = queries.withColumn("has_seeds", F.lit(False))
     summed = links.join(scores, links.entity == scores.node).groupBy("query_id", "passage_id").agg(F.round(F.sum("score"), 12).alias("score")).where(F.col("score") > 0)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "passage_id")
     best = summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

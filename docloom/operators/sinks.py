@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.session import cut_lineage
+from docloom.session import remove_work, write_work
 
 
-def merge_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], update: Sequence[str]) -> DataFrame:
+def latest_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the last by ``order``, ties and no order decided by the row's content."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    content = F.to_json(F.struct(*rest))
+    last = F.max_by(F.struct(*rest), F.struct(*order, content))
+    return rows.groupBy(*keys).agg(last.alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*rows.columns)
+
+
+def merge_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], update: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Upsert by full outer join: incoming values win for ``update``, all other columns stay.
 
-    ``action`` says per row whether it was inserted, updated or kept.
+    Of several incoming rows of one key the last by ``order`` counts. ``action`` says per row
+    whether it was inserted, updated or kept.
     """
+    incoming = latest_rows(incoming, keys, order)
     old = existing.select(*keys, F.struct(*[c for c in existing.columns if c not in keys]).alias("old"))
     new = incoming.select(*keys, F.struct(*[c for c in incoming.columns if c not in keys]).alias("new"))
     rest = [c for c in existing.columns if c not in keys]
@@ -34,15 +46,40 @@ def merge_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], up
     return old.join(new, list(keys), "full_outer").select(*keys, *[value(c).alias(c) for c in rest], action.alias("action"))
 
 
-def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], update: Sequence[str], buckets: int = 64) -> DataFrame:
+def _layout(spark: SparkSession, path: str, buckets: int | None) -> int:
+    """The bucket count that is stored beside the table; another one is an error."""
+    place = f"{path}/_layout"
+    try:
+        stored = spark.read.schema("buckets INT").json(place).first()["buckets"]
+    except Exception as error:  # noqa: BLE001 - a missing path means a new table
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        stored = buckets or 64
+        spark.createDataFrame([(stored,)], "buckets INT").coalesce(1).write.json(place)
+    if buckets not in (None, stored):
+        raise ValueError(f"the table has {stored} buckets, not {buckets}")
+    return stored
+
+
+def upsert_table(
+    spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], update: Sequence[str], buckets: int | None = None,
+    order: Sequence[str] = (), replace: Sequence[str] = (),
+) -> DataFrame:
     """Upsert into a Parquet table partitioned by a hash bucket of the first key.
 
-    Only buckets that receive rows are read and rewritten. The merged rows are first written to
-    the shared folder, so a lost executor never leaves a half-read, half-overwritten bucket.
-    Returns the counts of inserted, updated and kept rows in those buckets.
+    The bucket count (64 unless given) is fixed when the table is made. Only buckets that receive
+    rows are read and rewritten. The merged rows are first written to the shared folder, so a lost
+    executor never leaves a half-read, half-overwritten bucket; those work tables are removed.
+    ``replace`` names keys, the first one among them, whose incoming groups replace the stored ones:
+    rows of a group that do not come again go. Returns the counts of inserted, updated, kept and
+    removed rows in the buckets.
     """
-    bucket = F.pmod(F.xxhash64(keys[0]), F.lit(buckets)).cast("int")
-    staged = cut_lineage(incoming.withColumn("bucket", bucket), "incoming")
+    if replace and replace[0] != keys[0]:
+        raise ValueError("groups are replaced within buckets, so the first key must lead them")
+    number = _layout(spark, path, buckets)
+    bucket = F.pmod(F.xxhash64(keys[0]), F.lit(number)).cast("int")
+    incoming_path = write_work(incoming.withColumn("bucket", bucket), "incoming")
+    staged = spark.read.parquet(incoming_path)
     try:
         table = spark.read.parquet(path)
         touched = table.join(staged.select("bucket").distinct(), "bucket", "left_semi")
@@ -50,12 +87,20 @@ def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequ
         if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
         touched = spark.createDataFrame([], staged.schema)
-    merged = cut_lineage(merge_rows(touched, staged, [*keys, "bucket"], update), "merged")
+    merged = merge_rows(touched, staged, [*keys, "bucket"], update, order)
+    if replace:
+        again = staged.select(*replace).distinct().withColumn("_again", F.lit(True))
+        stale = (F.col("action") == "kept") & F.col("_again").isNotNull()
+        merged = merged.join(again, list(replace), "left").withColumn("action", F.when(stale, "removed").otherwise(F.col("action"))).drop("_again")
+    merged_path = write_work(merged, "merged")
+    result = spark.read.parquet(merged_path)
     (
-        merged.drop("action").repartition("bucket").write.mode("overwrite")
+        result.where("action <> 'removed'").drop("action").repartition("bucket", F.pmod(F.xxhash64(*keys), F.lit(8))).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     )
-    return merged.groupBy("action").agg(F.count("*").alias("n"))
+    counts = [tuple(r) for r in result.groupBy("action").agg(F.count("*").alias("n")).collect()]
+    remove_work(spark, incoming_path, merged_path)
+    return spark.createDataFrame(counts, "action STRING, n LONG")
 
 
 def export(df: DataFrame, path: str, fmt: str, include_text: bool = True, include_metadata: bool = True,
@@ -76,36 +121,39 @@ def export(df: DataFrame, path: str, fmt: str, include_text: bool = True, includ
         raise ValueError(f"unknown export format {fmt!r}")
 
 
-def vector_records(chunks: DataFrame) -> DataFrame:
+def vector_records(chunks: DataFrame, max_content: int | None = None) -> DataFrame:
     """Records for a vector store: id ``job_chunk_i``, values and metadata with scalar extras only.
 
     ``chunks(job_id, chunk_index, content, embedding, metadata)`` where ``metadata`` maps names to
-    JSON values; arrays and objects are left out and content is cut to 1000 characters.
+    JSON values; arrays and objects are left out. Content is whole unless ``max_content`` cuts it.
     """
     scalars = F.map_filter("metadata", lambda _, v: v.isNotNull() & ~v.startswith("[") & ~v.startswith("{"))
     own = F.create_map(
         F.lit("job_id"), F.col("job_id").cast("string"), F.lit("chunk_index"), F.col("chunk_index").cast("string"),
-        F.lit("content"), F.left("content", F.lit(1000)))
+        F.lit("content"), F.col("content") if max_content is None else F.left("content", F.lit(max_content)))
     free = F.map_filter(scalars, lambda k, _: ~k.isin("job_id", "chunk_index", "content"))
     return chunks.select(
         F.concat(F.col("job_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("id"),
         F.col("embedding").alias("values"), F.map_concat(own, free).alias("metadata"))
 
 
-def property_graph(chunks: DataFrame, documents: DataFrame, entity_fields: Sequence[str] = ("title", "author", "organization")) -> tuple[DataFrame, DataFrame]:
+def property_graph(chunks: DataFrame, documents: DataFrame, entity_fields: Sequence[str] = ("title", "author", "organization"),
+                   max_content: int | None = None, max_name: int | None = None, entity_chunks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Node and edge tables for a property graph store.
 
-    Documents, their chunks (content cut to 10 000), ``HAS_CHUNK`` and ``NEXT_CHUNK`` edges, and for
-    the first three chunks the entities named in the document's metadata fields.
+    Documents, their chunks, ``HAS_CHUNK`` and ``NEXT_CHUNK`` edges, and for the first
+    ``entity_chunks`` chunks the entities named in the document's metadata fields. Texts and names
+    are whole and all chunks get entities unless the limits say otherwise.
     """
+    cut = lambda c, most: c if most is None else F.left(c, F.lit(most))
     cid = lambda i: F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), i.cast("string"))
     own = cid(F.col("chunk_index"))
     doc_nodes = documents.select(F.col("doc_id").cast("string").alias("id"), F.lit("Document").alias("label"), F.lit(None).cast("string").alias("content"))
-    chunk_nodes = chunks.select(own.alias("id"), F.lit("Chunk").alias("label"), F.left("content", F.lit(10000)).alias("content"))
+    chunk_nodes = chunks.select(own.alias("id"), F.lit("Chunk").alias("label"), cut(F.col("content"), max_content).alias("content"))
     present = [f for f in entity_fields if f in documents.columns]
-    named = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("kind"), F.left(F.col(f).cast("string"), F.lit(100)).alias("name"))) for f in present]))
+    named = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("kind"), cut(F.col(f).cast("string"), max_name).alias("name"))) for f in present]))
     about = documents.select("doc_id", F.explode(named).alias("e"))
-    entities = chunks.where(F.col("chunk_index") < 3).select("doc_id", own.alias("chunk")).join(about, "doc_id").select(
+    entities = (chunks if entity_chunks is None else chunks.where(F.col("chunk_index") < entity_chunks)).select("doc_id", own.alias("chunk")).join(about, "doc_id").select(
         "chunk", F.concat(F.col("chunk"), F.lit("_ent_"), F.col("e.kind")).alias("id"), F.col("e.name").alias("name"))
     nodes = doc_nodes.unionByName(chunk_nodes).unionByName(entities.select("id", F.lit("Entity").alias("label"), F.col("name").alias("content")))
     following = F.lead("chunk_index").over(Window.partitionBy("doc_id").orderBy("chunk_index"))
@@ -132,16 +180,21 @@ class Destination:
     filters: Sequence[Filter] = field(default_factory=tuple)
 
 
+def _runs(pattern: str) -> bool:
+    """Whether the engine that will run the pattern accepts it."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def filter_passes(f: Filter, fields: Mapping[str, Column]) -> Column:
     """Compare as strings, NULL as empty; an invalid regular expression never passes."""
     c = F.coalesce(fields[f.field].cast("string"), F.lit("")) if f.field in fields else F.lit("")
     v = F.lit(f.value)
     if f.operator == "regex":
-        try:
-            re.compile(f.value)
-        except re.error:
-            return F.lit(False)
-        return c.rlike(f.value)
+        return c.rlike(f.value) if _runs(f.value) else F.lit(False)
     return {
         "equals": c == v, "not_equals": c != v, "contains": F.contains(c, v),
         "starts_with": F.startswith(c, v), "ends_with": F.endswith(c, v),

@@ -14,8 +14,6 @@ from docloom.functions import sizing
 from docloom.functions import text as tx
 from docloom.operators import vector_search as vs
 
-MAX_K = 100
-
 # Abbreviation expansions.
 EXPANSIONS = {
     "ml": ["machine learning"],
@@ -58,6 +56,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75
     enough to be held by every task, one exchange on ``chunk_id`` serves both the term counts and
     the score sums.
     """
+    queries = queries.select("query_id", "term").distinct()
     small = sizing.is_small(queries)
     tokens, totals, vocabulary, doc_freq = _corpus(queries, chunks, small)
     n, avg_len = totals.select("n").scalar(), totals.select("avg_len").scalar()
@@ -85,12 +84,13 @@ def _bm25_block(queries: DataFrame, chunks: DataFrame, k: int, k1: float, b: flo
     The block's weights are one matrix in every task; a chunk's scores are a sparse row times that
     matrix, so neither postings nor (query, chunk) pairs are shuffled.
     """
+    schema, types = vs.id_types(queries, chunks, "chunk_id")
     tokens, totals, _, doc_freq = _corpus(queries, chunks, True)
     corpus = totals.first()
     n, avg_len = corpus["n"], corpus["avg_len"] or 1.0
     block = queries.join(doc_freq, "term").distinct().toPandas()
     terms, term_at = np.unique(block["term"].to_numpy(dtype=object).astype(str), return_inverse=True)
-    query_ids, query_at = np.unique(block["query_id"].to_numpy(dtype=np.int64), return_inverse=True)
+    query_ids, query_at = np.unique(block["query_id"].to_numpy(), return_inverse=True)
     weights = np.zeros((len(terms), len(query_ids)))
     df = block["df"].to_numpy(dtype=float)
     weights[term_at, query_at] = np.log(1 + (n - df + 0.5) / (df + 0.5))
@@ -99,9 +99,9 @@ def _bm25_block(queries: DataFrame, chunks: DataFrame, k: int, k1: float, b: flo
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, ids_q, w = shared.value
         known = pa.array(vocabulary, pa.string())
-        best = None
+        best = vs.Best(k)
         for batch in batches:
-            ids = batch.column("chunk_id").to_numpy()
+            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
             ws = batch.column("ws")
             length = np.asarray(pc.list_value_length(ws))
             row = np.repeat(np.arange(len(ids)), length)
@@ -119,31 +119,44 @@ def _bm25_block(queries: DataFrame, chunks: DataFrame, k: int, k1: float, b: flo
                     j = min(i + SLICE_ROWS, start + group, len(rows))
                     lo, hi = first[i], ends[j - 1]
                     parts.append(np.add.reduceat(w[at[lo:hi]] * x[lo:hi, None], first[i:j] - lo, axis=0))
-                scores = np.concatenate(parts)
-                scores[scores <= 0] = -1.0
-                best = vs._merge(best, vs._best(scores, ids[rows[start:start + group]], ids_q, k, 0.0, False), k)
-        if best is not None and len(best):
-            yield vs.as_batch(best)
-
-    if not len(terms):
-        return chunks.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
-    found = tokens.mapInArrow(score, "query_id long, id long, similarity double")
+                scores = np.round(np.concatenate(parts), 7)
+                best.add(scores, ids[rows[start:start + group]], scores > 0, 0)
+        yield from best.batch(ids_q, types)
+
+    found = tokens.mapInArrow(score, schema) if len(terms) else chunks.sparkSession.createDataFrame([], schema)
     return found.select("query_id", F.col("id").alias("chunk_id"), F.col("similarity").alias("score"))
 
 
-def ranked(queries: DataFrame, chunks: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, weight_cells: int = WEIGHT_CELLS) -> DataFrame:
+def ranked(
+    queries: DataFrame, chunks: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, weight_cells: int = WEIGHT_CELLS, max_k: int | None = None
+) -> DataFrame:
     """Top-k text hits; ``rank_score`` squeezes the score to r / (r + 1).
 
     A query block whose measured weight matrix fits ``weight_cells`` is scored where the chunks
-    lie; a larger one goes through the relational plan of :func:`bm25`. Both give the same rows.
+    lie; a larger one goes through the relational plan of :func:`bm25`. Both give the same rows; a
+    term counts once per query.
     """
-    k = min(k, MAX_K)
+    k = vs.checked_k(k, max_k)
+    queries = queries.select("query_id", "term").distinct()
     size = queries.agg(F.countDistinct("term").alias("t"), F.countDistinct("query_id").alias("q")).first()
     fits = size["t"] * size["q"] <= weight_cells
     top = take_top(_bm25_block(queries, chunks, k, k1, b) if fits else bm25(queries, chunks, k1, b), k)
     return top.withColumn("rank_score", F.col("score") / (F.col("score") + 1))
 
 
+def matched_ranked(clauses: DataFrame, terms: DataFrame, chunks: DataFrame, k: int = 10, keep: Column | None = None, max_k: int | None = None) -> DataFrame:
+    """Top-k by text score among the chunks that pass ``keep`` and every clause of a query.
+
+    Matching comes before ranking, so k counts matches only. Statistics of terms are those of all
+    of ``chunks``, as they would be without filters. ``clauses`` as in :func:`boolean_match`,
+    ``terms(query_id, term)`` as in :func:`ranked`.
+    """
+    allowed = chunks if keep is None else chunks.where(keep)
+    matches = boolean_match(clauses, allowed)
+    scored = bm25(terms, chunks).join(matches, ["query_id", "chunk_id"])
+    return take_top(scored, vs.checked_k(k, max_k)).withColumn("rank_score", F.col("score") / (F.col("score") + 1))
+
+
 def boolean_match(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks that satisfy every clause of a query.
 
@@ -184,7 +197,7 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
-def fuzzy(queries: DataFrame, chunks: DataFrame, threshold: float = 0.3, k: int = 10) -> DataFrame:
+def fuzzy(queries: DataFrame, chunks: DataFrame, threshold: float = 0.3, k: int = 10, max_k: int | None = None) -> DataFrame:
     """Trigram similarity shared / (a + b − shared) at or above the threshold, top-k per query.
 
     Size alone bounds the similarity, so pairs whose set sizes are too far apart are left out
@@ -200,10 +213,10 @@ def fuzzy(queries: DataFrame, chunks: DataFrame, threshold: float = 0.3, k: int
         "query_id", "chunk_id",
         F.round(F.col("both") / (F.col("qn") + F.col("cn") - F.col("both")), 9).alias("score"),
     ).where(F.col("score") >= threshold)
-    return take_top(scored, min(k, MAX_K))
+    return take_top(scored, vs.checked_k(k, max_k))
 
 
-def text_or_fuzzy(text_hits: DataFrame, fuzzy_hits: DataFrame, k: int = 10) -> DataFrame:
+def text_or_fuzzy(text_hits: DataFrame, fuzzy_hits: DataFrame, k: int = 10, max_k: int | None = None) -> DataFrame:
     """Either leg matches; the better of the two scores counts.
 
     Both legs may be cut to their own top-k first: a row that wins by one leg's score is in
@@ -212,7 +225,7 @@ def text_or_fuzzy(text_hits: DataFrame, fuzzy_hits: DataFrame, k: int = 10) -> D
     t = text_hits.select("query_id", "chunk_id", F.round("rank_score", 9).alias("t"))
     f = fuzzy_hits.select("query_id", "chunk_id", F.col("score").alias("f"))
     both = t.join(f, ["query_id", "chunk_id"], "full_outer")
-    return take_top(both.select("query_id", "chunk_id", F.greatest("t", "f").alias("score")), min(k, MAX_K))
+    return take_top(both.select("query_id", "chunk_id", F.greatest("t", "f").alias("score")), vs.checked_k(k, max_k))
 
 
 def matched_terms(content: Column, terms: Column) -> Column:
@@ -221,7 +234,8 @@ def matched_terms(content: Column, terms: Column) -> Column:
 
 def highlight(content: Column, terms: Column, start: str = "<mark>", end: str = "</mark>") -> Column:
     """Mark every whole-word hit, keeping the original spelling."""
-    any_term = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])("), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    quoted = F.transform(terms, lambda t: F.concat(F.lit("\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    any_term = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])("), F.array_join(quoted, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
     return F.when(F.size(terms) == 0, content).otherwise(F.regexp_replace(content, any_term, F.lit(f"{start}$1{end}")))
 
 

@@ -5,17 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-MAX_K = 100
-# Query vectors that may be held by every task at once; larger batches take the grid path.
-QUERY_BLOCK_FLOATS = 4_000_000
-GRID_ROWS = 50_000
+# Query components that one broadcast block holds, and scores that a task holds at once.
+BLOCK_FLOATS, SCORE_CELLS = 4_000_000, 4_000_000
+
+
+def checked_k(k: int, max_k: int | None) -> int:
+    """``k``, or an error where it exceeds a limit that the caller has set; it is never lowered silently."""
+    if max_k is not None and k > max_k:
+        raise ValueError(f"k = {k} is more than max_k = {max_k}")
+    return k
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -23,27 +29,43 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
-def _best(sims: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int, floor: float | None, skip_self: bool) -> pd.DataFrame:
-    """The k best rows of every query column, best first, smaller id first on equal similarity."""
-    sims = np.round(sims, 7)
-    kept_ids, kept_sims, sizes = [], [], []
-    for j, query_id in enumerate(query_ids):
-        column = sims[:, j]
-        ok = np.ones(len(ids), dtype=bool) if floor is None else column >= floor
-        if skip_self:
-            ok &= ids != query_id
-        rows = np.flatnonzero(ok)
-        if len(rows) > k:
-            # everything at or above the k-th value competes, so ties are decided by id alone
-            cut = np.partition(column[rows], len(rows) - k)[len(rows) - k]
-            rows = rows[column[rows] >= cut]
-        rows = rows[np.lexsort((ids[rows], -column[rows]))][:k]
-        kept_ids.append(ids[rows])
-        kept_sims.append(column[rows])
-        sizes.append(len(rows))
-    if not sizes:
-        return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-    return pd.DataFrame({"query_id": np.repeat(query_ids, sizes), "id": np.concatenate(kept_ids), "similarity": np.concatenate(kept_sims)})
+class Best:
+    """The k best (query, id) pairs so far, smaller id first on equal scores. Ids may be of any ordered type."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.query, self.ids, self.score = np.zeros(0, np.int64), None, np.zeros(0)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray, first_query: int) -> None:
+        """``scores`` and ``allowed`` are (row, query); query columns are numbered from ``first_query``."""
+        if not scores.size:
+            return
+        if len(scores) > self.k:
+            # All at or above the k-th value of a query compete, so ties are decided by id alone.
+            shown = np.where(allowed, scores, -np.inf)
+            allowed = allowed & (shown >= np.partition(shown, len(scores) - self.k, axis=0)[len(scores) - self.k])
+        row, column = np.nonzero(allowed)
+        query = np.concatenate([self.query, column + first_query])
+        found = ids[row] if self.ids is None else np.concatenate([self.ids, ids[row]])
+        score = np.concatenate([self.score, scores[row, column]])
+        rank_of_id = np.unique(found, return_inverse=True)[1]
+        order = np.lexsort((rank_of_id, -score, query))
+        query = query[order]
+        starts = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, np.int64)
+        place = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+        kept = order[place < self.k]
+        self.query, self.ids, self.score = query[place < self.k], found[kept], score[kept]
+
+    def batch(self, query_ids: np.ndarray, types: tuple[pa.DataType, pa.DataType]) -> Iterator[pa.RecordBatch]:
+        if len(self.query):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(query_ids[self.query], types[0]), pa.array(self.ids, types[1]), pa.array(self.score, pa.float64())], names=["query_id", "id", "similarity"])
+
+
+def id_types(queries: DataFrame, rows: DataFrame, row_id: str):
+    """Schema of results and the Arrow types of both ids."""
+    fields = [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", rows.schema[row_id].dataType), T.StructField("similarity", T.DoubleType())]
+    return T.StructType(fields), (to_arrow_type(fields[0].dataType), to_arrow_type(fields[1].dataType))
 
 
 def top_k(
@@ -52,82 +74,60 @@ def top_k(
     k: int = 10,
     min_similarity: float | None = 0.7,
     exclude_self: bool = False,
-    block_floats: int = QUERY_BLOCK_FLOATS,
+    block_floats: int = BLOCK_FLOATS,
+    score_cells: int = SCORE_CELLS,
+    max_k: int | None = None,
 ) -> DataFrame:
     """Exact top-k by cosine for every query.
 
-    ``queries(query_id, query_vec)``, ``vectors(id, vec)``; NULL vectors are skipped. A query
-    batch whose measured size fits ``block_floats`` is handed to every task, vectors stay
-    where they are and only k rows per query leave each partition. A larger batch is laid out
-    on a grid of (vector block, query block) cells of bounded size. Both are exact.
+    ``queries(query_id, query_vec)``, ``vectors(id, vec)`` with ids of any type; NULL vectors are
+    skipped, and a query meets only vectors of its own length. Queries go out in blocks of at most
+    ``block_floats`` components; vectors stay where they are, a task scores at most ``score_cells``
+    pairs at once, and k rows per query leave each partition.
     """
-    k = min(k, MAX_K)
+    k = checked_k(k, max_k)
     vectors = vectors.where(F.col("vec").isNotNull()).select("id", "vec")
-    queries = queries.where(F.col("query_vec").isNotNull()).select("query_id", "query_vec")
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("query_vec")).alias("d")).first()
-    fits = (size["n"] or 0) * (size["d"] or 0) <= block_floats
-    local = _block_scan(queries, vectors, k, min_similarity, exclude_self) if fits else _grid_scan(
-        queries, vectors, size["n"], k, min_similarity, exclude_self
-    )
+    queries = queries.where(F.col("query_vec").isNotNull()).select("query_id", "query_vec").withColumn("_d", F.size("query_vec"))
+    local = None
+    for d, n in sorted((r["_d"], r["n"]) for r in queries.groupBy("_d").agg(F.count("*").alias("n")).collect()):
+        blocks = max(1, -(-n * d // max(1, block_floats)))
+        for block in range(blocks):
+            some = queries.where((F.col("_d") == d) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block))
+            found = _scan(some, vectors.where(F.size("vec") == d), k, min_similarity, exclude_self, score_cells)
+            local = found if local is None else local.unionByName(found)
+    if local is None:
+        local = queries.sparkSession.createDataFrame([], id_types(queries, vectors, "id")[0])
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     ranked = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.withColumn("similarity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("similarity"))))
 
 
-_SCHEMA = "query_id long, id long, similarity double"
-
-
-def _merge(best: pd.DataFrame | None, found: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best per query of two partial results."""
-    if best is None:
-        return found
-    both = pd.concat([best, found], ignore_index=True)
-    return both.sort_values(["query_id", "similarity", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
-
-
-def as_batch(best: pd.DataFrame) -> pa.RecordBatch:
-    typed = best.astype({"query_id": "int64", "id": "int64", "similarity": "float64"})
-    return pa.RecordBatch.from_pandas(typed, preserve_index=False)
-
-
-def _block_scan(queries, vectors, k, floor, skip_self) -> DataFrame:
-    block = queries.toPandas()
-    query_ids = block["query_id"].to_numpy(dtype=np.int64)
-    matrix = _unit(np.array(block["query_vec"].tolist(), dtype=np.float64)) if len(block) else np.zeros((0, 0))
-    shared = vectors.sparkSession.sparkContext.broadcast((query_ids, matrix))
+def _scan(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None, skip_self: bool, cells: int) -> DataFrame:
+    """One block of queries against all vectors."""
+    schema, types = id_types(queries, vectors, "id")
+    block = queries.toPandas()  # at most block_floats components
+    query_ids = block["query_id"].to_numpy()
+    unit_queries = _unit(np.array(block["query_vec"].tolist(), dtype=np.float64)) if len(block) else np.zeros((0, 0))
+    shared = vectors.sparkSession.sparkContext.broadcast((query_ids, unit_queries))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_q, unit_q = shared.value
-        best = None
+        best = Best(k)
         for batch in batches:
             if batch.num_rows == 0 or len(ids_q) == 0:
                 continue
-            column = batch.column("vec")
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            unit_v = _unit(flat.reshape(batch.num_rows, -1))
-            best = _merge(best, _best(unit_v @ unit_q.T, batch.column("id").to_numpy(), ids_q, k, floor, skip_self), k)
-        if best is not None and len(best):
-            yield as_batch(best)
-
-    return vectors.mapInArrow(scan, _SCHEMA)
-
-
-def _grid_scan(queries, vectors, n_queries, k, floor, skip_self) -> DataFrame:
-    n_vectors = vectors.count()
-    v_blocks = max(1, -(-n_vectors // GRID_ROWS))
-    q_blocks = max(1, -(-n_queries // GRID_ROWS))
-    cell = lambda id_col, n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.withColumn("vb", cell("id", v_blocks)).withColumn("qb", spread(q_blocks))
-    right = queries.withColumn("qb", cell("query_id", q_blocks)).withColumn("vb", spread(v_blocks))
-
-    def score(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(v) or not len(q):
-            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        sims = _unit(np.array(v["vec"].tolist(), dtype=np.float64)) @ _unit(np.array(q["query_vec"].tolist(), dtype=np.float64)).T
-        return _best(sims, v["id"].to_numpy(), q["query_id"].to_numpy(), k, floor, skip_self)
+            flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            unit_v, ids = _unit(flat.reshape(batch.num_rows, -1)), batch.column("id").to_numpy(zero_copy_only=False)
+            width = max(1, cells // batch.num_rows)
+            for lo in range(0, len(ids_q), width):
+                sims = np.round(unit_v @ unit_q[lo:lo + width].T, 7)
+                allowed = np.ones(sims.shape, bool) if floor is None else sims >= floor
+                if skip_self:
+                    allowed &= ids[:, None] != ids_q[None, lo:lo + width]
+                best.add(sims, ids, allowed, lo)
+        yield from best.batch(ids_q, types)
 
-    return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(score, _SCHEMA)
+    return vectors.mapInArrow(scan, schema)
 
 
 def filtered(
@@ -137,6 +137,7 @@ def filtered(
     content_hash: str | None = None,
     min_quality: float | None = None,
     extra: Column | None = None,
+    model: str | None = None,
 ) -> DataFrame:
     """Filters that apply before scoring, so the limit counts only rows that pass."""
     out = vectors
@@ -148,14 +149,14 @@ def filtered(
         out = out.where(F.col("content_hash") == content_hash)
     if min_quality is not None:
         out = out.where(F.col("quality_score") >= min_quality)
+    if model is not None:
+        out = out.where(F.col("model_name") == model)
     return out.where(extra) if extra is not None else out
 
 
-def similar_to(seeds: DataFrame, vectors: DataFrame, k: int = 10, exclude_self: bool = True) -> DataFrame:
-    """Neighbours of existing rows: no threshold; k is capped first, then self gives up its place."""
-    capped = min(k + 1 if exclude_self else k, MAX_K)
-    keep = capped - 1 if exclude_self else capped
-    return top_k(seeds, vectors, keep, min_similarity=None, exclude_self=exclude_self)
+def similar_to(seeds: DataFrame, vectors: DataFrame, k: int = 10, exclude_self: bool = True, max_k: int | None = None) -> DataFrame:
+    """The k nearest neighbours of existing rows, without a threshold."""
+    return top_k(seeds, vectors, k, min_similarity=None, exclude_self=exclude_self, max_k=max_k)
 
 
 def validate(vectors: DataFrame, dims: int, column: str = "vec") -> DataFrame:

@@ -167,20 +167,20 @@ def src9(spark, sf_dir):
     sq.with_(sq.CHUNKS) + """,
 old AS (SELECT doc_id, chunk_index, chunk_id FROM chunks WHERE doc_id IN (SELECT doc_id FROM labels)),
 new AS (SELECT doc_id, chunk_index, lang FROM chunks WHERE lang IN ('en', 'fr'))
-SELECT CASE WHEN o.doc_id IS NULL THEN 'inserted' WHEN n.doc_id IS NULL THEN 'kept' ELSE 'updated' END AS action, count(*) AS n,
-  count(*) FILTER (n.doc_id IS NOT NULL) AS n_new_content, count(*) FILTER (o.doc_id IS NOT NULL) AS n_old_ids
-FROM old o FULL JOIN new n ON o.doc_id = n.doc_id AND o.chunk_index = n.chunk_index GROUP BY 1""",
+SELECT CASE WHEN n.doc_id IS NULL THEN 'old' ELSE 'new' END AS content, CASE WHEN o.doc_id IS NULL THEN 'new' ELSE 'old' END AS row_origin, count(*) AS n,
+  CAST(sum(coalesce(o.chunk_index, n.chunk_index)) AS BIGINT) AS index_sum
+FROM old o FULL JOIN new n ON o.doc_id = n.doc_id AND o.chunk_index = n.chunk_index GROUP BY 1, 2""",
 )
 def snk1(spark, sf_dir):
+    """The table after two upserts, the second one sent twice."""
     chunks = tables.chunks(spark, sf_dir)
     labels = tables.load(spark, sf_dir, "labels").select("doc_id")
-    old = chunks.join(labels, "doc_id", "left_semi").select(
-        F.col("doc_id").alias("job_id"), "chunk_index", F.lit("old").alias("content"), F.lit("old").alias("row_origin"))
-    new = chunks.where(F.col("lang").isin("en", "fr")).select(
-        F.col("doc_id").alias("job_id"), "chunk_index", F.lit("new").alias("content"), F.lit("new").alias("row_origin"))
-    merged = sinks.merge_rows(old, new, ["job_id", "chunk_index"], ["content"])
-    return merged.groupBy("action").agg(
-        F.count("*").alias("n"), F.count_if(F.col("content") == "new").alias("n_new_content"), F.count_if(F.col("row_origin") == "old").alias("n_old_ids"))
+    rows = lambda df, word: df.select(F.col("doc_id").alias("job_id"), "chunk_index", F.lit(word).alias("content"), F.lit(word).alias("row_origin"))
+    old, new = rows(chunks.join(labels, "doc_id", "left_semi"), "old"), rows(chunks.where(F.col("lang").isin("en", "fr")), "new")
+    path = scratch(spark, "chunk-table")
+    for incoming in (old, new, new.unionByName(new)):
+        sinks.upsert_table(spark, path, incoming, ["job_id", "chunk_index"], ["content"], buckets=8 if incoming is old else None)
+    return spark.read.parquet(path).groupBy("content", "row_origin").agg(F.count("*").alias("n"), F.sum("chunk_index").alias("index_sum"))
 
 
 @query(
@@ -226,7 +226,7 @@ def snk4(spark, sf_dir):
     rows = tables.chunk_vectors(spark, sf_dir).select(
         F.col("doc_id").alias("job_id"), "chunk_index", "content", F.col("vec").alias("embedding"),
         F.create_map(F.lit("lang"), F.col("lang"), F.lit("n"), F.col("chunk_index").cast("string"), F.lit("tags"), F.lit('["a"]'), F.lit("nested"), F.lit('{"a": 1}')).alias("metadata"))
-    out = sinks.vector_records(rows)
+    out = sinks.vector_records(rows, max_content=1000)
     return out.select(
         "id", F.when(F.col("values").isNull(), 0).otherwise(F.size("values")).alias("n_values"), F.length(F.col("metadata")["content"]).alias("n_content"),
         F.array_join(F.array_sort(F.map_keys("metadata")), ",").alias("keys"))
@@ -243,7 +243,7 @@ e AS (SELECT CAST(doc_id AS VARCHAR) AS src, doc_id || '_chunk_' || chunk_index
 
 def exported_graph(spark, sf_dir):
     docs = tables.load(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("author"))
-    return sinks.property_graph(tables.chunks(spark, sf_dir).select("doc_id", "chunk_index", "content"), docs)
+    return sinks.property_graph(tables.chunks(spark, sf_dir).select("doc_id", "chunk_index", "content"), docs, max_content=10_000, max_name=100, entity_chunks=3)
 
 
 @query("snk5_graph_nodes", PROPERTY + " SELECT label, count(*) AS n, count(DISTINCT id) AS n_ids FROM n GROUP BY 1")

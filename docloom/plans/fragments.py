@@ -49,12 +49,10 @@ def with_(*parts: str) -> str:
 
 
 MENTIONS = f"""
-doc_words AS (SELECT DISTINCT doc_id, unnest({words_of('text')}) AS w FROM documents),
-concepts AS (SELECT w FROM doc_words GROUP BY w HAVING count(*) BETWEEN 2 AND 50),
 mentions AS (
   SELECT DISTINCT chunk_id, doc_id, w AS entity_text, 'concept' AS entity_type, 0.6 AS confidence
   FROM (SELECT chunk_id, doc_id, unnest({words_of('content')}) AS w FROM chunks)
-  WHERE w IN (SELECT w FROM concepts)
+  WHERE w NOT IN {sql_list(ENGLISH_STOP_WORDS)}
 )"""
 
 

@@ -166,28 +166,30 @@ def simple_edges(spark, sf_dir):
     return triples.select(F.col("subject").alias("src"), F.col("object").alias("dst"))
 
 
-_ROUNDS = 3
+_ROUNDS = 4
 _LP = "adj AS (SELECT DISTINCT subject AS src, object AS dst FROM tr UNION SELECT object, subject FROM tr), l0 AS (SELECT DISTINCT src AS id, src AS label FROM adj)" + "".join(
     f""",
-v{i} AS (SELECT src, label, count(*) AS n FROM adj JOIN l{i - 1} ON dst = id GROUP BY 1, 2),
-l{i} AS (SELECT src AS id, arg_min(label, (-n, label)) AS label FROM v{i} GROUP BY 1)""" for i in range(1, _ROUNDS + 1))
+v{i} AS (SELECT src, l.label, count(*) AS n, any_value(o.label) AS own FROM adj JOIN l{i - 1} l ON dst = l.id JOIN l{i - 1} o ON o.id = src GROUP BY 1, 2),
+l{i} AS (SELECT src AS id, CASE WHEN ascii(md5(src || ':{i}')) % 2 = 0 THEN arg_min(label, (-n, label <> own, label)) ELSE any_value(own) END AS label FROM v{i} GROUP BY src)""" for i in range(1, _ROUNDS + 1))
 PROPAGATED = "WITH" + TRIPLES + ", " + _LP
 
 
-def propagated(spark, sf_dir):
+@query("grf8_label_propagation", PROPAGATED + f" SELECT id, label FROM l{_ROUNDS}")
+def grf8(spark, sf_dir):
+    """Four rounds, which SQL can unroll."""
     return gr.label_propagation(simple_edges(spark, sf_dir), _ROUNDS, stop_when_stable=False)
 
 
-@query("grf8_label_propagation", PROPAGATED + f" SELECT id, label FROM l{_ROUNDS}")
-def grf8(spark, sf_dir):
-    return propagated(spark, sf_dir)
+@query("grf8_converged")
+def grf8_converged(spark, sf_dir):
+    """The same until no node moves."""
+    return gr.label_propagation(simple_edges(spark, sf_dir))
 
 
 @query("grf9_modularity_communities")
 def grf9(spark, sf_dir):
-    edges = simple_edges(spark, sf_dir)
-    labels = gr.greedy_modularity(edges.where(F.startswith("src", F.lit("S"))), max_rounds=6)
-    return labels.groupBy("label").agg(F.count("*").alias("size"))
+    """The whole graph, merged until no pair gains."""
+    return gr.greedy_modularity(simple_edges(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("size"))
 
 
 GROUPED = "WITH" + TRIPLES + """,
@@ -233,10 +235,17 @@ def grf11(spark, sf_dir):
     return gr.community_table(simple_edges(spark, sf_dir), labels.select("id", "label"), labels.select("id", "type"), 3, 20)
 
 
+@query(
+    "grf11_coverage",
+    GROUPED + " SELECT round(count(*) FILTER (a.label = b.label) / (SELECT count(*) FROM adj), 9) AS coverage FROM adj JOIN lb a ON a.id = adj.src JOIN lb b ON b.id = adj.dst",
+)
+def grf11_coverage(spark, sf_dir):
+    return rounded(gr.coverage(simple_edges(spark, sf_dir), grouped(spark, sf_dir).select("id", "label")), "coverage", digits=9)
+
+
 @query("grf12_multi_level")
 def grf12(spark, sf_dir):
-    edges = simple_edges(spark, sf_dir).where(F.startswith("src", F.lit("S")))
-    return gr.multi_level(edges, 2, max_rounds=4).groupBy("level", "label").agg(F.count("*").alias("size"))
+    return gr.multi_level(simple_edges(spark, sf_dir), 2).groupBy("level", "label").agg(F.count("*").alias("size"))
 
 
 @query("grf13_triples", "WITH" + TRIPLES + " SELECT subject, predicate, object FROM tr")
@@ -278,6 +287,13 @@ def grf14(spark, sf_dir):
     return rounded(pagerank(spark, sf_dir)[0], "score", digits=9)
 
 
+@query("grf14_converged")
+def grf14_converged(spark, sf_dir):
+    """Personalised PageRank until no score moves."""
+    triples, _ = gr.load_triples(raw_triples(spark, sf_dir))
+    return rounded(gr.personalised_pagerank(triples, nation_seeds(spark, sf_dir)), "score", digits=9)
+
+
 PASSAGES = RANKED + f""",
 ps AS (SELECT query_id, passage_id, round(sum(score), 12) AS score FROM links JOIN p{_PR} ON entity = node GROUP BY 1, 2),
 top AS (SELECT query_id, passage_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM ps QUALIFY rank <= 10

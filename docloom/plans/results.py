@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom import tables
+from docloom.session import cut_lineage
 from docloom.operators import context as cx
 from docloom.operators import fusion as fu
 from docloom.operators import text_search as ts
@@ -84,16 +85,14 @@ k AS (SELECT mode, l.query_id, leg FROM legs l JOIN n USING (query_id), m
 SELECT mode, query_id, count(*) FILTER (leg = 'vector') AS n_vector, count(*) FILTER (leg = 'text') AS n_text FROM k GROUP BY 1, 2""",
 )
 def hyb4(spark, sf_dir):
-    v = vector_leg(spark, sf_dir, floor=0.99999)
-    t = text_leg(spark, sf_dir).where(F.col("rank_score") >= 0.98)
-    modes = F.explode(F.array(*[F.lit(m) for m in ("auto", "vector", "text", "strict")]))
-    # the mode is a column of the rows, so one pass answers all four
-    out = fu.with_fallback(v, t, "strict").drop("mode").withColumn("mode", modes)
-    sizes = out.groupBy("mode", "query_id").agg(
-        F.count_if(F.col("leg") == "vector").alias("nv"), F.count_if(F.col("leg") == "text").alias("nt"))
-    one_empty = (F.col("nv") == 0) != (F.col("nt") == 0)
-    own = F.when(F.col("mode") == "vector", F.col("nv") > 0).when(F.col("mode") == "text", F.col("nt") > 0).otherwise(True)
-    return sizes.where(~one_empty | own).select("mode", "query_id", F.col("nv").alias("n_vector"), F.col("nt").alias("n_text"))
+    v = cut_lineage(vector_leg(spark, sf_dir, floor=0.99999), "leg")
+    t = cut_lineage(text_leg(spark, sf_dir).where(F.col("rank_score") >= 0.98), "leg")
+    counts = None
+    for mode in ("auto", "vector", "text", "strict"):
+        one = fu.with_fallback(v, t, mode).groupBy("mode", "query_id").agg(
+            F.count_if(F.col("leg") == "vector").alias("n_vector"), F.count_if(F.col("leg") == "text").alias("n_text"))
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
 
 
 @query(
@@ -107,12 +106,12 @@ SELECT query_id, chunk_id, greatest(0, least(1, sim)) AS similarity,
        row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM s WHERE sim >= 0.1 QUALIFY rank <= 10""",
 )
 def hyb5(spark, sf_dir):
-    conditions = fu.parse_filters({
+    wanted = fu.conditions({
         "source_type": {"in": ["src1", "src2", "src3", "src5", "src8"]}, "language": {"!=": "de"},
         "chunk_index": {">=": 0, "<": 4}, "content": {"contains": "e"},
     })
     fields = {"source_type": F.col("source"), "language": F.col("lang"), "chunk_index": F.col("chunk_index"), "content": F.col("content")}
-    kept = tables.chunk_vectors(spark, sf_dir).where(fu.filter_predicate(conditions, fields))
+    kept = tables.chunk_vectors(spark, sf_dir).where(fu.where_all(wanted, fields))
     hits = vs.top_k(tables.query_vectors(spark, sf_dir), kept.select(F.col("chunk_id").alias("id"), "vec"), 10, 0.1)
     return hits.select("query_id", F.col("id").alias("chunk_id"), "similarity", F.col("rank").cast("long").alias("rank"))
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The temporary folder of each local session that names none; the session's own settings stay as they are.
+_FALLBACK: dict[str, str] = {}
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -36,11 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    fallback = tempfile.mkdtemp(prefix="docloom-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    app = spark.sparkContext.applicationId
+    if app not in _FALLBACK:
+        _FALLBACK[app] = tempfile.mkdtemp(prefix="docloom-")
+    return _FALLBACK[app]
 
 
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
@@ -49,7 +54,32 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     The result has no lineage, survives executor loss, and carries real file statistics, so
     later joins choose their strategy on measured size.
     """
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "docloom", f"{label}-{uuid.uuid4().hex}")
+    return df.sparkSession.read.schema(df.schema).parquet(write_work(df, label))
+
+
+def write_work(df: DataFrame, label: str = "step") -> str:
+    """``df`` as a table in the shared folder; returns its path, so that it can be removed."""
+    path = os.path.join(shared_dir(df.sparkSession), "docloom", f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def remove_work(spark: SparkSession, *paths: str) -> None:
+    """Remove work tables that nothing reads any more."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Rounds:
+    """The state of an iteration, one work table per round; a round's table goes once its successor is written."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.path = spark, label, None
+
+    def store(self, df: DataFrame) -> DataFrame:
+        path = write_work(df, self.label)
+        if self.path:
+            remove_work(self.spark, self.path)
+        self.path = path
+        return self.spark.read.schema(df.schema).parquet(path)

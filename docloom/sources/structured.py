@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,22 +11,38 @@ INTEGER = r"^[+-]?\d+$"
 FLOAT = r"(?i)^[+-]?(\d+\.?\d*([e][+-]?\d+)?|\.\d+([e][+-]?\d+)?|inf|infinity|nan)$"
 
 
-def detect_delimiter(spark: SparkSession, path: str) -> str:
-    """Tab for .tsv and .tab, else sniffed from the head of the file, else the most frequent of , TAB ; |."""
-    if path.lower().rstrip("/").endswith((".tsv", ".tab")):
-        return "\t"
-    head = "\n".join(r["value"] for r in spark.read.text(path).limit(50).collect())
-    try:
-        return csv.Sniffer().sniff(head, delimiters=",\t;|").delimiter
-    except csv.Error:
-        counts = {d: head.count(d) for d in ",\t;|"}
-        return max(counts, key=counts.get) if any(counts.values()) else ","
+DELIMITERS = [",", "\t", ";", "|"]
+
+
+def detect_delimiters(spark: SparkSession, path: str) -> DataFrame:
+    """path, delimiter for each file: TAB for .tsv and .tab, else the one whose number per line varies least.
+
+    Counted over all lines of a file in one aggregation; a comma where nothing is found.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("path"), "value")
+    number = [F.length("value") - F.length(F.replace("value", F.lit(d), F.lit(""))) for d in DELIMITERS]
+    seen = lines.groupBy("path").agg(*[x for i, c in enumerate(number) for x in (F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"))])
+    steady = F.array(*[F.when(F.col(f"m{i}") > 0, F.struct((-F.col(f"s{i}") / F.col(f"m{i}")).alias("r"), F.col(f"m{i}").alias("m"), F.lit(d).alias("d"))) for i, d in enumerate(DELIMITERS)])
+    by_name = F.lower("path").rlike(r"\.(tsv|tab)$")
+    return seen.select("path", F.when(by_name, "\t").otherwise(F.coalesce(F.array_max(F.array_compact(steady))["d"], F.lit(","))).alias("delimiter"))
+
 
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, quote: str = '"', escape: str = '"', multi_line: bool = False, encoding: str = "UTF-8") -> DataFrame:
+    """All columns as strings, empty strings as NULL. Each file is read with its own delimiter unless one is given.
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """All columns as strings, empty strings as NULL."""
-    sep = delimiter or detect_delimiter(spark, path)
-    return spark.read.csv(path, sep=sep, header=True, escape="\\", emptyValue="", nullValue="")
+    Doubled quotes stand for one; ``multi_line`` lets quoted cells hold line breaks.
+    """
+    if delimiter:
+        groups = {delimiter: [path]}
+    else:
+        groups = {}
+        for r in detect_delimiters(spark, path).orderBy("path").collect():  # one row per file
+            groups.setdefault(r["delimiter"], []).append(r["path"])
+    out = None
+    for sep, paths in (groups or {",": [path]}).items():
+        one = spark.read.csv(paths, sep=sep, header=True, quote=quote, escape=escape, multiLine=multi_line, encoding=encoding, emptyValue="", nullValue="")
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
 def column_types(rows: DataFrame) -> DataFrame:
@@ -36,14 +50,18 @@ def column_types(rows: DataFrame) -> DataFrame:
 
     One aggregation over the rows, then one row per column; nothing is stacked per cell.
     """
+    def cell(c: str) -> Column:
+        return F.col("`" + c.replace("`", "``") + "`")
+
     def kind(c: str) -> Column:
-        v = F.trim(F.col(f"`{c}`"))
+        v = F.trim(cell(c))
         return F.when(v == "", None).when(v.rlike(INTEGER), 1).when(v.rlike(FLOAT), 2).when(v.rlike(DATE), 3).when(v.isNotNull(), 4)
 
-    highest = rows.agg(*[F.max(kind(c)).alias(c) for c in rows.columns], *[F.count(f"`{c}`").alias(f"n_{c}") for c in rows.columns])
-    name = lambda c: F.when(F.col(c) == 4, "string").when(F.col(c) == 3, "date").when(F.col(c) == 2, "float").when(
-        F.col(c) == 1, "integer").otherwise("unknown")
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), name(c).alias("type"), F.col(f"n_{c}").alias("n_values")) for c in rows.columns])
+    # Positions name the results, so no column name can clash with them.
+    numbered = list(enumerate(rows.columns))
+    highest = rows.agg(*[F.max(kind(c)).alias(f"k{i}") for i, c in numbered], *[F.count(cell(c)).alias(f"n{i}") for i, c in numbered])
+    name = lambda c: F.when(c == 4, "string").when(c == 3, "date").when(c == 2, "float").when(c == 1, "integer").otherwise("unknown")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), name(F.col(f"k{i}")).alias("type"), F.col(f"n{i}").alias("n_values")) for i, c in numbered])
     return highest.select(F.explode(cells).alias("c")).select("c.*")
 
 

@@ -74,6 +74,6 @@ def continuous_ingest(documents: DataFrame, table: str, checkpoint: str, remembe
     fresh = arrived.withWatermark("arrived_at", remember).dropDuplicatesWithinWatermark(["fingerprint"]).drop("fingerprint", "arrived_at")
 
     def upsert(batch: DataFrame, _: int) -> None:
-        sinks.upsert_table(batch.sparkSession, table, ingest_chunks(batch), ["job_id", "chunk_index"], ["lang", "content", "content_hash", "quality_score"], buckets=16)
+        sinks.upsert_table(batch.sparkSession, table, ingest_chunks(batch), ["job_id", "chunk_index"], ["lang", "content", "content_hash", "quality_score"], replace=["job_id"])
 
     return fresh.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

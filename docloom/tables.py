@@ -12,20 +12,9 @@ from docloom.operators import chunking
 FIXED_CLOCK = "2024-01-31 00:00:00"
 
 
-# Tables whose rows hold whole texts, with the key that spreads them.
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input table. Text tables stored in fewer splits than there are cores are spread by key.
-
-    A large table always has more splits than that and is read as it lies, without a shuffle.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_KEYS and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, TEXT_KEYS[name])
-    return df
+    """An input table, read as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,15 +45,10 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concept_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entity mentions of type ``concept``: words found in 2 to 50 documents, once per chunk."""
-    docs = load(spark, sf_dir, "documents")
-    doc_words = docs.select(F.explode(F.array_distinct(tx.words(F.col("text")))).alias("w"))
-    concepts = doc_words.groupBy("w").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 50").select("w")
-    in_chunks = chunks(spark, sf_dir).select(
-        "chunk_id", "doc_id", F.explode(F.array_distinct(tx.words(F.col("content")))).alias("w"))
-    return in_chunks.join(concepts, "w", "left_semi").select(
-        "chunk_id", "doc_id", F.col("w").alias("entity_text"), F.lit("concept").alias("entity_type"),
-        F.lit(0.6).alias("confidence"))
+    """Entity mentions of type ``concept``: every word but stop words, once per chunk, however common."""
+    words = F.array_except(F.array_distinct(tx.words(F.col("content"))), F.array(*[F.lit(w) for w in tx.ENGLISH_STOP_WORDS]))
+    return chunks(spark, sf_dir).select("chunk_id", "doc_id", F.explode(words).alias("entity_text")).select(
+        "chunk_id", "doc_id", "entity_text", F.lit("concept").alias("entity_type"), F.lit(0.6).alias("confidence"))
 
 
 def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

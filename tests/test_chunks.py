@@ -114,3 +114,8 @@ def test_token_windows(spark):
     got = rows(chunking.token_windows(docs(spark, text), 10, 3), "doc_id", "chunk_index", "token_count", "char_start")
     assert got == [(0, 0, 10, 0), (0, 1, 10, 28), (0, 2, 9, 56)]
     assert chunking.token_windows(docs(spark, text), 10, 3).agg(F.max("char_end")).first()[0] == min(23 * 4, len(text))
+
+
+def test_fenced_blocks_are_whole_pieces_and_placeholders_stay_text():
+    text = "One {CODE_BLOCK_0}. Two.\n```py\nx. Y = 1\n```\nThree. four"
+    assert list(chunking.prose_and_code(text)) == [("One {CODE_BLOCK_0}.", False), ("Two.", False), ("```py\nx. Y = 1\n```", True), ("Three. four", False)]

@@ -100,6 +100,33 @@ def test_upsert_table_is_idempotent(spark, tmp_path):
     assert len(back) == 41 and back[(3, 0)] == ("b", "t1") and back[(3, 1)] == ("a", "t1") and back[(99, 0)] == ("new", "t2")
 
 
+def test_upsert_layout_repeats_and_replaced_groups(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    make = lambda rows: spark.createDataFrame(rows, "job_id long, chunk_index int, content string")
+    up = lambda rows, **more: {r.action: r.n for r in sinks.upsert_table(spark, path, make(rows), ["job_id", "chunk_index"], ["content"], **more).collect()}
+    assert up([(1, i, "a") for i in range(4)] + [(2, 0, "a")], buckets=2) == {"inserted": 5}
+    with pytest.raises(ValueError):
+        up([(1, 0, "b")], buckets=3)
+    up([(5, 0, "x"), (5, 0, "y"), (5, 0, "y")], order=["content"])
+    assert [r.content for r in spark.read.parquet(path).where("job_id = 5").collect()] == ["y"]
+    assert up([(1, 0, "new"), (1, 1, "new")], replace=["job_id"])["removed"] == 2
+    assert sorted((r.job_id, r.chunk_index, r.content) for r in spark.read.parquet(path).collect()) == [(1, 0, "new"), (1, 1, "new"), (2, 0, "a"), (5, 0, "y")]
+
+
+def test_patterns_are_judged_by_the_engine_that_runs_them(spark):
+    df = spark.createDataFrame([("ab",)], "s string")
+    ok = lambda pattern: df.select(sinks.filter_passes(sinks.Filter("s", "regex", pattern), {"s": F.col("s")})).first()[0]
+    assert ok("a(?<n>b)") and not ok("a(?P<n>b)") and not ok("(")
+
+
+def test_delimiters_per_file_and_doubled_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id;n_id;a.b\n1;2;"x ""y"", z"\n')
+    (tmp_path / "b.csv").write_text('id,n_id,a.b\n3,4,"one\nline"\n')
+    df = structured.read_delimited(spark, str(tmp_path), multi_line=True)
+    assert sorted(tuple(r) for r in df.collect()) == [("1", "2", 'x "y", z'), ("3", "4", "one\nline")]
+    assert {r.column: r.type for r in structured.column_types(df).collect()} == {"id": "integer", "n_id": "integer", "a.b": "string"}
+
+
 def test_retention_rules(spark):
     items = spark.createDataFrame([("raw_file", None), ("raw_file", {"job_status": "done"}), ("raw_file", {"job_status": "failed"}), ("other", None)], "data_type string, metadata map<string,string>")
     assert [r.rule for r in ops.match_retention(items).collect()] == ["failed_job_data", "raw_files", "failed_job_data", "default"]
@@ -155,6 +182,27 @@ def test_communities_of_two_cliques(spark):
     assert levels.where("level = 1").select("label").distinct().count() == 2 and levels.where("level = 2").count() == 10
 
 
+def test_labels_settle_on_a_two_sided_graph(spark):
+    pairs = [(f"a{i}", f"b{j}") for i in range(4) for j in range(3)] + [(f"c{i}", f"d{j}") for i in range(3) for j in range(4)] + [("a0", "d0")]
+    labels = {r.id: r.label for r in gr.label_propagation(spark.createDataFrame(pairs, "src string, dst string"), 60).collect()}
+    again = {r.id: r.label for r in gr.label_propagation(spark.createDataFrame(pairs, "src string, dst string"), 61).collect()}
+    assert labels == again and len(set(labels.values())) <= 3
+
+
+def test_pagerank_without_known_seeds_is_empty(spark):
+    triples = spark.createDataFrame([("a", "p", "b")], "subject string, predicate string, object string")
+    seeds = spark.createDataFrame([(1, "zz")], "query_id int, entity string")
+    assert gr.personalised_pagerank(triples, seeds).count() == 0
+
+
+def test_passages_of_an_empty_graph(spark):
+    links = spark.createDataFrame([], "entity string, passage_id long")
+    scores = spark.createDataFrame([], "query_id int, node string, score double")
+    asked = spark.createDataFrame([(1, True)], "query_id int, has_seeds boolean")
+    got = gr.rank_passages(scores, links, spark.range(5).withColumnRenamed("id", "passage_id"), asked, 2).collect()
+    assert sorted((r.query_id, r.passage_id, r.score) for r in got) == [(1, 3, 1.0), (1, 4, 1.0)]
+
+
 def test_pagerank_equals_dense_power_iteration(spark):
     triples = [("a", "p", "b"), ("b", "p", "c"), ("c", "p", "a"), ("c", "q", "d"), ("a", "q", "b"), ("e", "p", "f")]
     names = sorted({x for s, _, o in triples for x in (s, o)})

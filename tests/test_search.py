@@ -26,9 +26,9 @@ def brute(m, q, k, floor):
     return out
 
 
-@pytest.mark.parametrize("block_floats", [10**6, 0])
-def test_top_k_is_exact_on_both_paths(spark, monkeypatch, block_floats):
-    monkeypatch.setattr(vs, "GRID_ROWS", 40)
+@pytest.mark.parametrize("block_floats", [10**6, 20])
+def test_top_k_is_exact_in_any_blocks(spark, monkeypatch, block_floats):
+    monkeypatch.setattr(vs, "SCORE_CELLS", 50)
     m, df = vectors(spark)
     q = m[10:16]
     queries = spark.createDataFrame([(j, [float(x) for x in v]) for j, v in enumerate(q)], "query_id long, query_vec array<double>")
@@ -36,6 +36,42 @@ def test_top_k_is_exact_on_both_paths(spark, monkeypatch, block_floats):
     assert got == brute(m, q, 7, 0.1)
 
 
+def test_many_queries_within_a_small_budget(spark):
+    m, df = vectors(spark)
+    q = np.random.default_rng(8).normal(size=(500, m.shape[1]))
+    queries = spark.createDataFrame([(j, [float(x) for x in v]) for j, v in enumerate(q)], "query_id long, query_vec array<double>")
+    got = {(r.query_id, r.id, r.rank) for r in vs.top_k(queries, df, 3, None, score_cells=1000).collect()}
+    assert got == brute(m, q, 3, None)
+
+
+def test_ids_of_any_type_lengths_apart_and_checked_k(spark):
+    df = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [1.0, 0.0, 0.0])], "id string, vec array<double>")
+    q = spark.createDataFrame([("q", [1.0, 0.0]), ("r", [1.0, 0.0, 0.0])], "query_id string, query_vec array<double>")
+    assert sorted((r.query_id, r.id, r.rank) for r in vs.top_k(q, df, 5).collect()) == [("q", "a", 1), ("q", "b", 2), ("r", "c", 1)]
+    with pytest.raises(ValueError):
+        vs.top_k(q, df, 5, max_k=3)
+
+
+def test_repeated_terms_count_once_on_both_paths(spark):
+    c = spark.createDataFrame([("x", "one two"), ("y", "two"), ("z", "three")], "chunk_id string, content string")
+    q = spark.createDataFrame([("q", "one"), ("q", "one"), ("q", "two")], "query_id string, term string")
+    rows = lambda cells: sorted((r.query_id, r.chunk_id, r.rank, r.score) for r in ts.ranked(q, c, 7, weight_cells=cells).collect())
+    assert rows(10**6) == rows(0) and [r[1] for r in rows(0)] == ["x", "y"]
+
+
+def test_highlight_quotes_terms(spark):
+    df = spark.createDataFrame([("see a+b and (",)], "content string")
+    assert df.select(ts.highlight(F.col("content"), F.array(F.lit("a+b"), F.lit("(")))).first()[0] == "see <mark>a+b</mark> and <mark>(</mark>"
+
+
+def test_matches_come_before_ranking(spark):
+    c = spark.createDataFrame([(1, "spark spark spark"), (2, "spark join"), (3, "join spark slow"), (4, "join")], "chunk_id long, content string")
+    clauses = spark.createDataFrame([(9, ["join"], [], ["slow"], [])], "query_id long, must array<string>, any_of array<string>, none_of array<string>, phrases array<string>")
+    terms = spark.createDataFrame([(9, "spark"), (9, "join")], "query_id long, term string")
+    assert [(r.chunk_id, r.rank) for r in ts.matched_ranked(clauses, terms, c, 2).orderBy("rank").collect()] == [(2, 1), (4, 2)]
+    assert [r.chunk_id for r in ts.matched_ranked(clauses, terms, c, 2, keep=F.col("chunk_id") > 2).collect()] == [4]
+
+
 def test_null_vectors_and_empty_queries(spark):
     df = spark.createDataFrame([(1, None), (2, [1.0, 0.0])], "id long, vec array<double>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, query_vec array<double>")
@@ -120,11 +156,12 @@ def test_rerank_squeezes_only_outside_the_unit_range(spark):
 
 
 def test_filters_are_applied_and_checked(spark):
-    f = fu.parse_filters({"a": {">=": 2, "<": 4}, "metadata": {"b": "x"}})
+    f = fu.conditions({"a": {">=": 2, "<": 4}, "metadata": {"b": "x"}})
     df = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "x")], "a int, b string")
-    assert [r.a for r in df.where(fu.filter_predicate(f, {"a": F.col("a"), "b": F.col("b")})).collect()] == [2]
+    assert [r.a for r in df.where(fu.where_all(f, {"a": F.col("a"), "b": F.col("b")})).collect()] == [2]
     with pytest.raises(ValueError):
-        fu.filter_predicate([fu.MetadataFilter("zz", 1)], {"a": F.col("a")})
+        fu.where_all(fu.conditions({"zz": 1}), {"a": F.col("a")})
+    assert [r.a for r in df.where(fu.where_all(fu.conditions({"a": {"between": (2, 3)}}), {"a": F.col("a")})).collect()] == [2, 3]
 
 
 def test_query_types_and_plan(spark):
@@ -154,3 +191,9 @@ def test_text_ranking_paths_agree(spark):
     rows = lambda cells: sorted((r.query_id, r.chunk_id, r.rank, r.score) for r in ts.ranked(q, c, 7, weight_cells=cells).collect())
     assert rows(10**6) == rows(0) and len(rows(0)) == 42
     assert ts.ranked(q.where("term = 'absent'"), c).count() == 0
+
+
+def test_null_texts_keep_their_rows(spark):
+    texts = spark.createDataFrame([("a",), (None,)], "text string")
+    cache = spark.createDataFrame([], "key string, embedding array<double>")
+    assert sorted((str(r.text), r.embedding is None, r.hit) for r in emb.embed_with_cache(texts, cache, "m").collect()) == [("None", True, False), ("a", False, False)]
