@@ -60,6 +60,14 @@ def vec2(spark, sf_dir):
     return hits(vs.top_k(tables.query_vectors(spark, sf_dir), kept, 10, 0.1))
 
 
+@query("vec2_model_scope", sq.with_(sq.QUERY_VECTORS, SCORES) + PICK + " FROM s JOIN embeddings e ON e.vec_id = s.id WHERE sim >= 0.1 AND e.label < 5 QUALIFY rank <= 10")
+def vec2_model_scope(spark, sf_dir):
+    """Vectors of two models in one table; a search stays within one."""
+    model = F.when(F.col("label") < 5, "small").otherwise("large")
+    vectors = tables.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), model.alias("model_name"))
+    return hits(vs.top_k(tables.query_vectors(spark, sf_dir), vs.filtered(vectors, model="small"), 10, 0.1))
+
+
 @query("vec3_similar_chunks", sq.with_(sq.QUERY_VECTORS, SCORES) + PICK + " FROM s WHERE id <> query_id QUALIFY rank <= 10")
 def vec3(spark, sf_dir):
     return hits(vs.similar_to(tables.query_vectors(spark, sf_dir), all_vectors(spark, sf_dir), 10))
@@ -211,6 +219,24 @@ def txt1(spark, sf_dir):
         "query_id", "chunk_id", F.round("rank_score", 6).alias("rank_score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    "txt1_matched_ranked",
+    sq.with_(sq.CHUNKS, sq.QUERY_TERMS, sq.bm25(10)) + rf""",
+cl AS (SELECT item_id AS query_id, list_filter(list_distinct({sq.words_of('text')}), lambda w: length(w) >= 9) AS any_of FROM benchmark),
+mt AS (SELECT cl.query_id, t.chunk_id FROM cl JOIN tok t ON list_has_any(t.ws, cl.any_of) AND NOT list_contains(t.ws, 'was') JOIN chunks c ON c.chunk_id = t.chunk_id AND c.lang = 'en')
+SELECT query_id, chunk_id, round(score / (score + 1), 6) AS rank_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+FROM bm JOIN mt USING (query_id, chunk_id) QUALIFY rank <= 10""",
+)
+def txt1_matched_ranked(spark, sf_dir):
+    """English chunks with one of the long words and without "was", ranked by all words."""
+    words = F.array_distinct(tx.words(F.col("text")))
+    none = F.array().cast("array<string>")
+    clauses = tables.load(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), none.alias("must"), F.filter(words, lambda w: F.length(w) >= 9).alias("any_of"), F.array(F.lit("was")).alias("none_of"), none.alias("phrases"))
+    out = ts.matched_ranked(clauses, tables.query_terms(spark, sf_dir), tables.chunks(spark, sf_dir), 10, keep=F.col("lang") == "en")
+    return out.select("query_id", "chunk_id", F.round("rank_score", 6).alias("rank_score"), F.col("rank").cast("long").alias("rank"))
+
+
 def sentence_queries(spark, sf_dir):
     """Every sentence of every benchmark item as one query, with the item's other words."""
     items = tables.load(spark, sf_dir, "benchmark")
