@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from docloom.llm import base
 from docloom.llm.components import components
 
-#: Coordinates of a count vector; points of an R-tree page.
-GROUPS, PAGE = 64, 16
+#: Coordinates of a count vector; those of the finer one that pairs of a tree must pass too; points of an R-tree page.
+GROUPS, FINE, PAGE = 64, 1024, 16
 #: A part that so many documents share is hot; members of the largest component that one cell task holds.
 HOT, CELL = 64, 2048
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -34,6 +34,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _group_counts(h: np.ndarray, groups: int) -> np.ndarray:
+    """How many shingles fall into each group; ``groups`` is a power of two, and fine groups are parts of coarse ones."""
+    return np.bincount((h & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
 def word_hash(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
@@ -126,7 +131,7 @@ def sketches(df: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
             h = shingle_set(t, rule.k, ids)
             out["n"].append(len(h))
             out["cls"].append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
-            out["counts"].append(np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).tolist())
+            out["counts"].append(_group_counts(h, GROUPS).tolist())
         yield out
 
     return base.per_batch(_source(df, key, text), run, "doc LONG, n LONG, cls BINARY, counts ARRAY<INT>")
@@ -197,39 +202,43 @@ def _cells(batches):
 class CountTree:
     """A packed R-tree over count vectors: pages of points with the largest count of each coordinate."""
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray):
+    def __init__(self, fine: np.ndarray, sizes: np.ndarray):
+        # The coordinates of the tree are sums of the fine ones, so both bound the overlap from above.
+        counts = fine.reshape(len(fine), -1, min(GROUPS, fine.shape[1])).sum(axis=1, dtype=np.int64)
         # Points of like size and like leading coordinates share a page.
         self.order = np.lexsort((counts[:, 1], counts[:, 0], sizes))
-        self.counts, self.sizes = counts[self.order], sizes[self.order]
+        self.fine, self.counts, self.sizes, self.own = fine[self.order], counts[self.order], sizes[self.order], counts
         starts = np.arange(0, len(counts), PAGE)
         self.high = np.maximum.reduceat(self.counts, starts, axis=0)
         self.least = np.minimum.reduceat(self.sizes, starts)
 
-    def partners(self, point: np.ndarray, size: int, rule: Rule) -> np.ndarray:
-        """Positions (before ordering) of the points whose overlap bound allows a link with ``point``."""
+    def partners(self, i: int, fine: np.ndarray, size: int, rule: Rule) -> np.ndarray:
+        """Positions (before ordering) of the points whose overlap bounds allow a link with point ``i``."""
+        point = self.own[i]
         bound = np.minimum(self.high, point).sum(axis=1)
         pages = np.flatnonzero(bound >= rule.shared_needed(self.least + size))
         if not len(pages):
             return pages
         rows = (pages[:, None] * PAGE + np.arange(PAGE)).ravel()
         rows = rows[rows < len(self.sizes)]
-        bound = np.minimum(self.counts[rows], point).sum(axis=1)
-        return self.order[rows[bound >= rule.shared_needed(self.sizes[rows] + size)]]
+        for vectors, own in ((self.counts, point), (self.fine, fine)):
+            rows = rows[np.minimum(vectors[rows], own).sum(axis=1, dtype=np.int64) >= rule.shared_needed(self.sizes[rows] + size)]
+        return self.order[rows]
 
 
-def _cell_pairs(rep: np.ndarray, comp: np.ndarray, sizes: np.ndarray, counts: np.ndarray, rule: Rule):
+def _cell_pairs(rep: np.ndarray, comp: np.ndarray, sizes: np.ndarray, fine: np.ndarray, rule: Rule):
     """Pairs of a cell of different components that its tree cannot rule out, smaller id first."""
     names, times = np.unique(comp, return_counts=True)
     asking = np.flatnonzero(comp != names[times.argmax()])  # the largest component is met from the other side
-    tree = CountTree(counts, sizes)
+    tree = CountTree(fine, sizes)
     for i in asking:
-        near = tree.partners(counts[i], sizes[i], rule)
+        near = tree.partners(i, fine[i], sizes[i], rule)
         for j in near[comp[near] != comp[i]]:
             yield min(rep[i], rep[j]), max(rep[i], rep[j])
 
 
 def tree_pairs(rows: DataFrame, rule: Rule, partitions: int) -> DataFrame:
-    """Pairs (a, b) of all cells. ``rows(sig, page, rep, comp, n, counts)``; a task reads its cells one after another."""
+    """Pairs (a, b) of all cells. ``rows(sig, page, rep, comp, n, fine)``; a task reads its cells one after another."""
 
     def search(batches):
         waiting, key = [], None
@@ -249,10 +258,8 @@ def tree_pairs(rows: DataFrame, rule: Rule, partitions: int) -> DataFrame:
         if not parts:
             return ()
         cell = pa.Table.from_batches(parts)
-        counts = cell.column("counts").combine_chunks()
-        counts = counts.chunk(0) if isinstance(counts, pa.ChunkedArray) else counts
         columns = [cell.column(c).to_numpy() for c in ("rep", "comp", "n")]
-        return _cell_pairs(*columns, counts.flatten().to_numpy().reshape(len(cell), -1), rule)
+        return _cell_pairs(*columns, np.frombuffer(b"".join(cell.column("fine").to_pylist()), np.uint16).reshape(len(cell), -1), rule)
 
     def as_rows(pairs):
         if pairs:
@@ -322,6 +329,12 @@ def linked_components(df: DataFrame, rule: Rule, key: str = "doc_id", text: str
     texts = base.stored(
         df.select(F.col(key).cast("long").alias("rep"), base.whole(F.col(text)).alias("text")).join(meeting, "rep", "left_semi"), "texts")
 
+    def fine_counts(texts):
+        ids = base.Remembered(word_hash)
+        return {"fine": [_group_counts(shingle_set(t, rule.k, ids), FINE).astype(np.uint16).tobytes() for t in texts]}
+
+    fine = base.stored(base.with_columns(texts, ["text"], fine_counts, "fine BINARY", ["rep"]), "fine")
+
     links = checked = spark.createDataFrame([], "a LONG, b LONG")
     comps = members.select("rep").distinct().withColumn("comp", F.col("rep"))
     for turn in (0, 1, 2):
@@ -342,7 +355,7 @@ def linked_components(df: DataFrame, rule: Rule, key: str = "doc_id", text: str
             # The rows outside the largest component go to each of its pages.
             pages = F.when(F.col("comp") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), F.col("pages")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("pages") - 1))
             placed = left.join(main, "sig").withColumn("page", F.explode(pages))
-            pairs = tree_pairs(placed.join(points, "rep").select("sig", "page", "rep", "comp", "n", "counts"), rule, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            pairs = tree_pairs(placed.join(points, "rep").join(fine, "rep").select("sig", "page", "rep", "comp", "n", "fine"), rule, int(spark.conf.get("spark.sql.shuffle.partitions")))
         fresh = base.stored(_bounded(pairs.distinct().join(checked, ["a", "b"], "left_anti"), points, rule), "pairs")
         links = links.unionByName(base.stored(_verified(fresh, texts, rule), "links"))
         checked = checked.unionByName(fresh)

@@ -139,13 +139,13 @@ def test_cells_of_sorted_batches():
 
 def test_tree_loses_no_partner():
     rng, rule = np.random.default_rng(1), Rule(3, 90, 100)
-    first = rng.poisson(3, (40, ngram_join.GROUPS))
-    counts = np.concatenate([np.maximum(first + rng.integers(-1, 2, first.shape) * (rng.random(first.shape) < 0.05), 0) for _ in range(5)])
-    sizes = counts.sum(axis=1)
+    first = rng.poisson(3, (40, 2 * ngram_join.GROUPS))
+    counts = np.concatenate([np.maximum(first + rng.integers(-1, 2, first.shape) * (rng.random(first.shape) < 0.05), 0) for _ in range(5)]).astype(np.uint16)
+    sizes = counts.sum(axis=1, dtype=np.int64)
     tree = ngram_join.CountTree(counts, sizes)
     for i in range(len(counts)):
         want = [j for j in range(len(counts)) if np.minimum(counts[i], counts[j]).sum() >= rule.shared_needed(sizes[i] + sizes[j])]
-        assert sorted(tree.partners(counts[i], sizes[i], rule)) == want and i in want
+        assert sorted(tree.partners(i, counts[i], sizes[i], rule)) == want and i in want
 
 
 def test_components_of_a_chain_and_a_star(spark):
