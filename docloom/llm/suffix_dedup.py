@@ -11,10 +11,9 @@ WINDOW bytes are equal windows.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +60,7 @@ def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inside = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         begin, length = np.repeat(begin, parts) + inside * RUN, np.repeat(length, parts) - inside * RUN
         length = np.minimum(length, RUN)
-    return least[begin].view(np.int64), begin, length
+    return (least[begin] >> np.uint64(16)).view(np.int64), begin, length  # 48 bits are enough to meet by
 
 
 class ColumnBuild:
@@ -171,7 +170,7 @@ def _shared_anchors(batches):
         yield pa.RecordBatch.from_arrays([pa.array(last[1]), pa.array(last[0])], names=["doc", "anchor"])
 
 
-_SPANS = "doc LONG, print LONG, start INT, stop INT, windows INT, string BINARY"
+_SPANS = "doc LONG, print INT, start INT, stop INT, windows INT, string BINARY"
 
 
 def _removals(batches):
@@ -187,7 +186,7 @@ def _removals(batches):
     def rows(doc, print_, start, stop, windows=None, string=None):
         n = len(doc)
         return pa.RecordBatch.from_arrays([
-            pa.array(doc, pa.int64()), pa.array(print_, pa.int64()), pa.array(start, pa.int32()), pa.array([None] * n if stop is None else stop, pa.int32()),
+            pa.array(doc, pa.int64()), pa.array(print_, pa.int32()), pa.array(start, pa.int32()), pa.array([None] * n if stop is None else stop, pa.int32()),
             pa.array([None] * n if windows is None else windows, pa.int32()), pa.array([None] * n if string is None else string, pa.binary())], names=names)
 
     done: list = []  # anchors with several strings, each a list of (string, first document, its runs)
@@ -224,11 +223,12 @@ def _removals(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        anchor, digest, doc, pr, start, windows = (batch.column(c).to_numpy() for c in ("anchor", "digest", "doc", "print", "start", "windows"))
+        anchor, doc, pr, start = (batch.column(c).to_numpy() for c in ("anchor", "doc", "print", "start"))
         string = batch.column("string")
+        windows = pc.binary_length(string).to_numpy() - WINDOW + 1
         fresh = np.ones(len(anchor), bool)
-        fresh[1:] = (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])
-        fresh[0] = current is None or (anchor[0], digest[0]) != current
+        fresh[1:] = (anchor[1:] != anchor[:-1]) | pc.not_equal(string.slice(1), string.slice(0, len(anchor) - 1)).to_numpy(zero_copy_only=False)
+        fresh[0] = current is None or (anchor[0], string[0].as_py()) != current
         begin = np.flatnonzero(fresh)
         first = np.where(np.cumsum(fresh) > 0, doc[begin[np.maximum(np.cumsum(fresh) - 1, 0)]] if len(begin) else 0, -1)
         if not fresh[0]:
@@ -246,7 +246,7 @@ def _removals(batches):
                     if held >= COLLECTION:
                         yield from build()
                 anchor_strings.append((string[i].as_py(), int(doc[i]), []))
-                current = (anchor[i], digest[i])
+                current = (anchor[i], None)
             elif not anchor_strings:  # its string was handed on
                 anchor_strings.append((string[i].as_py(), int(doc[i]), []))
             anchor_strings[-1][2].append((int(pr[i]), int(start[i]), int(windows[i])))
@@ -255,7 +255,7 @@ def _removals(batches):
                 yield hand_on()
         if too_many and anchor_strings:
             yield hand_on()
-        current, last_doc = (anchor[-1], digest[-1]), int(first[-1])
+        current, last_doc = (anchor[-1], string[-1].as_py()), int(first[-1])
     if too_many and anchor_strings:
         yield hand_on()
     close()
@@ -263,18 +263,14 @@ def _removals(batches):
 
 
 def _source(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("doc"), base.whole(F.col(text)).alias("_text")).withColumn("print", F.xxhash64("_text"))
-
-
-def _digest(string: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
+    return df.select(F.col(key).cast("long").alias("doc"), base.whole(F.col(text)).alias("_text")).withColumn("print", F.hash("_text"))
 
 
 def later_copies(source: DataFrame) -> DataFrame:
     """doc, print, stop of the rows whose whole text an earlier document has; only hashes are sent."""
-    keys = source.select("doc", "print", F.xxhash64(F.lit(1), "_text").alias("second"), F.octet_length("_text").alias("stop"))
-    first = keys.groupBy("print", "second").agg(F.min("doc").alias("first"))
-    return keys.join(first, ["print", "second"]).select("doc", "print", "stop", (F.col("doc") > F.col("first")).alias("copy"))
+    keys = source.select("doc", "print", F.xxhash64("_text").alias("second"), F.octet_length("_text").alias("stop"))
+    first = keys.groupBy("print", "second", "stop").agg(F.min("doc").alias("first"))
+    return keys.join(first, ["print", "second", "stop"]).select("doc", "print", "stop", (F.col("doc") > F.col("first")).alias("copy"))
 
 
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,7 +306,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     def cut(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
-                out: list[list] = [[], [], [], [], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 part = batch.slice(lo, 500)
                 anchors_of = part.column("anchors")
                 for i, (doc, pr, t) in enumerate(zip(part.column("doc").to_pylist(), part.column("print").to_pylist(), part.column("_text").to_pylist(), strict=True)):
@@ -318,17 +314,16 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                     anchor, begin, length = runs(b)
                     keep = np.isin(anchor, anchors_of[i].values.to_numpy())
                     for a, s, n in zip(anchor[keep].tolist(), begin[keep].tolist(), length[keep].tolist(), strict=True):
-                        string = b[s:s + n + WINDOW - 1]
-                        for column, value in zip(out, (a, _digest(string), doc, pr, s, n, string), strict=True):
+                        for column, value in zip(out, (a, doc, pr, s, b[s:s + n + WINDOW - 1]), strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, (*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary()), strict=True)],
-                                                 names=["anchor", "digest", "doc", "print", "start", "windows", "string"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
+                                                 names=["anchor", "doc", "print", "start", "string"])
 
-    run_schema = "anchor LONG, digest LONG, doc LONG, print LONG, start INT, windows INT, string BINARY"
+    run_schema = "anchor LONG, doc LONG, print INT, start INT, string BINARY"
     cuts = source.join(compared_docs, "doc").select("doc", "print", "_text", "anchors").mapInArrow(cut, run_schema)
 
     def compared(rows: DataFrame) -> DataFrame:
-        dealt = rows.repartition(partitions, "anchor").sortWithinPartitions("anchor", "digest", "doc")
+        dealt = rows.repartition(partitions, "anchor").sortWithinPartitions("anchor", "string", "doc")
         return base.stored(dealt.mapInArrow(_removals, _SPANS), "removals")
 
     found = compared(cuts)
@@ -340,7 +335,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         offset = F.explode(F.sequence(F.lit(0), F.col("windows") - 1))
         single = crowded.select("doc", "print", "start", "string", offset.alias("o")).select(
             "doc", "print", (F.col("start") + F.col("o")).alias("start"), F.substring("string", F.col("o") + 1, F.lit(WINDOW)).alias("string"))
-        windows = single.select(F.xxhash64("string").alias("anchor"), F.xxhash64("string", F.lit(1)).alias("digest"), "doc", "print", "start", F.lit(1).alias("windows"), "string")
+        windows = single.select(F.xxhash64("string").alias("anchor"), "doc", "print", "start", "string")
         spans = spans.unionByName(compared(windows).where("string IS NULL").select("doc", "print", "start", "stop"))
     return spans.groupBy("doc", "print").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
@@ -382,7 +377,7 @@ def kept_text(text: str, removed: list[tuple[int, int]]) -> str:
 def with_removals(df: DataFrame, finish, columns: str, keep: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """``keep`` and what ``finish(text, removed)`` gives as a tuple for ``columns``, per row of ``df``."""
     found = repeated_spans(df, key, text).withColumnRenamed("doc", "_doc").withColumnRenamed("print", "_print")
-    source = df.select(*keep, F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).withColumn("_hash", F.xxhash64(base.whole(F.col("_text"))))
+    source = df.select(*keep, F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).withColumn("_hash", F.hash(base.whole(F.col("_text"))))
     joined = source.join(found, (F.col("_key") == F.col("_doc")) & (F.col("_hash") == F.col("_print")), "left").select(*keep, "_text", "spans")
     names = df.sparkSession.createDataFrame([], columns).schema.names
 

@@ -98,10 +98,10 @@ def test_crowded_anchors_are_handed_on():
     rows = []
     for doc in range(40):
         s = ("".join(rng.choice("gh") for _ in range(34)) + core + "".join(rng.choice("gh") for _ in range(34))).encode()
-        rows += [(7, suffix_dedup._digest(s), doc, 0, 0, len(s) - 49, s), (7, suffix_dedup._digest(s), doc + 50, 0, 0, len(s) - 49, s)]
-    rows.sort()
-    names = ["anchor", "digest", "doc", "print", "start", "windows", "string"]
-    types = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.binary()]
+        rows += [(7, doc, 0, 0, s), (7, doc + 50, 0, 0, s)]
+    rows.sort(key=lambda r: (r[0], r[4], r[1]))
+    names = ["anchor", "doc", "print", "start", "string"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     before = suffix_dedup.CROWD
     try:
         for limit in (5, 1000):
@@ -109,9 +109,9 @@ def test_crowded_anchors_are_handed_on():
             batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[lo:lo + 7]], t) for i, t in enumerate(types)], names=names) for lo in range(0, len(rows), 7)]
             out = [r for b in suffix_dedup._removals(batches) for r in b.to_pylist()]
             later = sorted(r["doc"] for r in out if r["string"] is None and r["doc"] >= 50)
-            assert later == sorted(r[2] for r in rows if r[2] >= 50)
+            assert later == sorted(r[1] for r in rows if r[1] >= 50)
             handed = sorted(r["string"] for r in out if r["string"] is not None)
-            assert handed == (sorted({r[6] for r in rows}) if limit == 5 else [])
+            assert handed == (sorted({r[4] for r in rows}) if limit == 5 else [])
     finally:
         suffix_dedup.CROWD = before
 
