@@ -105,6 +105,16 @@ def test_secrets_of_odd_texts(spark):
     assert secrets.find(docs.limit(0), ["doc_id"], ["source"], ["doc_id"]).count() == 0
 
 
+def test_copies_within_one_owner_keep_a_secret_live(spark):
+    value = "Zx9kQ2mW8vL4pT7nR1yB"
+    rows = [(i, f"{value} copy", "s0") for i in range(40)] + [(40 + i, f"other text {i} {value}", "s0") for i in range(5)]
+    rows += [(100 + i, "common Ab1Cd2Ef3Gh4Ij5Kl6Mn7", f"s{i % 2}") for i in range(4)]
+    found = secrets.find(spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING"), ["doc_id", "text"], ["source"], ["doc_id"]).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert [r.text[s.start:s.end] for s in r.live] == ([value] if r.doc_id < 100 else [])
+
+
 def test_redaction():
     spans = lambda *pairs: [{"start": s, "end": e} for s, e in pairs]
     assert secrets.redact("abcdef", spans((0, 2), (1, 3), (4, 5))) == "[secret]d[secret]f"
