@@ -2,10 +2,14 @@
 
 Each micro-batch hands a key its rows of that batch; they are put in time order there. State is
 small by construction: accepted timestamps of one window, one breaker, one delivery.
+
+Where event-time timers forget state, a row at or behind the watermark cannot be put in order any
+more. It is not dropped: it leaves the state as it is and comes out marked as late.
 """
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
@@ -21,6 +25,22 @@ def _ordered(rows: Iterable[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
 
 
+def _split_late(rows: pd.DataFrame, watermark_ms: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(rows in time, rows at or behind the watermark)."""
+    late = rows["at"] <= watermark_ms * 1000
+    return rows[~late], rows[late]
+
+
+def _unfiltered(rows: DataFrame, delay: str, *columns: str) -> DataFrame:
+    """``columns`` and ``at`` (microseconds) of every row, with a watermark on ``ts``.
+
+    Only a column that carries the watermark makes Spark drop late rows before the processor sees
+    them, so that column is left out; the watermark itself still moves and fires timers.
+    """
+    timed = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    return timed.select(*columns, F.unix_micros("ts").alias("at"))
+
+
 # ---- sliding-window rate limit -------------------------------------------------------------
 
 
@@ -29,7 +49,7 @@ def admit(accepted: list[int], at: int, limit: int, window: int) -> bool:
     while accepted and accepted[0] <= at - window:
         accepted.pop(0)
     if len(accepted) <= limit:
-        accepted.append(at)
+        insort(accepted, at)
         return True
     return False
 
@@ -54,10 +74,12 @@ class RateLimiter(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         accepted = [r[0] for r in self.state.get()]
-        batch = _ordered(rows, ["at", "event_id"])
+        batch, late = _split_late(_ordered(rows, ["at", "event_id"]), timerValues.getCurrentWatermarkInMs())
         allowed = [admit(accepted, int(t), self.limit, self.window) for t in batch["at"]]
-        self._keep(accepted)
-        yield pd.DataFrame({"key": key[0], "event_id": batch["event_id"].to_numpy(), "allowed": allowed})
+        if len(batch):
+            self._keep(accepted)
+        ids = [*batch["event_id"], *late["event_id"]]
+        yield pd.DataFrame({"key": [key[0]] * len(ids), "event_id": ids, "allowed": pd.Series([*allowed, *[None] * len(late)], dtype="object")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Nothing in the window any more: forget the key."""
@@ -69,10 +91,11 @@ class RateLimiter(StatefulProcessor):
 
 
 def rate_limit(events: DataFrame, limit: int, window_s: int, delay: str = "10 minutes") -> DataFrame:
-    """``(key, event_id, allowed)`` for every event. ``events(key, event_id, ts)``; rejected events do not count."""
-    timed = events.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
-    keyed = timed.withColumn("at", F.unix_micros("ts"))
-    return keyed.groupBy("key").transformWithStateInPandas(
+    """``(key, event_id, allowed)`` for every event. ``events(key, event_id, ts)``; rejected events do not count.
+
+    ``allowed`` is null for an event more than ``delay`` behind the newest one of earlier batches: it comes too late to be judged.
+    """
+    return _unfiltered(events, delay, "key", "event_id").groupBy("key").transformWithStateInPandas(
         statefulProcessor=RateLimiter(limit, window_s), outputStructType=StructType.fromDDL("key long, event_id long, allowed boolean"),
         outputMode="Append", timeMode="EventTime")
 
@@ -170,8 +193,12 @@ class RetryTimer(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         current = tuple(self.state.get()) if self.state.exists() else (0, 0)
-        known = []
-        for row in _ordered(rows, ["at", "event_id"]).itertuples():
+        batch, late = _split_late(_ordered(rows, ["at", "event_id"]), timerValues.getCurrentWatermarkInMs())
+        known = [(current[0], int(at), "late") for at in late["at"]]
+        if batch.empty:
+            yield self._rows(key, known)
+            return
+        for row in batch.itertuples():
             current, more = attempt(current, int(row.at), bool(row.ok), self.waits, self.max_retries)
             known += more
         for timer in list(self.handle.listTimers()):
@@ -196,9 +223,10 @@ class RetryTimer(StatefulProcessor):
 def retry_deadlines(attempts: DataFrame, waits_s: Sequence[int] = (60, 300, 900, 3600), max_retries: int = 5, delay: str = "10 minutes") -> DataFrame:
     """Failed deliveries come back when their wait is over in event time, until retries run out.
 
-    ``attempts(key, event_id, ts, ok)``; output ``(key, attempt, due_s, what)`` with what = retry_due or exhausted.
+    ``attempts(key, event_id, ts, ok)``; output ``(key, attempt, due_s, what)`` with what = retry_due, exhausted or late.
+    A late outcome, more than ``delay`` behind the newest one of earlier batches, changes nothing; its row
+    holds the attempts so far and its own time as due_s.
     """
-    keyed = attempts.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"), "ok").withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
-    return keyed.groupBy("key").transformWithStateInPandas(
+    return _unfiltered(attempts, delay, "key", "event_id", "ok").groupBy("key").transformWithStateInPandas(
         statefulProcessor=RetryTimer(waits_s, max_retries), outputStructType=StructType.fromDDL("key long, attempt int, due_s long, what string"),
         outputMode="Append", timeMode="EventTime")

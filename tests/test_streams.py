@@ -47,6 +47,34 @@ def test_rate_limit(events):
     assert got == want and False in want.values()
 
 
+@pytest.fixture(scope="module")
+def late_events(spark, tmp_path_factory):
+    """Files that are batches: hours 0 to 2 first, then twice rows behind the watermark beside one in time."""
+    at = lambda minutes: START + dt.timedelta(minutes=minutes)
+    files = [[(1, 0, at(0), False), (1, 1, at(120), False), (2, 2, at(120), True)], [(1, 3, at(1), True), (1, 4, at(121), False)], [(1, 5, at(2), True), (3, 6, at(3), False), (2, 7, at(122), True)]]
+    folder = str(tmp_path_factory.mktemp("late"))
+    for rows in files:
+        spark.createDataFrame(rows, "key long, event_id long, ts timestamp, ok boolean").coalesce(1).write.mode("append").parquet(folder)
+    return lambda: spark.readStream.schema("key long, event_id long, ts timestamp, ok boolean").option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_rate_limit_gives_late_events_their_own_verdict(late_events):
+    got = {r.event_id: r.allowed for r in ingest.run_to_table(stateful.rate_limit(late_events(), 0, 600), "t").collect()}
+    assert got == {0: True, 1: True, 2: True, 3: None, 4: False, 5: None, 6: None, 7: False}
+
+
+def test_admit_keeps_the_window_in_order():
+    accepted = [100]
+    assert stateful.admit(accepted, 95, 2, 50) and accepted == [95, 100]
+
+
+def test_retry_deadlines_report_late_outcomes(late_events):
+    got = [tuple(r) for r in ingest.run_to_table(stateful.retry_deadlines(late_events(), [3600], 4), "t").select("key", "attempt", "what", "due_s").collect()]
+    seconds = lambda minutes: micros(START) // 10**6 + 60 * minutes
+    assert sorted(r for r in got if r[2] == "late") == [(1, 2, "late", seconds(1)), (1, 3, "late", seconds(2)), (3, 0, "late", seconds(3))]
+    assert [r for r in got if r[2] != "late"] == [(1, 1, "retry_due", seconds(60))]
+
+
 def test_circuit_breaker(events):
     rows, stream, _ = events
     want = []
