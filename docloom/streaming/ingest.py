@@ -20,9 +20,10 @@ NOTIFICATION = (
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input table as a file stream."""
+    """An input table as a file stream. Like a batch read, it takes a single file and a folder of part files."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # Only a path with a glob may name a file; a plain one has to be a folder.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -142,6 +142,18 @@ def test_anomalies(spark):
                    ("parser_degradation", "high", "parser:a"), ("destination_failure", "high", "destination:d")}
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_stream_table_reads_files_and_folders_of_parts(spark, tmp_path, parts):
+    rows = spark.range(90)
+    if parts == 1:
+        rows.toPandas().to_parquet(f"{tmp_path}/events.parquet")
+    else:
+        rows.repartition(parts).write.parquet(f"{tmp_path}/events.parquet")
+    rows.write.parquet(f"{tmp_path}/more_events.parquet")
+    got = ingest.run_to_table(ingest.stream_table(spark, str(tmp_path), "events"), "t")
+    assert sorted(r.id for r in got.collect()) == list(range(90))
+
+
 def test_continuous_ingest_drops_repeats_and_resumes(spark, tmp_path):
     src, table, checkpoint = (str(tmp_path / n) for n in ("src", "table", "checkpoint"))
     schema = "doc_id long, text string, lang string"
