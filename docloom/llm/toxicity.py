@@ -3,6 +3,7 @@
 A text becomes words, words become classes, and small transducers run one after another over the
 classes of a clause, each rewriting the weights that the one before it gave. What scores is a clause
 as a whole: an insult aimed at somebody weighs more, one that is denied or quoted weighs less.
+Insults aimed at nobody count by how dense they are, so a long clean text does not add up to a toxic one.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ SURE, LEAST_ODDS = 2.3, 1.5
 MOST_LEARNED = 1.15
 PREFIXES = (3, 4, 5, 6, 7, 8)
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, CLAIM, OTHER = "ITYNRFC."
+INSULT, LOOSE, THREAT, TARGET, NEGATION, REPORT, INTENT, CLAIM, OTHER = "ILTYNRFC."
 
 # Fixed words of the grammar, English, German, French and Spanish.
 INSULTS = ["idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "scum", "trash", "pathetic", "worthless", "disgusting", "clown",
@@ -45,6 +46,8 @@ AIMED, DENIED, REPORTED, ASSERTED = 1.5, 0.5, 0.6, 1.1
 BASE_INSULT, THREAT_WEIGHT = 1.1, 1.6
 #: Words that a denial reaches, and words between an insult and whom it is aimed at.
 REACH = 3
+#: Beyond so many clauses loose insults weigh by their share of them; so many words of one clause count as a further one.
+LONG_TEXT, LONG_CLAUSE = 32, 16
 
 _CLAUSE = re.compile(r"[^.!?;:\n]+[.!?;:\n]?")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]")
@@ -100,13 +103,14 @@ def threat(tape):
 
 
 def target(tape):
-    """An insult near a target, or asserted of one, weighs more."""
+    """An insult near a target, or asserted of one, weighs more; any other one is loose."""
     classes = [c for c, _ in tape]
     out = []
     for i, (c, w) in enumerate(tape):
         if c == INSULT:
             near = classes[max(0, i - REACH):i + REACH + 1]
-            w *= AIMED if TARGET in near else ASSERTED if CLAIM in classes[max(0, i - REACH):i] else 1.0
+            by = AIMED if TARGET in near else ASSERTED if CLAIM in classes[max(0, i - REACH):i] else None
+            c, w = (c, w * by) if by else (LOOSE, w)
         out.append((c, w))
     return out
 
@@ -134,11 +138,12 @@ def reported(tape):
 GRAMMAR = (threat, target, negation, reported)
 
 
-def clause_weight(words: list[str], lexicon: Lexicon) -> float:
+def clause_weight(words: list[str], lexicon: Lexicon) -> tuple[float, float]:
+    """What threats and aimed or asserted insults weigh, and what loose ones do."""
     tape = label_words(words, lexicon)
     for transducer in GRAMMAR:
         tape = transducer(tape)
-    return sum(w for _, w in tape)
+    return sum(w for c, w in tape if c != LOOSE), sum(w for c, w in tape if c == LOOSE)
 
 
 def can_match(lexicon: Lexicon) -> dict:
@@ -147,13 +152,20 @@ def can_match(lexicon: Lexicon) -> dict:
 
 
 def text_score(text: str, lexicon: Lexicon, weighs: dict | None = None) -> tuple[float, int]:
-    """(score, clauses that matched). Clauses add up: score = 1 - exp(-sum of clause weights)."""
+    """(score, clauses that matched). Clauses add up: score = 1 - exp(-sum of clause weights).
+
+    Beyond LONG_TEXT clauses the sum of loose insults is lessened in proportion; a text of few clauses
+    and all threats and aimed insults keep their full weight.
+    """
     lowered = text.lower()
     weighs = can_match(lexicon) if weighs is None else weighs
     if not any(map(weighs.__getitem__, _WORD.findall(lowered))):
         return 0.0, 0  # no clause can match
-    weights = [x for x in (clause_weight(_WORD.findall(c), lexicon) for c in _CLAUSE.findall(lowered)) if x > 0]
-    return 1 - math.exp(-sum(weights)), len(weights)
+    clauses = [_WORD.findall(c) for c in _CLAUSE.findall(lowered)]
+    weights = [x for x in (clause_weight(c, lexicon) for c in clauses) if sum(x) > 0]
+    length = sum(1 + len(c) // LONG_CLAUSE for c in clauses)
+    total = sum(firm for firm, _ in weights) + sum(loose for _, loose in weights) * min(1.0, LONG_TEXT / length)
+    return 1 - math.exp(-total), len(weights)
 
 
 def _features(word: str) -> list[str]:

@@ -29,6 +29,27 @@ def test_clauses_are_scored_as_wholes():
     assert score("idiot. moron. scum") > score("idiot. moron") > score("idiot")
 
 
+@pytest.mark.parametrize("clean", ["a fine day in the old town. " * 2857, "fine day " * 10000])
+def test_long_clean_texts_do_not_add_up(clean):
+    friends = toxicity.Lexicon({"zork": 0.6})
+    assert score("the trash is full. the trash is full") > 0.7 > score("the trash is full. " + clean + ". the trash is full")
+    assert 0 < score("zork. " + clean + " zork. " + clean + ". zork", friends) < 0.7
+    assert score(clean + ". you are trash") == score("you are trash") > 0.7
+    assert score(clean + ". i will kill you") == score("i will kill you") > 0.7
+    assert score("some scum sat in the old town. " * 2000) > 0.7
+
+
+def test_held_out_clean_texts_of_any_length_stay(spark):
+    sf = "/root/testdata/sf0.1"
+    words = {r.doc_id: len((r.text or "").split()) for r in base.table(spark, sf, "documents").select("doc_id", "text").collect()}
+    truth = {r.doc_id: r.toxic for r in base.table(spark, sf, "labels").collect()}
+    rows = [r for r in queries.QUERIES["op2_toxic_grammar"](spark, sf).collect() if r.held_out and r.doc_id in truth]
+    for low, high in ((0, 300), (300, 1000), (1000, 10**9)):
+        band = [(r.predicted, truth[r.doc_id]) for r in rows if low <= words[r.doc_id] < high]
+        clean, toxic = [p for p, y in band if not y], [p for p, y in band if y]
+        assert len(clean) > 50 and sum(clean) <= 0.01 * len(clean) and sum(toxic) >= 0.9 * len(toxic)
+
+
 def test_learned_words_weigh_by_support():
     lexicon = toxicity.Lexicon({"zork": 1.5}, {"blar": 1.5})
     assert score("a zork", lexicon) > 0.7 and score("a blarfoo", lexicon) > 0.7
