@@ -366,7 +366,15 @@ def linked_components(df: DataFrame, rule: Rule, key: str = "doc_id", text: str
 
 
 def one_of_each(df: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose key is the smallest of its component, one row per key; rows without a key stay."""
+    """The rows of ``df`` whose key is the smallest of its component; rows without a key stay.
+
+    Rows with equal key and equal text become one; rows that share a key but differ in text all stay.
+    Of equal rows the one that is smallest by its other columns as JSON stays.
+    """
     groups = linked_components(df, rule, key, text)
     kept = groups.where(F.col("doc") == F.col("component")).select(F.col("doc").alias(key)).distinct()
-    return df.join(kept, key, "left_semi").dropDuplicates([key]).unionByName(df.where(F.col(key).isNull()))
+    named = df.join(kept, key, "left_semi")
+    others = [c for c in df.columns if c not in (key, text)]
+    rest = F.min_by(F.struct(*others), F.to_json(F.struct(*others), {"ignoreNullFields": "false"})) if others else F.lit(None)
+    single = named.groupBy(key, text).agg(rest.alias("_rest")).select(*[F.col(f"_rest.{c}").alias(c) if c in others else F.col(c) for c in df.columns])
+    return single.unionByName(df.where(F.col(key).isNull()))

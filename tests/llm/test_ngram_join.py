@@ -155,3 +155,11 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(pairs, "a LONG, b LONG")).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, **{i: 100 for i in range(100, 160)}}
     assert components(spark.createDataFrame([], "a LONG, b LONG")).count() == 0
+
+
+def test_rows_of_one_key_with_different_texts_stay(spark):
+    rows = [(1, "one two three four", "b"), (1, "nothing alike in here at all", "a"), (1, "one two three four", "a"), (2, "one two three four", "c"), (3, None, None), (3, None, None), (None, "x", "y")]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING").repartition(parts)
+        got = sorted(map(tuple, ngram_join.one_of_each(df, ngram_join.Rule(3, 80, 100)).collect()), key=str)
+        assert got == sorted([(1, "one two three four", "a"), (1, "nothing alike in here at all", "a"), (3, None, None), (None, "x", "y")], key=str)
