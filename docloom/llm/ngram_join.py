@@ -1,11 +1,12 @@
-"""Similarity join of documents on word shingles: count vectors, an R-tree over them, exact checks.
+"""Similarity join of documents on word shingles: part signatures, one-level trees over count vectors, exact checks.
 
 Shingles are hashed into groups, and how many fall into each group makes a document a point. Two
 sets share at most the sum of the smaller counts of every group, so points whose sum is too small
 are no pair. A whole R-tree over all documents would have to be searched everywhere, since shares
 of 0.8 and more leave room in every coordinate. So the groups are first dealt into parts: if two
 sets differ in at most R shingles and there are more than R parts, one part is the same in both.
-Documents with an equal part meet in a cell, and each cell has its own R-tree.
+Documents with an equal part meet in a cell. Leader checks settle most cells; each of those that are
+left has its own tree of one level.
 """
 
 from __future__ import annotations
@@ -200,7 +201,10 @@ def _cells(batches):
 
 
 class CountTree:
-    """A packed R-tree over count vectors: pages of points with the largest count of each coordinate."""
+    """The lowest level of a packed R-tree over count vectors: pages of points with the largest count of each coordinate.
+
+    There are no levels above it: every asking point scans the upper corners of all pages.
+    """
 
     def __init__(self, fine: np.ndarray, sizes: np.ndarray):
         # The coordinates of the tree are sums of the fine ones, so both bound the overlap from above.
