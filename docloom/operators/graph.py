@@ -7,6 +7,7 @@ chunk) and is expanded only from the side of the asked-for nodes.
 from __future__ import annotations
 
 import itertools
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,7 +117,7 @@ def label_propagation(edges: DataFrame, rounds: int = 100, stop_when_stable: boo
 
     In each round a hash draws the nodes that may move. If all moved at once, a two-sided graph
     would swap labels for ever. Counting labels is a partial aggregation, so a hub's neighbourhood
-    is never gathered in one place. Ends when no node wants to move.
+    is never gathered in one place. Ends when no node wants to move, or after ``rounds`` with a warning.
     """
     adj = cut_lineage(adjacency(edges), "adjacency")
     labels, state = adj.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")), Rounds(edges.sparkSession, "labels")
@@ -129,6 +130,9 @@ def label_propagation(edges: DataFrame, rounds: int = 100, stop_when_stable: boo
         labels = stored.select("id", "label")
         if stop_when_stable and stored.where("unsettled").isEmpty():
             break
+    else:
+        if stop_when_stable:
+            warnings.warn(f"label propagation ended after {rounds} rounds with nodes that still want to move", stacklevel=2)
     return labels
 
 

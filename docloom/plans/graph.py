@@ -182,7 +182,7 @@ def grf8(spark, sf_dir):
 
 @query("grf8_converged")
 def grf8_converged(spark, sf_dir):
-    """The same until no node moves."""
+    """The same until no node moves; a warning says so if the limit of rounds ends it before."""
     return gr.label_propagation(simple_edges(spark, sf_dir))
 
 
@@ -287,11 +287,15 @@ def grf14(spark, sf_dir):
     return rounded(pagerank(spark, sf_dir)[0], "score", digits=9)
 
 
+def converged_pagerank(spark, sf_dir):
+    triples, links = gr.load_triples(raw_triples(spark, sf_dir))
+    return gr.personalised_pagerank(triples, nation_seeds(spark, sf_dir)), links
+
+
 @query("grf14_converged")
 def grf14_converged(spark, sf_dir):
     """Personalised PageRank until no score moves."""
-    triples, _ = gr.load_triples(raw_triples(spark, sf_dir))
-    return rounded(gr.personalised_pagerank(triples, nation_seeds(spark, sf_dir)), "score", digits=9)
+    return rounded(converged_pagerank(spark, sf_dir)[0], "score", digits=9)
 
 
 PASSAGES = RANKED + f""",
@@ -300,8 +304,8 @@ top AS (SELECT query_id, passage_id, score, row_number() OVER (PARTITION BY quer
   UNION ALL SELECT 1000, o_orderkey, 1.0, row_number() OVER (ORDER BY o_orderkey DESC) FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey DESC) <= 10)"""
 
 
-def ranked_passages(spark, sf_dir):
-    scores, links = pagerank(spark, sf_dir)
+def ranked_passages(spark, sf_dir, converged=False):
+    scores, links = (converged_pagerank if converged else pagerank)(spark, sf_dir)
     asked = nation_seeds(spark, sf_dir).select("query_id").distinct().withColumn("has_seeds", F.lit(True))
     asked = asked.unionByName(spark.createDataFrame([(1000, False)], "query_id int, has_seeds boolean"))
     passages = tables.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("passage_id"))
@@ -313,6 +317,12 @@ def grf15(spark, sf_dir):
     return ranked_passages(spark, sf_dir)[0].withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("grf15_converged")
+def grf15_converged(spark, sf_dir):
+    """The same from converged PageRank."""
+    return ranked_passages(spark, sf_dir, converged=True)[0].withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(
     "grf16_result_entities",
     PASSAGES + """,
@@ -322,7 +332,16 @@ cf AS (SELECT query_id, round(avg(score), 9) AS confidence FROM top GROUP BY 1)
 SELECT CAST(query_id AS INTEGER) AS query_id, string_agg(entity, ',' ORDER BY r) AS entities, any_value(confidence) AS confidence FROM rk JOIN cf USING (query_id) GROUP BY 1""",
 )
 def grf16(spark, sf_dir):
-    results, links = ranked_passages(spark, sf_dir)
+    return listed_entities(spark, sf_dir, *ranked_passages(spark, sf_dir))
+
+
+@query("grf16_converged")
+def grf16_converged(spark, sf_dir):
+    """The same from converged PageRank."""
+    return listed_entities(spark, sf_dir, *ranked_passages(spark, sf_dir, converged=True))
+
+
+def listed_entities(spark, sf_dir, results, links):
     entities = gr.result_entities(results, links, nation_seeds(spark, sf_dir))
     sure = results.groupBy("query_id").agg(F.round(F.avg("score"), 9).alias("confidence"))
     listed = entities.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "entity"))), lambda x: x["entity"]), ",").alias("entities"))
