@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import base
+from docloom.llm import base, merkle_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -150,3 +151,32 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.digests(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"]).select(
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op12_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the document of the same text that stays, the one of the largest id."""
+    from docloom.llm import exact_dedup
+
+    return exact_dedup.duplicates(base.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL["op12_extendible_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proof for every document, folded again with texts of a fifth of the ids lower-cased."""
+    from docloom.llm import merkle
+
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    return merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], altered={"text": F.when(touched, lower).otherwise(F.col("text"))})
+
+
+SQL["op13_merkle_manifest"] = merkle_sql.SQL
