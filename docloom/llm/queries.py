@@ -153,6 +153,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query
+def op11_dawg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after known damage: its faults and the cheapest edits that make it well formed."""
+    from docloom.llm import conversations
+
+    turns = base.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair(conversations.damage(turns), every=turns)
+
+
 @query
 def op12_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document of the same text that stays, the one of the largest id."""
