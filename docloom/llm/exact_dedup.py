@@ -13,7 +13,7 @@ from docloom.llm import base
 from docloom.llm.ordering import HOT_SHARE, look_up, small_or_not
 
 #: Bits of a hash key, and keys that a bucket holds before it splits.
-BITS, CAPACITY = 60, 65_536
+BITS, CAPACITY = 60, 512
 #: Result columns of :func:`duplicates`.
 RESULT = ["keep_id", "group_size", "kept", "text_sha256"]
 
