@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions import sizing
 from docloom.functions import text as tx
 from docloom.operators import vector_search as vs
 
@@ -37,159 +36,11 @@ def take_top(scored: DataFrame, k: int, score: str = "score", key: str = "chunk_
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _corpus(queries: DataFrame, chunks: DataFrame, small: bool):
-    """Tokens per chunk, corpus totals, the query vocabulary and its document frequencies."""
-    tokens = chunks.select("chunk_id", tx.words(F.col("content")).alias("ws"))
-    totals = tokens.agg(F.count("*").alias("n"), F.avg(F.size("ws")).alias("avg_len"))
-    vocabulary = sizing.small_side(queries.select("term").distinct(), small)
-    doc_freq = (
-        tokens.select(F.explode(F.array_distinct("ws")).alias("term"))
-        .join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    )
-    return tokens, totals, vocabulary, doc_freq
-
-
-def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi score of every (query, chunk) that shares a term: ``(query_id, chunk_id, score)``.
-
-    Tokens are reduced to the query vocabulary before anything moves. With a query side small
-    enough to be held by every task, one exchange on ``chunk_id`` serves both the term counts and
-    the score sums.
-    """
-    queries = queries.select("query_id", "term").distinct()
-    small = sizing.is_small(queries)
-    tokens, totals, vocabulary, doc_freq = _corpus(queries, chunks, small)
-    n, avg_len = totals.select("n").scalar(), totals.select("avg_len").scalar()
-    weighted = queries.join(doc_freq, "term").select(
-        "query_id", "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-    )
-    counts = (
-        tokens.select("chunk_id", F.size("ws").alias("len"), F.explode("ws").alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .repartition("chunk_id")
-        .groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    )
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
-    return counts.join(sizing.small_side(weighted, small), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 7).alias("score"))
-
-
-# Cells of a (term, query) weight matrix that every task may hold.
+# Cells of a (term, query) weight matrix that every task may hold, and rows that are summed at once.
 WEIGHT_CELLS = 4_000_000
 SLICE_ROWS = 256
 
 
-def _bm25_block(queries: DataFrame, chunks: DataFrame, k: int, k1: float, b: float) -> DataFrame:
-    """The k best chunks per query and partition for a query block of checked size.
-
-    The block's weights are one matrix in every task; a chunk's scores are a sparse row times that
-    matrix, so neither postings nor (query, chunk) pairs are shuffled.
-    """
-    schema, types = vs.id_types(queries, chunks, "chunk_id")
-    tokens, totals, _, doc_freq = _corpus(queries, chunks, True)
-    corpus = totals.first()
-    n, avg_len = corpus["n"], corpus["avg_len"] or 1.0
-    block = queries.join(doc_freq, "term").distinct().toPandas()
-    terms, term_at = np.unique(block["term"].to_numpy(dtype=object).astype(str), return_inverse=True)
-    query_ids, query_at = np.unique(block["query_id"].to_numpy(), return_inverse=True)
-    weights = np.zeros((len(terms), len(query_ids)))
-    df = block["df"].to_numpy(dtype=float)
-    weights[term_at, query_at] = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    shared = chunks.sparkSession.sparkContext.broadcast((terms.tolist(), query_ids, weights))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, ids_q, w = shared.value
-        known = pa.array(vocabulary, pa.string())
-        best = vs.Best(k)
-        for batch in batches:
-            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-            ws = batch.column("ws")
-            length = np.asarray(pc.list_value_length(ws))
-            row = np.repeat(np.arange(len(ids)), length)
-            at = pc.index_in(ws.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
-            hit = at >= 0
-            cell, tf = np.unique(row[hit] * len(vocabulary) + at[hit], return_counts=True)
-            row, at = cell // len(vocabulary), cell % len(vocabulary)
-            x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avg_len))
-            rows, first = np.unique(row, return_index=True)
-            ends = np.append(first[1:], len(row))
-            group = max(SLICE_ROWS, WEIGHT_CELLS // max(1, len(ids_q)))
-            for start in range(0, len(rows), group):
-                parts = []
-                for i in range(start, min(start + group, len(rows)), SLICE_ROWS):
-                    j = min(i + SLICE_ROWS, start + group, len(rows))
-                    lo, hi = first[i], ends[j - 1]
-                    parts.append(np.add.reduceat(w[at[lo:hi]] * x[lo:hi, None], first[i:j] - lo, axis=0))
-                scores = np.round(np.concatenate(parts), 7)
-                best.add(scores, ids[rows[start:start + group]], scores > 0, 0)
-        yield from best.batch(ids_q, types)
-
-    found = tokens.mapInArrow(score, schema) if len(terms) else chunks.sparkSession.createDataFrame([], schema)
-    return found.select("query_id", F.col("id").alias("chunk_id"), F.col("similarity").alias("score"))
-
-
-def ranked(
-    queries: DataFrame, chunks: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, weight_cells: int = WEIGHT_CELLS, max_k: int | None = None
-) -> DataFrame:
-    """Top-k text hits; ``rank_score`` squeezes the score to r / (r + 1).
-
-    A query block whose measured weight matrix fits ``weight_cells`` is scored where the chunks
-    lie; a larger one goes through the relational plan of :func:`bm25`. Both give the same rows; a
-    term counts once per query.
-    """
-    k = vs.checked_k(k, max_k)
-    queries = queries.select("query_id", "term").distinct()
-    size = queries.agg(F.countDistinct("term").alias("t"), F.countDistinct("query_id").alias("q")).first()
-    fits = size["t"] * size["q"] <= weight_cells
-    top = take_top(_bm25_block(queries, chunks, k, k1, b) if fits else bm25(queries, chunks, k1, b), k)
-    return top.withColumn("rank_score", F.col("score") / (F.col("score") + 1))
-
-
-def matched_ranked(clauses: DataFrame, terms: DataFrame, chunks: DataFrame, k: int = 10, keep: Column | None = None, max_k: int | None = None) -> DataFrame:
-    """Top-k by text score among the chunks that pass ``keep`` and every clause of a query.
-
-    Matching comes before ranking, so k counts matches only. Statistics of terms are those of all
-    of ``chunks``, as they would be without filters. ``clauses`` as in :func:`boolean_match`,
-    ``terms(query_id, term)`` as in :func:`ranked`.
-    """
-    allowed = chunks if keep is None else chunks.where(keep)
-    matches = boolean_match(clauses, allowed)
-    scored = bm25(terms, chunks).join(matches, ["query_id", "chunk_id"])
-    return take_top(scored, vs.checked_k(k, max_k)).withColumn("rank_score", F.col("score") / (F.col("score") + 1))
-
-
-def boolean_match(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks that satisfy every clause of a query.
-
-    ``queries(query_id, must, any_of, none_of, phrases)`` are arrays (phrases as space-joined
-    tokens). Each query enters the join through one anchor only — its rarest required word, or
-    its alternatives if nothing is required — and all clauses are then checked inside the row.
-    """
-    tokens = chunks.select("chunk_id", tx.words(F.col("content")).alias("ws"))
-    required = F.array_union("must", F.flatten(F.transform("phrases", lambda p: F.split(p, " "))))
-    wanted = queries.select(
-        "*", F.explode(F.when(F.size(required) > 0, required).otherwise(F.col("any_of"))).alias("term"),
-        (F.size(required) > 0).alias("anchored"),
-    )
-    small = sizing.is_small(wanted)
-    vocabulary = sizing.small_side(wanted.select("term").distinct(), small)
-    hits = tokens.select("chunk_id", "ws", F.explode(F.array_distinct("ws")).alias("term")).join(vocabulary, "term", "left_semi")
-    doc_freq = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rarity = Window.partitionBy("query_id").orderBy("df", "term")
-    anchors = (
-        wanted.join(doc_freq, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-        .withColumn("r", F.row_number().over(rarity))
-        .where((F.col("r") == 1) | ~F.col("anchored"))
-    )
-    line = F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" "))
-    ok = (
-        (F.size(F.array_except("must", "ws")) == 0)
-        & ((F.size("any_of") == 0) | F.arrays_overlap("any_of", "ws"))
-        & ~F.arrays_overlap("none_of", "ws")
-        & F.forall("phrases", lambda p: F.contains(line, F.concat(F.lit(" "), p, F.lit(" "))))
-    )
-    return hits.join(sizing.small_side(anchors, small), "term").where(ok).select("query_id", "chunk_id").distinct()
-
-
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of the words, each padded with two blanks before and one after."""
     padded = F.transform(F.array_distinct(tx.words(text)), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
@@ -197,25 +48,6 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
-def fuzzy(queries: DataFrame, chunks: DataFrame, threshold: float = 0.3, k: int = 10, max_k: int | None = None) -> DataFrame:
-    """Trigram similarity shared / (a + b − shared) at or above the threshold, top-k per query.
-
-    Size alone bounds the similarity, so pairs whose set sizes are too far apart are left out
-    before counting.
-    """
-    q = queries.select("query_id", trigrams(F.col("text")).alias("g")).select(
-        "query_id", F.size("g").alias("qn"), F.explode("g").alias("gram"))
-    c = chunks.select("chunk_id", trigrams(F.col("content")).alias("g")).select(
-        "chunk_id", F.size("g").alias("cn"), F.explode("g").alias("gram"))
-    sizes_allow = F.least("qn", "cn") >= F.lit(threshold) * F.greatest("qn", "cn")
-    shared = c.join(sizing.small_side(q, sizing.is_small(q)), "gram").where(sizes_allow).groupBy("query_id", "chunk_id", "qn", "cn").agg(F.count("*").alias("both"))
-    scored = shared.select(
-        "query_id", "chunk_id",
-        F.round(F.col("both") / (F.col("qn") + F.col("cn") - F.col("both")), 9).alias("score"),
-    ).where(F.col("score") >= threshold)
-    return take_top(scored, vs.checked_k(k, max_k))
-
-
 def text_or_fuzzy(text_hits: DataFrame, fuzzy_hits: DataFrame, k: int = 10, max_k: int | None = None) -> DataFrame:
     """Either leg matches; the better of the two scores counts.
 
@@ -257,44 +89,70 @@ def fragments(content: Column, terms: Column, most: int = 3, reach: int = 12) ->
     )
 
 
-def containing_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """Which distinct tokens contain which terms as substrings: ``(token, term)``.
-
-    Every substring of a token whose length some term has is looked up by equality, so no
-    token is compared with every term.
-    """
-    lengths = terms.agg(F.min(F.length("term")).alias("lo"), F.max(F.length("term")).alias("hi"))
-    tokens = tokens.withColumn("_lo", lengths.select("lo").scalar()).withColumn("_hi", lengths.select("hi").scalar())
-    lo, hi, n = F.col("_lo"), F.col("_hi"), F.length("token")
-    pieces = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.when(
-                F.least(n - i + 1, hi) >= lo,
-                F.transform(F.sequence(lo, F.least(n - i + 1, hi)), lambda m: F.substring(F.col("token"), i, m)),
-            ).otherwise(F.array().cast("array<string>")),
-        )
-    )
-    return tokens.where(n > 0).select("token", F.explode(F.array_distinct(pieces)).alias("term")).join(
-        sizing.small_side(terms, sizing.is_small(terms)), "term")
-
-
-def term_coverage(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
+def _coverage(k: int, types: tuple[pa.DataType, pa.DataType]):
+    """A shard's texts come first, then queries: one automaton per batch of queries runs once over every text."""
+
+    def answer(ids: np.ndarray, texts: list[str], queries: list[dict]) -> pa.RecordBatch:
+        code: dict[str, int] = {}
+        for q in queries:
+            for t in q["terms"]:
+                code.setdefault(t["term"], len(code))
+        automaton = ahocorasick.Automaton()
+        for term, i in code.items():
+            automaton.add_word(term, i)
+        automaton.make_automaton()
+        held = [np.fromiter({i for _, i in automaton.iter(t)}, dtype=np.int64) for t in texts]
+        some = np.array([i for i, h in enumerate(held) if len(h)], dtype=np.int64)
+        best = vs.Best(k)
+        step = max(1, WEIGHT_CELLS // max(1, len(code), len(ids)))
+        for lo in range(0, len(queries) if len(some) else 0, step):
+            part = queries[lo:lo + step]
+            w = np.zeros((len(code), len(part)))
+            for j, q in enumerate(part):
+                for t in q["terms"]:
+                    w[code[t["term"]], j] = t["n"]
+            sums = np.stack([w[held[i]].sum(axis=0) for i in some])
+            scores = np.round(sums / np.array([q["total"] for q in part]), 9)
+            best.add(scores, ids[some], scores > 0, lo)
+        yield from best.batch(np.array([q["query_id"] for q in queries], dtype=object if types[0] == pa.string() else None), types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, ids, texts = None, [], []
+        for batch in batches:
+            numbers, asks = batch.column("shard").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False).astype(int)
+            cuts = np.flatnonzero(np.append(True, (np.diff(numbers) != 0) | (np.diff(asks) != 0)))
+            for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if numbers[lo] != shard:
+                    shard, ids, texts = numbers[lo], [], []
+                if asks[lo]:
+                    if texts:
+                        yield from answer(np.concatenate(ids), texts, part.select(["query_id", "terms", "total"]).to_pylist())
+                else:
+                    ids.append(part.column("chunk_id").to_numpy(zero_copy_only=False))
+                    texts += part.column("content").to_pylist()
+
+    return run
+
+
+def term_coverage(queries: DataFrame, chunks: DataFrame, k: int = 10, shard_chars: int = 1_000_000) -> DataFrame:
     """Share of a query's words (repeats count) found as substrings of the chunk, best k.
 
-    ``queries(query_id, term, n)`` holds words without blanks, so a term is in the text exactly
-    when it is inside one of the text's whitespace tokens.
+    ``queries(query_id, term, n)`` holds words that are not empty. Chunks lie in shards of bounded size, to each of
+    which all queries go; a multi-pattern automaton finds every word of a batch of queries in one
+    pass over a text, however long, and no more than k rows per query leave a shard.
     """
-    tokens = chunks.select("chunk_id", F.explode(F.array_distinct(tx.whitespace_tokens(F.lower("content")))).alias("token"))
-    where_found = containing_terms(tokens.select("token").distinct(), queries.select("term").distinct())
-    hits = tokens.join(where_found, "token").select("chunk_id", "term").distinct()
-    totals = queries.groupBy("query_id").agg(F.sum("n").alias("total"))
-    scored = (
-        hits.join(sizing.small_side(queries, sizing.is_small(queries)), "term").groupBy("query_id", "chunk_id").agg(F.sum("n").alias("hit"))
-        .join(totals, "query_id")
-        .select("query_id", "chunk_id", F.round(F.col("hit") / F.col("total"), 9).alias("score"))
-    )
-    return take_top(scored, k)
+    size = chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("chars")).first()
+    shards = int(max(1, size["chars"] // shard_chars, size["n"] // 4096))
+    asks = queries.groupBy("query_id").agg(F.collect_list(F.struct("term", "n")).alias("terms"), F.sum("n").alias("total"))
+    asks = asks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "*")
+    rows = chunks.where(F.col("content").isNotNull()).select(
+        F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "chunk_id", F.lower("content").alias("content"))
+    schema, types = vs.id_types(queries, chunks, "chunk_id")
+    tasks = min(shards, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
+    both = rows.unionByName(asks, allowMissingColumns=True).repartition(tasks, "shard").sortWithinPartitions("shard", "asks")
+    found = both.mapInArrow(_coverage(k, types), schema)
+    return take_top(found.select("query_id", F.col("id").alias("chunk_id"), F.col("similarity").alias("score")), k)
 
 
 def expand_abbreviations(queries: DataFrame, table: DataFrame, most: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docloom import tables
 from docloom.functions import text as tx
 from docloom.operators import embeddings as emb
+from docloom.operators import postings as ps
 from docloom.operators import text_search as ts
 from docloom.operators import vector_search as vs
 from docloom.plans import fragments as sq
@@ -23,7 +24,14 @@ def vector_leg(spark, sf_dir, k: int = LEG, floor: float = FLOOR):
 
 
 def text_leg(spark, sf_dir, k: int = LEG):
-    return ts.ranked(tables.query_terms(spark, sf_dir), tables.chunks(spark, sf_dir), k)
+    return ps.ranked(tables.chunk_index(spark, sf_dir), term_queries(spark, sf_dir), k)
+
+
+def term_queries(spark, sf_dir):
+    """Benchmark items as queries of their distinct words but stop words."""
+    words = F.array_distinct(tx.words(F.col("text")))
+    terms = F.array_except(words, F.array(*[F.lit(w) for w in tx.ENGLISH_STOP_WORDS]))
+    return tables.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("terms"))
 
 
 def all_vectors(spark, sf_dir):
@@ -230,10 +238,36 @@ FROM bm JOIN mt USING (query_id, chunk_id) QUALIFY rank <= 10""",
 def txt1_matched_ranked(spark, sf_dir):
     """English chunks with one of the long words and without "was", ranked by all words."""
     words = F.array_distinct(tx.words(F.col("text")))
-    none = F.array().cast("array<string>")
     clauses = tables.load(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), none.alias("must"), F.filter(words, lambda w: F.length(w) >= 9).alias("any_of"), F.array(F.lit("was")).alias("none_of"), none.alias("phrases"))
-    out = ts.matched_ranked(clauses, tables.query_terms(spark, sf_dir), tables.chunks(spark, sf_dir), 10, keep=F.col("lang") == "en")
+        F.col("item_id").alias("query_id"), F.filter(words, lambda w: F.length(w) >= 9).alias("any_of"), F.array(F.lit("was")).alias("none_of"))
+    queries = term_queries(spark, sf_dir).join(clauses.where(F.size("any_of") > 0), "query_id")
+    english = tables.chunks(spark, sf_dir).where(F.col("lang") == "en")
+    out = ps.ranked(tables.chunk_index(spark, sf_dir), queries, 10, chunks=english)
+    return out.select("query_id", "chunk_id", F.round("rank_score", 6).alias("rank_score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "txt1_cover_density",
+    sq.with_(sq.CHUNKS, sq.TERMS) + rf""",
+words AS (SELECT item_id AS query_id, list_filter(all_ws, lambda w, i: list_position(all_ws, w) = i AND length(w) >= 5 AND w NOT IN {sq.sql_list(tx.ENGLISH_STOP_WORDS)}) AS ws
+  FROM (SELECT item_id, {sq.words_of('text')} AS all_ws FROM benchmark)),
+asked AS (SELECT query_id * 100 + i AS query_id, ws[2 * i + 1] AS a, ws[2 * i + 2] AS b FROM words, range(5) t(i) WHERE len(ws) >= 2 * i + 2),
+occ AS (SELECT query_id, chunk_id, pos, term FROM asked JOIN terms ON term = a OR term = b),
+latest AS (SELECT q.query_id, q.chunk_id, q.pos, p.term, max(p.pos) AS begins FROM occ q JOIN occ p ON p.query_id = q.query_id AND p.chunk_id = q.chunk_id AND p.pos <= q.pos GROUP BY ALL),
+ends AS (SELECT query_id, chunk_id, pos, min(begins) AS start FROM latest GROUP BY ALL HAVING count(*) = 2),
+covers AS (SELECT query_id, chunk_id, start, min(pos) AS pos FROM ends GROUP BY ALL),
+noise AS (SELECT c.query_id, c.chunk_id, c.start, c.pos, c.pos - c.start - (count(*) - 1) AS others FROM covers c JOIN occ o
+  ON o.query_id = c.query_id AND o.chunk_id = c.chunk_id AND o.pos BETWEEN c.start AND c.pos GROUP BY c.query_id, c.chunk_id, c.start, c.pos),
+s AS (SELECT query_id, chunk_id, round(sum(0.1::DOUBLE / (1 + others)), 9) AS score FROM noise GROUP BY ALL)
+SELECT query_id, chunk_id, round(score / (score + 1), 6) AS rank_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+FROM s QUALIFY rank <= 10""",
+)
+def txt1_cover_density(spark, sf_dir):
+    """Five pairs of words of every benchmark item: both must be there, the closer together and the more often the better."""
+    ws = F.filter(F.array_distinct(tx.words(F.col("text"))), lambda w: (F.length(w) >= 5) & ~w.isin(tx.ENGLISH_STOP_WORDS))
+    pairs = tables.load(spark, sf_dir, "benchmark").select("item_id", ws.alias("ws"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).where("size(ws) >= 2 * i + 2")
+    queries = pairs.select((F.col("item_id") * 100 + F.col("i")).alias("query_id"), F.slice("ws", 2 * F.col("i") + 1, 2).alias("must"))
+    out = ps.ranked(tables.chunk_index(spark, sf_dir), queries, 10, "cover")
     return out.select("query_id", "chunk_id", F.round("rank_score", 6).alias("rank_score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -268,10 +302,11 @@ ON contains(' ' || array_to_string(c.ws, ' ') || ' ', ' ' || array_to_string(q.w
 )
 def txt2_phrase(spark, sf_dir):
     q = sentence_queries(spark, sf_dir)
-    none = F.array().cast("array<string>")
-    return ts.boolean_match(
-        q.select("query_id", none.alias("must"), none.alias("any_of"), none.alias("none_of"), F.array("phrase").alias("phrases")),
-        tables.chunks(spark, sf_dir))
+    return found(ps.search(tables.chunk_index(spark, sf_dir), q.select("query_id", F.array("phrase").alias("phrases")), "match"))
+
+
+def found(matches):
+    return matches.select("query_id", "chunk_id")
 
 
 @query(
@@ -283,11 +318,22 @@ SELECT DISTINCT q.query_id, c.chunk_id FROM q JOIN ctok c ON list_has_all(c.ws,
 WHERE len(q.must) > 0""",
 )
 def txt2_and_not(spark, sf_dir):
-    q = sentence_queries(spark, sf_dir)
-    none = F.array().cast("array<string>")
-    return ts.boolean_match(
-        q.select("query_id", F.col("long_words").alias("must"), none.alias("any_of"), F.col("other_words").alias("none_of"), none.alias("phrases")),
-        tables.chunks(spark, sf_dir))
+    q = sentence_queries(spark, sf_dir).where(F.size("long_words") > 0)
+    return found(ps.search(tables.chunk_index(spark, sf_dir), q.select("query_id", F.col("long_words").alias("must"), F.col("other_words").alias("none_of")), "match"))
+
+
+@query(
+    "txt2_not_only",
+    sq.with_(sq.CHUNKS, SENTENCES) + """,
+q AS (SELECT query_id, list_distinct(list_filter(ws, lambda w: length(w) >= 3)) AS bad FROM sentence_queries WHERE query_id % 1000 = 0)
+SELECT query_id, count(*) AS n_chunks, min(chunk_id) AS first_chunk FROM q JOIN ctok c ON NOT list_has_any(c.ws, q.bad) GROUP BY 1""",
+)
+def txt2_not_only(spark, sf_dir):
+    """Chunks that hold none of the words of an item's first sentence."""
+    q = sentence_queries(spark, sf_dir).where(F.col("query_id") % 1000 == 0)
+    bad = F.filter(F.array_distinct(F.split("phrase", " ")), lambda w: F.length(w) >= 3)
+    hits = ps.search(tables.chunk_index(spark, sf_dir), q.select("query_id", bad.alias("none_of")), "match")
+    return hits.groupBy("query_id").agg(F.count("*").alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
 
 
 @query(
@@ -297,13 +343,9 @@ q AS (SELECT query_id, list_filter(ws, lambda w: length(w) >= 12) AS any_of FROM
 SELECT query_id, count(DISTINCT chunk_id) AS n_chunks FROM q JOIN ctok c ON list_has_any(c.ws, q.any_of) GROUP BY 1""",
 )
 def txt2_or(spark, sf_dir):
-    q = sentence_queries(spark, sf_dir)
-    none = F.array().cast("array<string>")
-    found = ts.boolean_match(
-        q.select("query_id", none.alias("must"), F.filter("long_words", lambda w: F.length(w) >= 12).alias("any_of"),
-                 none.alias("none_of"), none.alias("phrases")),
-        tables.chunks(spark, sf_dir))
-    return found.groupBy("query_id").agg(F.count("*").alias("n_chunks"))
+    q = sentence_queries(spark, sf_dir).select("query_id", F.filter("long_words", lambda w: F.length(w) >= 12).alias("any_of")).where(F.size("any_of") > 0)
+    matches = ps.search(tables.chunk_index(spark, sf_dir), q, "match")
+    return matches.groupBy("query_id").agg(F.count("*").alias("n_chunks"))
 
 
 FUZZY = rf"""
@@ -320,8 +362,8 @@ f_leg AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY quer
 
 
 def fuzzy_leg(spark, sf_dir):
-    items = tables.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return ts.fuzzy(items, tables.chunks(spark, sf_dir), 0.3, 10)
+    items = tables.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), ts.trigrams(F.col("text")).alias("terms"))
+    return ps.ranked(tables.gram_index(spark, sf_dir), items, 10, "similar", threshold=0.3)
 
 
 @query("txt3_trigram", sq.with_(sq.CHUNKS, FUZZY) + "SELECT query_id, chunk_id, score, rank FROM f_leg")

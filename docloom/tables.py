@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom import store
 from docloom.functions import text as tx
-from docloom.operators import chunking
+from docloom.operators import chunking, postings, text_search
 
 # Every rule about age or expiry compares with this instant unless told otherwise.
 FIXED_CLOCK = "2024-01-31 00:00:00"
@@ -17,12 +18,32 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _derived(spark: SparkSession, sf_dir: str, label: str, build) -> str:
+    """The folder of a table derived from ``documents``, written where this state of them has none yet."""
+    state, size = store.state_of(spark, f"{sf_dir}/documents.parquet")
+    return store.once(spark, label, state, lambda path: build(path, size))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The central chunk table: fixed windows of every document."""
-    docs = load(spark, sf_dir, "documents")
-    return chunking.fixed_windows(docs, carry=["lang", "source"]).withColumn(
-        "chunk_id", F.col("doc_id") * F.lit(1000000) + F.col("chunk_index")
-    )
+    """The central chunk table: fixed windows of every document, cut once and dealt over many files."""
+
+    def build(path: str, size: int) -> None:
+        docs = load(spark, sf_dir, "documents")
+        cut = chunking.fixed_windows(docs, carry=["lang", "source"]).withColumn("chunk_id", F.col("doc_id") * F.lit(1000000) + F.col("chunk_index"))
+        cut.repartition(store.file_count(spark, size), F.xxhash64("chunk_id")).write.parquet(path)
+
+    return spark.read.parquet(_derived(spark, sf_dir, "chunks", build))
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """The positional index over :func:`chunks`, built once."""
+    return postings.open_index(spark, _derived(spark, sf_dir, "postings", lambda path, size: postings.build(chunks(spark, sf_dir), path)))
+
+
+def gram_index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """The index over the trigrams of :func:`chunks`, built once."""
+    return postings.open_index(spark, _derived(spark, sf_dir, "grams", lambda path, size: postings.build(
+        chunks(spark, sf_dir), path, text_search.trigrams(F.col("content")))))
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

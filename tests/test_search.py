@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from docloom.operators import context as cx
 from docloom.operators import embeddings as emb
 from docloom.operators import fusion as fu
+from docloom.operators import postings as ps
 from docloom.operators import text_search as ts
 from docloom.operators import vector_search as vs
 
@@ -52,11 +53,15 @@ def test_ids_of_any_type_lengths_apart_and_checked_k(spark):
         vs.top_k(q, df, 5, max_k=3)
 
 
-def test_repeated_terms_count_once_on_both_paths(spark):
+def test_repeated_terms_count_once(spark):
     c = spark.createDataFrame([("x", "one two"), ("y", "two"), ("z", "three")], "chunk_id string, content string")
-    q = spark.createDataFrame([("q", "one"), ("q", "one"), ("q", "two")], "query_id string, term string")
-    rows = lambda cells: sorted((r.query_id, r.chunk_id, r.rank, r.score) for r in ts.ranked(q, c, 7, weight_cells=cells).collect())
-    assert rows(10**6) == rows(0) and [r[1] for r in rows(0)] == ["x", "y"]
+    q = spark.createDataFrame([("q", ["one", "one", "two"])], "query_id string, terms array<string>")
+    once = spark.createDataFrame([("q", ["one", "two"])], "query_id string, terms array<string>")
+    index = ps.of(c)
+    rows = lambda q: sorted((r.query_id, r.chunk_id, r.rank, r.score) for r in ps.ranked(index, q, 7).collect())
+    assert rows(q) == rows(once) and [r[1] for r in rows(q)] == ["x", "y"]
+    with pytest.raises(ValueError):
+        ps.ranked(index, q, 5, max_k=3)
 
 
 def test_highlight_quotes_terms(spark):
@@ -66,10 +71,10 @@ def test_highlight_quotes_terms(spark):
 
 def test_matches_come_before_ranking(spark):
     c = spark.createDataFrame([(1, "spark spark spark"), (2, "spark join"), (3, "join spark slow"), (4, "join")], "chunk_id long, content string")
-    clauses = spark.createDataFrame([(9, ["join"], [], ["slow"], [])], "query_id long, must array<string>, any_of array<string>, none_of array<string>, phrases array<string>")
-    terms = spark.createDataFrame([(9, "spark"), (9, "join")], "query_id long, term string")
-    assert [(r.chunk_id, r.rank) for r in ts.matched_ranked(clauses, terms, c, 2).orderBy("rank").collect()] == [(2, 1), (4, 2)]
-    assert [r.chunk_id for r in ts.matched_ranked(clauses, terms, c, 2, keep=F.col("chunk_id") > 2).collect()] == [4]
+    q = spark.createDataFrame([(9, ["join"], ["slow"], ["spark", "join"])], "query_id long, must array<string>, none_of array<string>, terms array<string>")
+    index = ps.of(c)
+    assert [(r.chunk_id, r.rank) for r in ps.ranked(index, q, 2).orderBy("rank").collect()] == [(2, 1), (4, 2)]
+    assert [r.chunk_id for r in ps.ranked(index, q, 2, chunks=c.where("chunk_id > 2")).collect()] == [4]
 
 
 def test_null_vectors_and_empty_queries(spark):
@@ -96,15 +101,16 @@ def chunks(spark, *texts):
 def test_boolean_clauses(spark):
     c = chunks(spark, "red fox runs", "the red dog", "fox red", "blue fox runs red")
     q = spark.createDataFrame([
-        (1, ["red", "fox"], [], [], []), (2, [], ["dog", "blue"], [], []), (3, ["red"], [], ["dog"], []), (4, [], [], [], ["red fox"]), (5, ["absent"], [], [], [])],
+        (1, ["red", "fox"], [], [], []), (2, [], ["dog", "blue"], [], []), (3, ["red"], [], ["dog"], []), (4, [], [], [], ["red fox"]), (5, ["absent"], [], [], []), (6, [], [], ["fox"], [])],
         "query_id long, must array<string>, any_of array<string>, none_of array<string>, phrases array<string>")
-    got = {(r.query_id, r.chunk_id) for r in ts.boolean_match(q, c).collect()}
-    assert got == {(1, 0), (1, 2), (1, 3), (2, 1), (2, 3), (3, 0), (3, 2), (3, 3), (4, 0)}
+    got = {(r.query_id, r.chunk_id) for r in ps.search(ps.of(c), q, "match").collect()}
+    assert got == {(1, 0), (1, 2), (1, 3), (2, 1), (2, 3), (3, 0), (3, 2), (3, 3), (4, 0), (6, 1)}
 
 
 def test_trigram_similarity(spark):
     c, q = chunks(spark, "word", "words two"), spark.createDataFrame([(1, "word")], "query_id long, text string")
-    got = {r.chunk_id: r.score for r in ts.fuzzy(q, c, 0.1).collect()}
+    asked = q.select("query_id", ts.trigrams(F.col("text")).alias("terms"))
+    got = {r.chunk_id: r.score for r in ps.ranked(ps.of(c, ts.trigrams(F.col("content"))), asked, 5, "similar", threshold=0.1).collect()}
     assert got[0] == 1.0 and abs(got[1] - 4 / 11) < 1e-6
 
 
@@ -114,6 +120,23 @@ def test_term_coverage_counts_substrings(spark):
     assert got == {0: 0.75, 1: 0.25}
 
 
+def test_coverage_of_a_very_long_token(spark):
+    """One pass over the text, whatever the length of its tokens; several shards and string ids."""
+    rng = np.random.default_rng(2)
+    texts = [("long", "ab" * 50_000 + "needle"), ("none", "zz"), ("null", None), *[(f"t{i}", " ".join(rng.choice(["ab", "xneedley", "b a", "c"], 6))) for i in range(80)]]
+    c = spark.createDataFrame(texts, "chunk_id string, content string")
+    terms = [(q, t, int(n)) for q in ("p", "q", "r") for t, n in zip(["ab", "needle", "aba", "c", "absent"], rng.integers(1, 4, 5))]
+    got = {(r.query_id, r.chunk_id): r.score for r in ts.term_coverage(spark.createDataFrame(terms, "query_id string, term string, n long"), c, 100, shard_chars=9000).collect()}
+    want = {}
+    for query in ("p", "q", "r"):
+        mine = [(t, n) for q, t, n in terms if q == query]
+        for i, text in texts:
+            hit = sum(n for t, n in mine if t in (text or ""))
+            if hit:
+                want[query, i] = round(hit / sum(n for _, n in mine), 9)
+    assert got == want
+
+
 def test_highlight_and_fragments(spark):
     c = chunks(spark, "Über den Fluss. fluss, Flusslauf " + "x " * 60 + "fluss end").withColumn("t", F.array(F.lit("fluss")))
     r = c.select(ts.highlight(F.col("content"), F.col("t")).alias("h"), ts.matched_terms(F.col("content"), F.col("t")).alias("m"), ts.fragments(F.col("content"), F.col("t")).alias("f")).first()
@@ -183,16 +206,6 @@ def test_window_context(spark):
     assert got == [(None, "c1 c2"), ("c0", "c2 c3"), ("c0 c1", "c3"), ("c1 c2", None)]
 
 
-def test_text_ranking_paths_agree(spark):
-    rng = np.random.default_rng(9)
-    words = [f"w{i}" for i in range(60)]
-    c = chunks(spark, *[" ".join(rng.choice(words, rng.integers(0, 40))) for _ in range(700)]).repartition(5)
-    q = spark.createDataFrame([(i, str(t)) for i in range(6) for t in set(rng.choice(words + ["absent"], 8))], "query_id long, term string")
-    rows = lambda cells: sorted((r.query_id, r.chunk_id, r.rank, r.score) for r in ts.ranked(q, c, 7, weight_cells=cells).collect())
-    assert rows(10**6) == rows(0) and len(rows(0)) == 42
-    assert ts.ranked(q.where("term = 'absent'"), c).count() == 0
-
-
 def test_null_texts_keep_their_rows(spark):
     texts = spark.createDataFrame([("a",), (None,)], "text string")
     cache = spark.createDataFrame([], "key string, embedding array<double>")
