@@ -32,6 +32,8 @@ from docloom.session import shared_dir
 SHARD_CHARS, BUCKET_CHARS, MOST_BUCKETS, CELLS = 1_000_000, 16_000_000, 4096, 2_000_000
 #: The entry of all chunks of a shard, and of those that a filter lets through. Words are never so spelt.
 ALL, ALLOWED = "", " "
+#: Part of the names of stored indexes: what is written differently needs a new one.
+LAYOUT = "2"
 #: Weight of a cover of query words without other words between (the usual weight of plain text).
 COVER = 0.1
 
@@ -125,7 +127,7 @@ def build(chunks: DataFrame, path: str, tokens: Column | None = None, shard_char
                            T.StructField("lens", T.ArrayType(T.IntegerType())), T.StructField("tfs", T.ArrayType(T.IntegerType())),
                            T.StructField("positions", T.ArrayType(T.ArrayType(T.IntegerType())))])
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = taken.repartition(min(shards, tasks * 4), "shard").sortWithinPartitions("shard", "chunk_id").mapInArrow(lambda b: _inverted(b, arrow), schema)
+    rows = taken.repartitionById(min(shards, tasks * 4), F.col("shard") % min(shards, tasks * 4)).sortWithinPartitions("shard", "chunk_id").mapInArrow(lambda b: _inverted(b, arrow), schema)
     # A row without chunks, of no shard, so that an index of nothing has its columns too.
     blank = spark.createDataFrame([(-1, ALL, [], [], [], [])], schema)
     rows = rows.union(blank).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
@@ -250,11 +252,13 @@ class _Shard:
 
     def weigh(self, k1: float, b: float, avg_len: float) -> None:
         """The entries of all words by chunk, each with what its count and the chunk's length make of it."""
-        words = [t for t in self.span if t not in (ALL, ALLOWED)]
-        self.code = {t: i for i, t in enumerate(words)}
-        take = np.concatenate([np.arange(*self.span[t]) for t in words]) if words else np.zeros(0, np.int64)
-        row = self.place[take]
-        code = np.repeat(np.arange(len(words)), [self.span[t][1] - self.span[t][0] for t in words])
+        names = list(self.span)
+        spans = np.array(list(self.span.values()))
+        real = np.array([t not in (ALL, ALLOWED) for t in names])
+        self.code = {t: i for i, t in enumerate(names)}
+        code = np.repeat(np.arange(len(names)), spans[:, 1] - spans[:, 0])  # rows follow each other without a gap
+        take = np.flatnonzero(real[code])
+        row, code = self.place[take], code[take]
         order = np.argsort(row, kind="stable")
         take, self.row, self.entry = take[order], row[order], code[order]
         tf = self.tfs[take].astype(float)
@@ -437,7 +441,7 @@ def search(index: Index, queries: DataFrame, mode: str, k: int = 10, chunks: Dat
     id_types = (queries.schema["query_id"].dataType, index.postings.schema["ids"].dataType.elementType)
     run = _answers(mode, k, k1, b, index.avg_len or 1.0, threshold, tuple(to_arrow_type(t) for t in id_types))
     schema = T.StructType([T.StructField("query_id", id_types[0]), T.StructField("chunk_id", id_types[1]), T.StructField("score", T.DoubleType())])
-    found = both.repartition(tasks, "shard").sortWithinPartitions("shard", "asks").mapInArrow(run, schema)
+    found = both.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "asks").mapInArrow(run, schema)
     return found if mode == "match" else found.where(F.col("score") > 0)
 
 

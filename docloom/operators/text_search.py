@@ -150,7 +150,7 @@ def term_coverage(queries: DataFrame, chunks: DataFrame, k: int = 10, shard_char
         F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "chunk_id", F.lower("content").alias("content"))
     schema, types = vs.id_types(queries, chunks, "chunk_id")
     tasks = min(shards, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
-    both = rows.unionByName(asks, allowMissingColumns=True).repartition(tasks, "shard").sortWithinPartitions("shard", "asks")
+    both = rows.unionByName(asks, allowMissingColumns=True).repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "asks")
     found = both.mapInArrow(_coverage(k, types), schema)
     return take_top(found.select("query_id", F.col("id").alias("chunk_id"), F.col("similarity").alias("score")), k)
 

@@ -37,12 +37,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_index(spark: SparkSession, sf_dir: str) -> postings.Index:
     """The positional index over :func:`chunks`, built once."""
-    return postings.open_index(spark, _derived(spark, sf_dir, "postings", lambda path, size: postings.build(chunks(spark, sf_dir), path)))
+    return postings.open_index(spark, _derived(spark, sf_dir, f"postings-{postings.LAYOUT}", lambda path, size: postings.build(chunks(spark, sf_dir), path)))
 
 
 def gram_index(spark: SparkSession, sf_dir: str) -> postings.Index:
     """The index over the trigrams of :func:`chunks`, built once."""
-    return postings.open_index(spark, _derived(spark, sf_dir, "grams", lambda path, size: postings.build(
+    return postings.open_index(spark, _derived(spark, sf_dir, f"grams-{postings.LAYOUT}", lambda path, size: postings.build(
         chunks(spark, sf_dir), path, text_search.trigrams(F.col("content")))))
 
 
