@@ -115,9 +115,11 @@ def _search_cells(ids, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: i
     out = []
     for lo in range(0, len(q), 512):
         part = q[lo:lo + 512] @ v.T / v_len / q_len[lo:lo + 512, None]
-        take = min(len(v), k + 4)
-        near = np.argpartition(-part, take - 1, axis=1)[:, :take]
-        for j, candidates in enumerate(near):
+        # All at or near the (k + 1)-th value compete (one may be the query's own row), so equal scores are decided by id alone.
+        take = min(len(v), k + 1)
+        least = np.partition(part, len(v) - take, axis=1)[:, len(v) - take] - 1e-9
+        for j in range(len(part)):
+            candidates = np.flatnonzero(part[j] >= least[j])
             a, own = lo + j, int(query_ids[lo + j])
             exact = (v[candidates] * q[a]).sum(axis=1) / (v_len[candidates] * q_len[a])
             rows = []

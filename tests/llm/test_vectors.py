@@ -118,3 +118,14 @@ def test_top_k_matches_sql(spark):
 
 def test_counts_of_copies():
     assert Counter(len(r) for r in odd_rows())[4] == len(odd_rows())
+
+
+def test_equal_scores_go_to_smaller_ids():
+    """Vectors that differ in length only have one cosine: ids decide, in whatever order they lie."""
+    rng = np.random.default_rng(1)
+    ids = np.arange(1, 41)
+    for _ in range(20):
+        order = rng.permutation(40)
+        v = np.outer(2.0 ** (order % 7), [1.0, 0.5, 0.25])
+        got = ann._search_cells([[int(i)] for i in ids[order]], v, np.array([50, 3]), np.array([[3.0, 1.0, 1.0], [1.0, 0.5, 0.25]]), 5)
+        assert [r[1] for r in got] == [1, 2, 3, 4, 5, 1, 2, 4, 5, 6]
