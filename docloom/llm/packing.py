@@ -20,10 +20,11 @@ PIECES = "piece INT, start LONG, length LONG, ids_crc32 LONG"
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
-    """UTF-8 text to its ids, as little-endian 32-bit integers.
+    """Texts to their ids, as little-endian 32-bit integers.
 
     The tokenizer drops white space and never joins across it, so a word between ASCII white
-    space has the same ids in any text; words are encoded once and remembered.
+    space has the same ids in any text. Words are remembered; those that some texts have and the
+    memory has not go to the tokenizer in one call.
     """
     import os
 
@@ -36,16 +37,44 @@ def _encoder(path: str):
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def ids(word: bytes) -> bytes:
+    def simpler(word: bytes) -> list[bytes]:
+        """Words that have the same ids one after another: without case, and without a mark at the end."""
         if word.isascii() and b"<|" not in word:  # names of special tokens stay as they are
             if word != word.lower():  # the tokenizer lower-cases too
-                return words[word.lower()]
+                return simpler(word.lower())
             if len(word) > 1 and word[-1:] in _MARKS and word[-2:-1].isalpha():  # a mark after a letter is a token of its own
-                return words[word[:-1]] + words[word[-1:]]
-        return np.array(tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                return [word[:-1], word[-1:]]
+        return [word]
 
-    words = base.Remembered(ids)
-    return lambda text: b"".join(map(words.__getitem__, text.encode().split()))
+    def ask(some: list[bytes]) -> list[bytes]:
+        coded = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in coded]
+
+    words = base.Remembered(lambda word: b"".join(ask(simpler(word))))
+
+    def encode(texts: list[str]) -> list[bytes]:
+        split = [t.encode().split() for t in texts]
+        fresh = {w: simpler(w) for w in set().union(*split) if w not in words and w not in words.old}
+        parts = list({p for ps in fresh.values() for p in ps if p not in words and p not in words.old})
+        known = dict(zip(parts, ask(parts), strict=True))
+        words.update(known)
+        for w, ps in fresh.items():
+            words[w] = b"".join(known[p] if p in known else words[p] for p in ps)
+        return [b"".join(map(words.__getitem__, ws)) for ws in split]
+
+    return encode
+
+
+def _by_bytes(texts: list[str], most: int = 1 << 22):
+    """Runs of texts of about ``most`` characters together, so that long ones do not meet in memory."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield lo, texts[lo:i]
+            lo, size = i, 0
+        size += len(t)
+    if lo < len(texts):
+        yield lo, texts[lo:]
 
 
 def token_pieces(df: DataFrame, tokenizer: str, capacity: int, keep: list[str], text: str = "text", end_id: int = 1) -> DataFrame:
@@ -60,8 +89,7 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int, keep: list[str],
         encode = _encoder(tokenizer)
         out: dict[str, list] = {name: [] for name in [*keep, "piece", "start", "length", "ids_crc32"]}
         end, step = end_id.to_bytes(4, "little"), capacity * 4
-        for i, t in enumerate(batch["_text"]):
-            ids = encode(t) + end
+        for i, ids in ((lo + j, ids + end) for lo, some in _by_bytes(batch["_text"]) for j, ids in enumerate(encode(some))):
             for piece, at in enumerate(range(0, len(ids), step)):
                 part = ids[at:at + step]
                 for name in keep:
@@ -78,7 +106,16 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int, keep: list[str],
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Sequences for ``counts`` pieces of each length, as (lengths, how many such sequences).
 
-    First combinations of one, two and three lengths that fill a sequence exactly, as many as are
+    Exact complements up to triples, then best fit. Triples may use up small pieces that would fill
+    the gaps of large ones, so plans with complements of fewer lengths, and one of best fit alone,
+    are made too, and the one with the fewest sequences is taken.
+    """
+    plans = [_plan(counts, capacity, most) for most in (3, 2, 1)]
+    return min(plans, key=lambda made: sum(times for _, times in made))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """First combinations of up to ``most`` lengths that fill a sequence exactly, as many as are
     available; pairs and triples that hold the longest pieces go first. What is left goes, longest
     first, to the fullest open sequence that still has room. Works on lengths, of which there are at
     most ``capacity``, and never on pieces; every step uses up a length or a kind of open sequence.
@@ -95,10 +132,10 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
                 left[n] -= times * k
 
     use((capacity,))
-    for a in range(capacity - 1, (capacity + 1) // 2 - 1, -1):
+    for a in range(capacity - 1, (capacity + 1) // 2 - 1, -1) if most > 1 else ():
         if left[a] and left[capacity - a]:
             use((a, capacity - a))
-    for a in range(capacity - 2, (capacity + 2) // 3 - 1, -1):
+    for a in range(capacity - 2, (capacity + 2) // 3 - 1, -1) if most > 2 else ():
         if not left[a]:
             continue
         rest = capacity - a

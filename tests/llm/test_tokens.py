@@ -1,10 +1,12 @@
 """Token counts, packing, byte-level BPE and shards against plain loops over small and odd texts."""
 
+import bisect
 import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +184,26 @@ def test_shard_query(spark):
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in all_docs(spark))
     check_shards([(r.doc_id, r.size, r.shard, r.slot) for r in rows], 24)
     assert {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
+
+
+@pytest.mark.parametrize("shape", ["uniform", "short", "long", "halves", "two"])
+def test_plan_is_never_worse_than_best_fit(shape):
+    rng = np.random.default_rng(4)
+    lengths = {"uniform": rng.integers(1, 4097, 6000), "short": rng.geometric(1 / 300, 6000).clip(1, 4096), "long": 4096 - rng.geometric(1 / 300, 3000).clip(0, 4095),
+               "halves": rng.normal(2048, 200, 4000).astype(int).clip(1, 4096), "two": rng.choice([1500, 2700], 4000)}[shape]
+    gaps, used = [], 0
+    for n in sorted(lengths.tolist(), reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        if at == len(gaps):
+            used += 1
+            bisect.insort(gaps, 4096 - n)
+        else:
+            bisect.insort(gaps, gaps.pop(at) - n)
+    made = packing.plan(Counter(lengths.tolist()), 4096)
+    assert sum(times for _, times in made) <= used
+    assert all(sum(combo) <= 4096 for combo, _ in made)
+    back = Counter()
+    for combo, times in made:
+        for n in combo:
+            back[n] += times
+    assert back == Counter(lengths.tolist())
