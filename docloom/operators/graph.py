@@ -261,37 +261,85 @@ def load_triples(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return triples, links
 
 
+#: Queries whose scores lie side by side in one row per node; out-edges of a node that one task holds.
+QUERY_COLUMNS, HUB_EDGES = 32, 1_000_000
+
+
+def _walks(triples: DataFrame, hub_edges: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Steps (src, part, dst, p) dealt once by source and kept there, sources with more than one part, and degrees.
+
+    Out-edges of a hub are dealt over several parts; there are no more hubs than ``hub_edges`` goes into all steps.
+    """
+    edges = both_ways(triples.select(F.col("subject").alias("src"), F.col("object").alias("dst")))
+    steps = cut_lineage(edges.groupBy("src", "dst").agg(F.count("*").alias("n")), "steps")
+    degree = cut_lineage(steps.groupBy("src").agg(F.sum("n").alias("deg")), "degree")
+    parts = degree.where(F.col("deg") > hub_edges).select(F.col("src"), F.ceil(F.col("deg") / hub_edges).alias("parts"))
+    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("dst"), "parts")).cast("int")
+    n = int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    walk = steps.join(degree, "src").join(F.broadcast(parts), "src", "left").select("src", part.alias("part"), "dst", (F.col("n") / F.col("deg")).alias("p"))
+    # Dealt from the stored steps, so a lost executor's part is dealt again; filled now, because only then do joins know how it lies.
+    kept = walk.repartition(n, "src", "part").sortWithinPartitions("src", "part").persist()
+    kept.count()
+    return kept, parts, degree
+
+
 def personalised_pagerank(
-    triples: DataFrame, seeds: DataFrame, rounds: int = 50, tolerance: float | None = 1e-6, teleport: float = 0.15
+    triples: DataFrame, seeds: DataFrame, rounds: int = 50, tolerance: float | None = 1e-6, teleport: float = 0.15,
+    query_columns: int = QUERY_COLUMNS, hub_edges: int = HUB_EDGES,
 ) -> DataFrame:
-    """Scores ``(query_id, node, score)`` of all queries together.
+    """Scores ``(query_id, node, score)`` of all queries together, above 0.
 
     ``seeds(query_id, entity)``. Each seed gets 1/|seeds| of the teleport mass; seeds that are not
-    in the graph lose theirs. Parallel edges count. Only reached nodes are stored; contributions
-    are summed before they move. Stops early when no score moves by ``tolerance``.
+    in the graph lose theirs. Parallel edges count. Stops early when no score moves by ``tolerance``.
+
+    Edges are dealt by source once and stay where they are: a round sends one row per node to them,
+    with the scores of a block of queries as columns, and one row per node and task back, summed
+    before it moves. Only reached nodes have rows.
     """
-    edges = both_ways(triples.select(F.col("subject").alias("src"), F.col("object").alias("dst")))
-    degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    walk = cut_lineage(
-        edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(degree, "src").select("src", "dst", (F.col("n") / F.col("deg")).alias("p")), "walk")
-    n_seeds = seeds.groupBy("query_id").agg(F.countDistinct("entity").alias("k"))
-    known = seeds.distinct().join(degree.withColumnRenamed("src", "entity"), "entity", "left_semi")
-    jump = cut_lineage(known.join(n_seeds, "query_id").select("query_id", F.col("entity").alias("node"), (F.lit(teleport) / F.col("k")).alias("score")), "jump")
-    state, scores = jump, Rounds(triples.sparkSession, "pagerank")
-    for i in range(1, rounds):
-        moved = state.join(walk, state.node == walk.src).select("query_id", F.col("dst").alias("node"), (F.lit(1.0 - teleport) * F.col("score") * F.col("p")).alias("new"), F.lit(0.0).alias("old"))
-        parts = moved.unionByName(jump.select("query_id", "node", F.col("score").alias("new"), F.lit(0.0).alias("old")))
-        if tolerance is None:
-            state = parts.groupBy("query_id", "node").agg(F.sum("new").alias("score"))
-            if i % 3 == 0:
-                state = cut_lineage(state, "pagerank")
-            continue
-        parts = parts.unionByName(state.select("query_id", "node", F.lit(0.0).alias("new"), F.col("score").alias("old")))
-        both = scores.store(parts.groupBy("query_id", "node").agg(F.sum("new").alias("score"), F.sum("old").alias("old")))
-        state = both.select("query_id", "node", "score")
-        if both.where(F.abs(F.col("score") - F.col("old")) >= tolerance).isEmpty():
-            break  # also where no seed is in the graph
-    return state
+    spark = triples.sparkSession
+    walk, hubs, degree = _walks(triples, hub_edges)
+    sized = seeds.distinct().groupBy("query_id").agg(F.count("*").alias("k"))
+    blocks = max(1, -(-sized.count() // query_columns))
+    number = F.row_number().over(Window.partitionBy("block").orderBy("query_id")) - 1
+    asked = cut_lineage(sized.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("at", number), "queries")
+    width = (asked.agg(F.max("at")).first()[0] or 0) + 1
+    columns = [f"s{i}" for i in range(width)]
+    known = cut_lineage(seeds.distinct().join(degree.withColumnRenamed("src", "entity"), "entity", "left_semi").join(asked, "query_id").select(
+        "block", "at", F.col("entity").alias("node"), (F.lit(teleport) / F.col("k")).alias("score")), "seeds")
+
+    results = []
+    for block in range(blocks):
+        jump = cut_lineage(known.where(F.col("block") == block).groupBy("node").agg(
+            *[F.sum(F.when(F.col("at") == i, F.col("score")).otherwise(0.0)).alias(c) for i, c in enumerate(columns)]), "jump")
+        state, kept = jump, Rounds(spark, "pagerank")
+        for i in range(1, rounds):
+            parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)).cast("int") - 1))
+            spread = state.join(F.broadcast(hubs.withColumnRenamed("src", "node")), "node", "left").select("*", parts.alias("_part"))
+            moved = spread.join(walk, (F.col("node") == F.col("src")) & (F.col("_part") == F.col("part"))).select(
+                F.col("dst").alias("node"), *[(F.lit(1.0 - teleport) * F.col(c) * F.col("p")).alias(c) for c in columns])
+            together = moved.unionByName(jump)
+            if tolerance is None:
+                state = together.groupBy("node").agg(*[F.sum(c).alias(c) for c in columns])
+                if i % 3 == 0:
+                    state = kept.store(state)
+                continue
+            old = [c.replace("s", "o") for c in columns]
+            together = together.select("*", *[F.lit(0.0).alias(o) for o in old]).unionByName(
+                state.select("node", *[F.lit(0.0).alias(c) for c in columns], *[F.col(c).alias(o) for c, o in zip(columns, old, strict=True)]))
+            both = together.groupBy("node").agg(*[F.sum(c).alias(c) for c in [*columns, *old]])
+            change = F.array_max(F.array(*[F.abs(F.col(c) - F.col(o)) for c, o in zip(columns, old, strict=True)]))
+            stored = kept.store(both.select("node", *columns, change.alias("change")))
+            state = stored.select("node", *columns)
+            if stored.where(F.col("change") >= tolerance).isEmpty():
+                break  # also where no seed is in the graph
+        scores = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col(c).alias("score")) for i, c in enumerate(columns)]))
+        mine = asked.where(F.col("block") == block).select("query_id", "at")
+        results.append(cut_lineage(state.select("node", scores.alias("x")).select("node", "x.*").where("score > 0").join(F.broadcast(mine), "at").select("query_id", "node", "score"), "scores"))
+    walk.unpersist()
+    out = results[0]
+    for more in results[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def rank_passages(scores: DataFrame, links: DataFrame, passages: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

@@ -292,18 +292,40 @@ def converged_pagerank(spark, sf_dir):
     return gr.personalised_pagerank(triples, nation_seeds(spark, sf_dir)), links
 
 
-@query("grf14_converged")
+# Rounds until no score moves, as a recursion whose step sees the round before it; the last round is the answer.
+CONVERGED = RANKED[:RANKED.index(",\np1 AS")].replace("WITH", "WITH RECURSIVE", 1) + """,
+it(i, query_id, node, score, moved) AS (
+  SELECT 1, query_id, node, score, 1.0::DOUBLE FROM jp
+  UNION ALL
+  SELECT any_value(i), query_id, node, sum(score), max(abs(sum(score) - sum(old))) OVER () FROM (
+    SELECT i + 1 AS i, query_id, dst AS node, 0.85::DOUBLE * score * p AS score, 0.0::DOUBLE AS old FROM it JOIN wk ON node = src WHERE moved >= 1e-6
+    UNION ALL SELECT i + 1, query_id, node, 0.0, score FROM it WHERE moved >= 1e-6
+    UNION ALL SELECT n.i + 1, jp.query_id, jp.node, jp.score, 0.0 FROM jp, (SELECT max(i) AS i FROM it WHERE moved >= 1e-6) n WHERE n.i IS NOT NULL)
+  WHERE i <= 50 GROUP BY query_id, node),
+pc AS (SELECT query_id, node, score FROM it WHERE i = (SELECT max(i) FROM it))"""
+
+
+@query("grf14_converged", CONVERGED + " SELECT CAST(query_id AS INTEGER) AS query_id, node, round(score, 9) AS score FROM pc")
 def grf14_converged(spark, sf_dir):
     """Personalised PageRank until no score moves."""
     return rounded(converged_pagerank(spark, sf_dir)[0], "score", digits=9)
 
 
-PASSAGES = RANKED + f""",
-ps AS (SELECT query_id, passage_id, round(sum(score), 12) AS score FROM links JOIN p{_PR} ON entity = node GROUP BY 1, 2),
+def passages_sql(scores: str) -> str:
+    return f""",
+ps AS (SELECT query_id, passage_id, round(sum(score), 12) AS score FROM links JOIN {scores} ON entity = node GROUP BY 1, 2),
 top AS (SELECT query_id, passage_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM ps QUALIFY rank <= 10
   UNION ALL SELECT 1000, o_orderkey, 1.0, row_number() OVER (ORDER BY o_orderkey DESC) FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey DESC) <= 10)"""
 
 
+PASSAGES, CONVERGED_PASSAGES = RANKED + passages_sql(f"p{_PR}"), CONVERGED + passages_sql("pc")
+TOP_PASSAGES = " SELECT CAST(query_id AS INTEGER) AS query_id, passage_id, score, rank FROM top"
+LISTED = """,
+en AS (SELECT DISTINCT query_id, entity FROM (SELECT query_id, entity FROM top JOIN links USING (passage_id) UNION ALL SELECT query_id, entity FROM sd)),
+rk AS (SELECT query_id, entity, row_number() OVER (PARTITION BY query_id ORDER BY entity) AS r FROM en QUALIFY r <= 20),
+cf AS (SELECT query_id, round(avg(score), 9) AS confidence FROM top GROUP BY 1)
+SELECT CAST(query_id AS INTEGER) AS query_id, string_agg(entity, ',' ORDER BY r) AS entities, any_value(confidence) AS confidence FROM rk JOIN cf USING (query_id) GROUP BY 1"""
+
 def ranked_passages(spark, sf_dir, converged=False):
     scores, links = (converged_pagerank if converged else pagerank)(spark, sf_dir)
     asked = nation_seeds(spark, sf_dir).select("query_id").distinct().withColumn("has_seeds", F.lit(True))
@@ -312,30 +334,23 @@ def ranked_passages(spark, sf_dir, converged=False):
     return gr.rank_passages(scores, links, passages, asked), links
 
 
-@query("grf15_passages", PASSAGES + " SELECT CAST(query_id AS INTEGER) AS query_id, passage_id, score, rank FROM top")
+@query("grf15_passages", PASSAGES + TOP_PASSAGES)
 def grf15(spark, sf_dir):
     return ranked_passages(spark, sf_dir)[0].withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("grf15_converged")
+@query("grf15_converged", CONVERGED_PASSAGES + TOP_PASSAGES)
 def grf15_converged(spark, sf_dir):
     """The same from converged PageRank."""
     return ranked_passages(spark, sf_dir, converged=True)[0].withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(
-    "grf16_result_entities",
-    PASSAGES + """,
-en AS (SELECT DISTINCT query_id, entity FROM (SELECT query_id, entity FROM top JOIN links USING (passage_id) UNION ALL SELECT query_id, entity FROM sd)),
-rk AS (SELECT query_id, entity, row_number() OVER (PARTITION BY query_id ORDER BY entity) AS r FROM en QUALIFY r <= 20),
-cf AS (SELECT query_id, round(avg(score), 9) AS confidence FROM top GROUP BY 1)
-SELECT CAST(query_id AS INTEGER) AS query_id, string_agg(entity, ',' ORDER BY r) AS entities, any_value(confidence) AS confidence FROM rk JOIN cf USING (query_id) GROUP BY 1""",
-)
+@query("grf16_result_entities", PASSAGES + LISTED)
 def grf16(spark, sf_dir):
     return listed_entities(spark, sf_dir, *ranked_passages(spark, sf_dir))
 
 
-@query("grf16_converged")
+@query("grf16_converged", CONVERGED_PASSAGES + LISTED)
 def grf16_converged(spark, sf_dir):
     """The same from converged PageRank."""
     return listed_entities(spark, sf_dir, *ranked_passages(spark, sf_dir, converged=True))
