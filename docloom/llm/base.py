@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +23,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Work folders named since :func:`noted` began; None outside it.
+_NOTED: list[str] | None = None
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     """A new folder name below the one that all executors share."""
-    return os.path.join(shared_dir(spark), "docloom", f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), "docloom", f"{label}-{uuid.uuid4().hex}")
+    if _NOTED is not None:
+        _NOTED.append(path)
+    return path
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The work folders named inside, so that whoever writes the result can delete them afterwards."""
+    global _NOTED
+    before, _NOTED = _NOTED, []
+    try:
+        yield _NOTED
+    finally:
+        _NOTED = before
+
+
+def slices(batch: pa.RecordBatch, columns: list[str], rows: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows, and of about ``most_bytes`` in the strings and binaries among ``columns``.
+
+    What a slice holds becomes Python objects at once, so long texts must not meet in one.
+    """
+    size = np.zeros(batch.num_rows, np.int64)
+    for name in columns:
+        values = batch.column(name)
+        if pa.types.is_string(values.type) or pa.types.is_binary(values.type) or pa.types.is_large_string(values.type):
+            size += pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False)
+    upto, lo = np.cumsum(size), 0
+    while lo < batch.num_rows:
+        before = upto[lo - 1] if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(upto, before + most_bytes, side="right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def stored(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
@@ -80,9 +119,8 @@ def per_batch(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict]], sc
 
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            # A few rows at a time: texts may be long, and what is made from them is held in Python.
-            for lo in range(0, batch.num_rows, 2000):
-                for out in fn(batch.slice(lo, 2000).to_pydict()):
+            for part in slices(batch, batch.schema.names, 2000):
+                for out in fn(part.to_pydict()):
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
@@ -103,8 +141,7 @@ def with_columns(df: DataFrame, inputs: list[str], fn: Callable[..., dict[str, l
 
         fresh = to_arrow_schema(made)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in slices(batch, inputs, 500):
                 out = fn(*[part.column(c).to_pylist() for c in inputs])
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *[pa.array(out[f.name], f.type) for f in fresh]], names=[*keep, *fresh.names])
 
