@@ -1,5 +1,7 @@
 """The pipeline, stage by stage, against plain loops."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from docloom.llm import base, secrets, suffix_dedup, toxicity
 from tests.llm.test_ngram_join import brute as brute_join
@@ -74,6 +76,29 @@ def test_odd_documents_pass_through(spark):
     assert sorted(r.doc_id for r in docs.collect()) == [1, 2, 3]
 
 
+def test_clashing_columns_pass_through(spark):
+    """Extra columns named like helper columns of the operators, like results, and with a dot."""
+    names = ["score", "clauses", "base", "live", "found", "spans", "kept", "touched", "_key", "_rest", "a.b", "component", "doc", "_text", "print"]
+    docs = base.table(spark, SF, "documents").where("doc_id < 60").select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = base.stored(stage(spark, docs, SF), "t")
+        rows = docs.collect()
+        assert docs.columns[5:] == names and rows, name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert {r.doc_id for r in last.collect()} == {r.doc_id for r in rows}
+
+
+def test_work_tables_go_when_the_next_stage_begins(spark):
+    docs = base.table(spark, SF, "documents").where("doc_id < 30")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = base.stored(stage(spark, docs, SF), "t")
+    left = dict(corpus_pipeline._LEFT)
+    assert list(left) == ["drop_near_copies"] and any(base.exists(spark, p) for p in left["drop_near_copies"])
+    base.stored(corpus_pipeline.STAGES[2][1](spark, docs, SF), "t")
+    assert not any(base.exists(spark, p) for p in left["drop_near_copies"]) and docs.count() > 0
+
+
 def test_registered(spark):
     import __spark_entry__ as entry
 
