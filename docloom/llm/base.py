@@ -99,11 +99,15 @@ class Remembered(dict):
 
     def __missing__(self, piece):
         value = self.old[piece] if piece in self.old else self.work(piece)
+        self.bound()
+        self[piece] = value
+        return value
+
+    def bound(self) -> None:
+        """A full memory becomes the old generation. To be called after entries were put in directly."""
         if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()
-        self[piece] = value
-        return value
 
 
 def per_batch(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict]], schema) -> DataFrame:

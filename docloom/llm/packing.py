@@ -15,6 +15,8 @@ from docloom.functions.ordered import sliced_row_number
 from docloom.llm import base
 
 _MARKS = b".,;:!?"
+#: Words that one worker remembers before it starts anew; those in use stay for one more turn.
+WORDS = 250_000
 PIECES = "piece INT, start LONG, length LONG, ids_crc32 LONG"
 
 
@@ -50,7 +52,7 @@ def _encoder(path: str):
         coded = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in coded]
 
-    words = base.Remembered(lambda word: b"".join(ask(simpler(word))))
+    words = base.Remembered(lambda word: b"".join(ask(simpler(word))), WORDS)
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
@@ -60,6 +62,7 @@ def _encoder(path: str):
         words.update(known)
         for w, ps in fresh.items():
             words[w] = b"".join(known[p] if p in known else words[p] for p in ps)
+        words.bound()
         return [b"".join(map(words.__getitem__, ws)) for ws in split]
 
     return encode
