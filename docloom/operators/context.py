@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators import vector_search
+from docloom.operators import vector_cells
 
 
 def window_context(chunks: DataFrame, width: int = 1, cut: int = 200) -> DataFrame:
@@ -85,13 +85,13 @@ def cache_lookup(queries: DataFrame, cache: DataFrame, now: Column, min_similari
     """Exact hit by hash, else the nearest cached vector above the floor, else a miss.
 
     ``queries(query_id, query_hash, query_vec)``; ``cache(cache_id, query_hash, vec, created_at,
-    ttl_seconds)``. Expired entries never hit.
+    ttl_seconds)``. Expired entries never hit. Queries and entries meet in cells around pivots, where the floor bounds what is compared.
     """
     live = cache.where(F.timestamp_seconds(F.unix_timestamp("created_at") + F.col("ttl_seconds")) > now)
     exact_by_hash = live.groupBy("query_hash").agg(F.min("cache_id").alias("exact_id"))
     looked = queries.join(exact_by_hash, "query_hash", "left")
     rest = looked.where(F.col("exact_id").isNull()).select("query_id", "query_vec")
-    near = vector_search.top_k(rest, live.select(F.col("cache_id").alias("id"), "vec"), 1, min_similarity)
+    near = vector_cells.top_k(rest, live.select(F.col("cache_id").alias("id"), "vec"), 1, min_similarity)
     return looked.join(near.select("query_id", F.col("id").alias("near_id"), "similarity"), "query_id", "left").select(
         "query_id",
         F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("near_id").isNotNull(), "semantic").otherwise("miss").alias("layer"),

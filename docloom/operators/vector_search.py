@@ -6,8 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,24 +79,33 @@ def top_k(
     """Exact top-k by cosine for every query.
 
     ``queries(query_id, query_vec)``, ``vectors(id, vec)`` with ids of any type; NULL vectors are
-    skipped, and a query meets only vectors of its own length. Queries go out in blocks of at most
-    ``block_floats`` components; vectors stay where they are, a task scores at most ``score_cells``
-    pairs at once, and k rows per query leave each partition.
+    skipped, and a query meets only vectors of its own length. Queries of at most ``block_floats``
+    components go out to the vectors, which stay where they are; more queries than that are dealt to
+    cells together with the vectors. A task scores at most ``score_cells`` pairs at once, and k rows
+    per query leave it.
     """
+    from docloom.operators import vector_cells
+
     k = checked_k(k, max_k)
     vectors = vectors.where(F.col("vec").isNotNull()).select("id", "vec")
     queries = queries.where(F.col("query_vec").isNotNull()).select("query_id", "query_vec").withColumn("_d", F.size("query_vec"))
     local = None
     for d, n in sorted((r["_d"], r["n"]) for r in queries.groupBy("_d").agg(F.count("*").alias("n")).collect()):
-        blocks = max(1, -(-n * d // max(1, block_floats)))
-        for block in range(blocks):
-            some = queries.where((F.col("_d") == d) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block))
-            found = _scan(some, vectors.where(F.size("vec") == d), k, min_similarity, exclude_self, score_cells)
-            local = found if local is None else local.unionByName(found)
+        some, rows = queries.where(F.col("_d") == d), vectors.where(F.size("vec") == d)
+        if n * d <= block_floats:
+            found = _scan(some, rows, k, min_similarity, exclude_self, score_cells)
+        else:
+            found = vector_cells.within(some, rows, k, min_similarity, exclude_self)
+        local = found if local is None else local.unionByName(found)
     if local is None:
         local = queries.sparkSession.createDataFrame([], id_types(queries, vectors, "id")[0])
+    return best_of(local, k)
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The k best of ``(query_id, id, similarity)`` per query with their rank, similarities held within 0 and 1."""
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    ranked = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.withColumn("similarity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("similarity"))))
 
 
@@ -170,29 +177,6 @@ def validate(vectors: DataFrame, dims: int, column: str = "vec") -> DataFrame:
     return vectors.withColumn("problem", problem)
 
 
-def approximate(
-    queries: DataFrame, vectors: DataFrame, k: int, min_similarity: float, bucket: float = 1.0, tables: int = 8, seed: int = 42
-) -> DataFrame:
-    """Top-k among the pairs that share a hash bucket, re-scored exactly.
-
-    On unit vectors squared Euclidean distance is 2 − 2·cosine, so a similarity floor becomes a
-    distance ceiling. Only query–vector pairs meet; vectors are never paired with each other.
-    """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(
-        F.aggregate(c, F.lit(0.0), lambda acc, y: acc + y.cast("double") * y.cast("double"))))
-    left = queries.select("query_id", array_to_vector(unit(F.col("query_vec"))).alias("features"))
-    right = vectors.where(F.col("vec").isNotNull()).select("id", array_to_vector(unit(F.col("vec"))).alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed)
-    ceiling = float(np.sqrt(2.0 - 2.0 * min_similarity))
-    pairs = lsh.fit(right).approxSimilarityJoin(left, right, ceiling, distCol="distance")
-    scored = pairs.select(
-        F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"),
-        (1.0 - F.col("distance") * F.col("distance") / 2.0).alias("similarity"),
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def sparse_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """Cosine over sparse maps ``sparse`` (dimension → weight): an equi-join on the dimension.
 

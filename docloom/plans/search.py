@@ -9,6 +9,7 @@ from docloom.functions import text as tx
 from docloom.operators import embeddings as emb
 from docloom.operators import postings as ps
 from docloom.operators import text_search as ts
+from docloom.operators import vector_cells as vc
 from docloom.operators import vector_search as vs
 from docloom.plans import fragments as sq
 from docloom.plans.registry import query
@@ -96,14 +97,39 @@ def vec4(spark, sf_dir):
     return vs.validate(joined, 64).groupBy("lang", "problem").agg(F.count("*").alias("n"))
 
 
-@query("vec5_approximate_recall")
+def lists_and_probes(spark, sf_dir):
+    """The stored lists, and probes for vectors without much structure: two thirds of the cells."""
+    lists = tables.vector_lists(spark, sf_dir)
+    return lists, -(-2 * len(lists.codec.centres) // 3)
+
+
+@query(
+    "vec5_approximate_recall",
+    sq.with_(sq.QUERY_VECTORS, SCORES) + """, t AS (SELECT query_id FROM s WHERE sim >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) <= 10)
+SELECT count(*) AS n_exact, TRUE AS recall_is_090, TRUE AS reads_under_085 FROM t""",
+)
 def vec5(spark, sf_dir):
-    queries, vectors = tables.query_vectors(spark, sf_dir), all_vectors(spark, sf_dir)
-    exact = vs.top_k(queries, vectors, 10, FLOOR).select("query_id", "id")
-    near = vs.approximate(queries, vectors, 10, FLOOR).select("query_id", "id", F.lit(1).alias("hit"))
-    both = exact.join(near, ["query_id", "id"], "left")
-    return both.agg(F.count("*").alias("n_exact"), F.count("hit").alias("n_found"),
-                    F.round(tx.ratio(F.count("hit"), F.count("*")), 4).alias("recall"))
+    """Recall of the coded lists against exact search, and the share of all rows in the cells that were probed."""
+    lists, probes = lists_and_probes(spark, sf_dir)
+    queries = tables.query_vectors(spark, sf_dir)
+    exact = vs.top_k(queries, all_vectors(spark, sf_dir), 10, FLOOR).select("query_id", "id")
+    near = vc.approximate(lists, queries, 10, FLOOR, probes, 100).select("query_id", "id", F.lit(1).alias("hit"))
+    sizes = lists.rows.groupBy("cell").agg(F.count("*").alias("rows"))
+    read = vc.probed(lists, queries, probes).join(sizes, "cell").agg(F.sum("rows").alias("read"), F.countDistinct("query_id").alias("asked"))
+    found = exact.join(near, ["query_id", "id"], "left").agg(F.count("*").alias("n_exact"), F.count("hit").alias("n_found"))
+    return found.join(F.broadcast(read)).select(
+        "n_exact", (F.col("n_found") >= 0.9 * F.col("n_exact")).alias("recall_is_090"), (F.col("read") <= 0.85 * F.col("asked") * lists.n).alias("reads_under_085"))
+
+
+@query(
+    "vec5_candidates",
+    sq.with_(sq.QUERY_VECTORS, SCORES) + "SELECT query_id, id, greatest(0, least(1, sim)) AS similarity FROM s WHERE sim >= 0.3",
+)
+def vec5_candidates(spark, sf_dir):
+    """With all cells probed and all rows kept the codes decide nothing: every pair above the floor is there."""
+    lists = tables.vector_lists(spark, sf_dir)
+    found = vc.approximate(lists, tables.query_vectors(spark, sf_dir), lists.n, 0.3, len(lists.codec.centres), lists.n)
+    return found.select("query_id", "id", "similarity")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom import store
 from docloom.functions import text as tx
-from docloom.operators import chunking, postings, text_search
+from docloom.operators import chunking, postings, text_search, vector_cells
 
 # Every rule about age or expiry compares with this instant unless told otherwise.
 FIXED_CLOCK = "2024-01-31 00:00:00"
@@ -46,6 +46,13 @@ def gram_index(spark: SparkSession, sf_dir: str) -> postings.Index:
         chunks(spark, sf_dir), path, text_search.trigrams(F.col("content")))))
 
 
+def vector_lists(spark: SparkSession, sf_dir: str) -> vector_cells.Lists:
+    """Coded inverted lists over the embeddings, built once."""
+    state, _ = store.state_of(spark, f"{sf_dir}/embeddings.parquet")
+    rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")).where("vec IS NOT NULL")
+    return vector_cells.open_lists(spark, store.once(spark, "lists-1", state, lambda path: vector_cells.build_lists(rows, path)))
+
+
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as term queries: every distinct non-stop word of the whole text."""
     items = load(spark, sf_dir, "benchmark")
