@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.functions import stats
+from docloom.functions import sizing, stats
 from docloom.functions import text as tx
 
 METRICS = ["mrr", "ap", "ndcg", "recall", "precision", "hit_rate"]
@@ -25,9 +25,29 @@ def retrieval_metrics(runs: DataFrame, qrels: DataFrame, ks: Sequence[int]) -> D
     """
     truth = qrels.select("query_id", "doc_id").distinct().withColumn("rel", F.lit(True))
     judged = runs.join(truth, ["query_id", "doc_id"], "left")
+    return judged_metrics(judged, truth.groupBy("query_id").agg(F.count("*").alias("n_rel")), ks)
+
+
+def judged_by_label(runs: DataFrame, queries: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``runs`` with ``rel``, and the number of relevant documents per query, where a query's documents are those of its label, itself aside.
+
+    ``queries(query_id, label)`` and ``documents(doc_id, label)``. Only retrieved pairs are judged,
+    by their ids; what else is relevant enters as a count per label, so a label that a third of all
+    documents share is never paired with its queries.
+    """
+    judged = runs.join(queries.select("query_id", F.col("label").alias("_asked")), "query_id").join(documents.select("doc_id", F.col("label").alias("_held")), "doc_id", "left").select(
+        *[F.col(c) for c in runs.columns], ((F.col("_asked") == F.col("_held")) & (F.col("query_id") != F.col("doc_id"))).alias("rel"))
+    sizes = documents.groupBy("label").agg(F.count("*").alias("n"))
+    own = documents.select(F.col("doc_id").alias("query_id"), F.col("label").alias("_own"))
+    wanted = queries.join(sizing.small_side(sizes, sizing.is_small(sizes)), "label").join(own, "query_id", "left").select(
+        "query_id", (F.col("n") - F.coalesce((F.col("_own") == F.col("label")).cast("int"), F.lit(0))).alias("n_rel"))
+    return judged, wanted.where("n_rel > 0")
+
+
+def judged_metrics(judged: DataFrame, wanted: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """As :func:`retrieval_metrics`, from judged runs ``(query_id, doc_id, rank, rel)`` and ``wanted(query_id, n_rel)``."""
     found = judged.groupBy("query_id").agg(
         F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("rel"), F.col("rank")))).alias("at"))
-    wanted = truth.groupBy("query_id").agg(F.count("*").alias("n_rel"))
     both = found.join(wanted, "query_id", "full_outer").select(
         "query_id",
         F.coalesce("n", F.lit(0)).alias("n"),

@@ -14,12 +14,11 @@ from docloom.plans.search import all_vectors
 K = 20
 
 
-def truth(spark, sf_dir):
-    """Relevant for a query: every other vector with the query's label."""
-    vectors = tables.load(spark, sf_dir, "embeddings").select("vec_id", "label")
-    items = tables.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
-    asked = vectors.join(items, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "label")
-    return asked.join(vectors, "label").where(F.col("query_id") != F.col("vec_id")).select("query_id", F.col("vec_id").alias("doc_id"))
+def labels(spark, sf_dir):
+    """Relevant for a query is every other vector with its label: the labels of all queries and of all vectors."""
+    vectors = tables.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    items = tables.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
+    return vectors.join(items, "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "label"), vectors
 
 
 def cosine_run(spark, sf_dir):
@@ -37,7 +36,7 @@ def sign_run(spark, sf_dir):
 
 
 def metrics(spark, sf_dir, run=cosine_run, ks=(5, 10)):
-    return ev.retrieval_metrics(run(spark, sf_dir), truth(spark, sf_dir), ks)
+    return ev.judged_metrics(*ev.judged_by_label(run(spark, sf_dir), *labels(spark, sf_dir)), ks)
 
 
 _SIGN = "list_transform({}, lambda x: CASE WHEN x < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END)"

@@ -236,3 +236,14 @@ def test_cooccurrence_from_seeds_equals_all_pairs(spark):
     inc = spark.createDataFrame(rows, "node_id string, chunk_id long")
     got = {(r.seed_id, r.node_id, r.first_chunk, r.n_chunks) for r in gr.cooccurring(inc, spark.createDataFrame([("x",), ("w",)], "node_id string")).collect()}
     assert got == {("x", "y", 1, 2), ("x", "z", 1, 1)}
+
+
+def test_labels_judge_like_pairs(spark):
+    """Counts per label and judged hits give what all pairs of a label give, also for queries that are no documents."""
+    documents = spark.createDataFrame([(i, i % 3 if i < 30 else None) for i in range(34)], "doc_id long, label int")
+    queries = spark.createDataFrame([(1, 1), (2, 2), (5, 0), (100, 0), (101, 7), (32, None)], "query_id long, label int")
+    runs = spark.createDataFrame([(q, d, r) for q in (1, 2, 5, 100, 101, 32) for r, d in enumerate([q % 34, 4, 7, 3, 6, 99, 32], 1)], "query_id long, doc_id long, rank int")
+    pairs = queries.join(documents, "label").where("query_id <> doc_id").select("query_id", "doc_id")
+    as_set = lambda df: {tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()}
+    want = as_set(ev.retrieval_metrics(runs, pairs, [3, 7]))
+    assert as_set(ev.judged_metrics(*ev.judged_by_label(runs, queries, documents), [3, 7])) == want and len(want) == 12
