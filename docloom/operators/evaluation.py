@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.functions import sizing, stats
+from docloom.functions import selection, sizing, stats
 from docloom.functions import text as tx
 
 METRICS = ["mrr", "ap", "ndcg", "recall", "precision", "hit_rate"]
@@ -83,12 +83,11 @@ def long_metrics(metrics: DataFrame) -> DataFrame:
 
 
 def summarise(values: DataFrame) -> DataFrame:
-    """Mean, median, population deviation, extremes and 95th percentile per metric."""
-    return values.groupBy("metric").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"),
-        F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.percentile("value", F.lit(0.95)).alias("p95"),
-    )
+    """Mean, median, population deviation, extremes and 95th percentile per metric; the quantiles are exact."""
+    plain = values.groupBy("metric").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    exact = selection.quantiles(values, ["metric"], "value", {"median": 0.5, "p95": 0.95})
+    return plain.join(exact, "metric", "left").select("metric", "n", "mean", "median", "std", "min", "max", "p95")
 
 
 def ab_statistics(control: DataFrame, treatment: DataFrame, key: str = "metric") -> DataFrame:

@@ -11,6 +11,7 @@ import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from docloom.session import Rounds, cut_lineage
 
@@ -56,13 +57,20 @@ def merge(nodes: DataFrame, incidence: DataFrame, edges: DataFrame) -> tuple[Dat
 
     ``nodes(graph, id, name, type, confidence, properties)``, ``incidence(id, chunk_id)``,
     ``edges(src, dst, type)``. The node of the earliest graph keeps its id, the highest
-    confidence and the latest properties win, chunks are united, edges follow and are distinct.
+    confidence wins, chunks are united, edges follow and are distinct. Properties that are a map
+    update each other key by key in graph order; of any other type the latest win.
     """
     key = [F.lower("name").alias("key"), "type"]
     order = F.struct("graph", "id")
     merged = nodes.groupBy(*key).agg(
         F.min_by(F.struct("id", "name"), order).alias("kept"), F.max("confidence").alias("confidence"),
         F.max_by("properties", order).alias("properties"), F.count("*").alias("n_merged"))
+    if isinstance(nodes.schema["properties"].dataType, MapType):
+        # One row per node and property before anything is gathered: a name of many graphs holds each property once.
+        newest = nodes.select(*key, order.alias("at"), F.explode("properties").alias("k", "v")).groupBy("key", "type", "k").agg(F.max_by("v", "at").alias("v"))
+        updated = newest.groupBy("key", "type").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("updated"))
+        none = F.create_map().cast(nodes.schema["properties"].dataType)
+        merged = merged.join(updated, ["key", "type"], "left").withColumn("properties", F.coalesce("updated", none)).drop("updated")
     flat = merged.select("kept.id", "kept.name", "type", "confidence", "properties", "n_merged", "key")
     id_map = nodes.select("id", *key).join(flat.select(F.col("id").alias("new_id"), "key", "type"), ["key", "type"]).select("id", "new_id").distinct()
     moved = edges.join(id_map.select(F.col("id").alias("src"), F.col("new_id").alias("s")), "src", "left").join(
@@ -186,13 +194,22 @@ def greedy_modularity(edges: DataFrame, gamma: float = 1.0, max_rounds: int | No
 
 
 def coverage(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Share of edges inside communities, 0 without edges."""
+    """Share of edges inside communities, 0 without edges; for the share of nodes see :func:`detection_summary`."""
     adj = adjacency(edges)
     a, b = labels.select(F.col("id").alias("src"), F.col("label").alias("la")), labels.select(F.col("id").alias("dst"), F.col("label").alias("lb"))
     inside = adj.join(a, "src").join(b, "dst").where(F.col("la") == F.col("lb")).agg(F.count("*").cast("double").alias("n"))
     return inside.select(F.coalesce(F.try_divide("n", adj.agg(F.count("*")).scalar()), F.lit(0.0)).alias("coverage"))
 
 
+def detection_summary(edges: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: communities, nodes assigned to one, their share of all ``nodes(id)`` (0 without nodes), and both modularity scores."""
+    assigned = labels.join(nodes.select("id").distinct(), "id", "left_semi").agg(F.count_distinct("label").alias("communities"), F.count_distinct("id").alias("assigned"))
+    everything = nodes.agg(F.count_distinct("id").alias("n_nodes"))
+    scores = modularity(edges, labels)
+    return assigned.join(F.broadcast(everything)).join(F.broadcast(scores)).select(  # three tables of one row
+        "communities", "assigned", (F.col("assigned") / F.greatest(F.col("n_nodes"), F.lit(1))).alias("coverage"), "edge_only", "standard")
+
+
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Both scores of a labelling: ``edge_only`` counts the null term on adjacent pairs only,
     ``standard`` on all pairs of a community."""
@@ -377,7 +394,7 @@ def related_triples(triples: DataFrame, entities: DataFrame) -> DataFrame:
 def search(nodes: DataFrame, edges: DataFrame, text: str, kind: str = "content", limit: int = 10) -> DataFrame:
     """Chunks by content, chunks by entity name, or documents by metadata: substring search.
 
-    ``nodes(id, label, content)``, ``edges(src, dst, type)``; ids decide which ``limit`` rows are kept.
+    ``nodes(id, label, content, metadata)``, ``edges(src, dst, type)``; ids decide which ``limit`` rows are kept.
     """
     hit = F.contains("content", F.lit(text))
     if kind == "content":
@@ -386,5 +403,5 @@ def search(nodes: DataFrame, edges: DataFrame, text: str, kind: str = "content",
         named = nodes.where((F.col("label") == "Entity") & hit).select(F.col("id").alias("dst"), F.col("content").alias("entity"))
         found = edges.where(F.col("type") == "CONTAINS_ENTITY").join(named, "dst").select(F.col("src").alias("id"), "entity").distinct()
     else:
-        found = nodes.where((F.col("label") == "Document") & hit).select("id", F.lit(None).cast("string").alias("entity"))
+        found = nodes.where((F.col("label") == "Document") & F.contains("metadata", F.lit(text))).select("id", F.lit(None).cast("string").alias("entity"))
     return found.orderBy("id", "entity").limit(limit)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions import ordered
+from docloom.functions import ordered, selection
 from docloom.functions import text as tx
 from docloom.operators.context import page
 
@@ -246,22 +246,28 @@ def recommend_parser(requests: DataFrame, history: DataFrame) -> DataFrame:
         F.when(F.col("n").isNull(), 0.7).otherwise(F.least(F.lit(0.95), 0.5 + F.col("n") / 100 * 0.45)).alias("confidence"))
 
 
+# File types that are hard to read.
 HARD_FORMATS = ("tiff", "bmp", "gif", "zip")
 
 
 def tune_thresholds(history: DataFrame, base: float = 0.7) -> DataFrame:
-    """Per content type: the tuned threshold (five samples or more) and the blended one."""
-    s = history.groupBy("content_type").agg(F.count("*").alias("n"), F.avg("quality").alias("mean_quality"))
+    """Per content and file type: the content type's tuned threshold (five samples or more) and the blended one, lower for hard file types."""
+    types = history.groupBy("content_type", "file_type").agg(F.count("*").alias("n"), F.sum("quality").alias("quality"))
+    s = types.groupBy("content_type").agg(F.sum("n").alias("n"), (F.sum("quality") / F.sum("n")).alias("mean_quality"))
     tuned = F.when(F.col("n") >= 5, tx.clamp(F.col("mean_quality") * 0.9, 0.5, 0.9))
     blended = F.when(F.col("n") > 10, base * 0.7 + F.col("mean_quality") * 0.3).otherwise(F.lit(base))
-    hard = F.lower("content_type").isin(*HARD_FORMATS)
-    return s.select("content_type", "n", tuned.alias("tuned"), tx.clamp(F.when(hard, blended * 0.9).otherwise(blended), 0.5, 0.95).alias("adaptive"))
+    hard = F.lower("file_type").isin(*HARD_FORMATS)
+    return types.select("content_type", "file_type").join(s, "content_type").select(
+        "content_type", "file_type", "n", tuned.alias("tuned"), tx.clamp(F.when(hard, blended * 0.9).otherwise(blended), 0.5, 0.95).alias("adaptive"))
 
 
 def score_history_threshold(scores: DataFrame, group: str, value: str, target: float = 0.95, passing: float = 0.7) -> DataFrame:
     """Below the target pass rate the score at index int(n·target), else max(.7, .9·mean)."""
     s = scores.groupBy(group).agg(F.avg(value).alias("mean"), F.avg((F.col(value) >= passing).cast("double")).alias("pass_rate"))
-    at = ordered.order_statistic(scores, [group], value, F.floor(F.col("n") * target).cast("long"))
+    counts = scores.groupBy(group).agg(F.count(value).alias("n"))
+    index = F.least(F.floor(F.col("n") * target).cast("long"), F.col("n") - 1)
+    picked = selection.at_indexes(scores, [group], value, counts.where("n > 0").select(group, index.alias("index")))
+    at = counts.join(picked.select(group, F.col("value").alias("picked")), group)
     chosen = F.when(F.col("pass_rate") < target, F.col("picked")).otherwise(F.greatest(F.lit(0.7), F.col("mean") * 0.9))
     return s.join(at, group).select(group, "n", "mean", "pass_rate", F.round(tx.clamp(chosen, 0.5, 0.95), 2).alias("threshold"))
 
@@ -271,6 +277,13 @@ def failure_patterns(history: DataFrame) -> DataFrame:
     return counts_by_each(history.where(~F.col("success")), ["parser", "content_type", "error_type"])
 
 
+def common_errors(history: DataFrame, most: int = 5) -> DataFrame:
+    """The commonest error types of failures with their rank, the first by name on ties; failures without a type are left out."""
+    counts = history.where(~F.col("success") & F.col("error_type").isNotNull() & (F.col("error_type") != "")).groupBy("error_type").agg(F.count("*").alias("n"))
+    best = counts.orderBy(F.desc("n"), "error_type").limit(most)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "error_type")))  # at most `most` rows
+
+
 def recent_failures(history: DataFrame, now: Column, hours: int, limit: int) -> DataFrame:
     since = now - F.make_dt_interval(hours=F.lit(hours))
     return history.where(~F.col("success") & (F.col("timestamp") >= since)).orderBy(F.desc("timestamp"), "id").limit(limit)

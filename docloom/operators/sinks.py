@@ -141,21 +141,21 @@ def property_graph(chunks: DataFrame, documents: DataFrame, entity_fields: Seque
                    max_content: int | None = None, max_name: int | None = None, entity_chunks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Node and edge tables for a property graph store.
 
-    Documents, their chunks, ``HAS_CHUNK`` and ``NEXT_CHUNK`` edges, and for the first
+    Documents, with their other columns as JSON in ``metadata``, their chunks, ``HAS_CHUNK`` and ``NEXT_CHUNK`` edges, and for the first
     ``entity_chunks`` chunks the entities named in the document's metadata fields. Texts and names
     are whole and all chunks get entities unless the limits say otherwise.
     """
     cut = lambda c, most: c if most is None else F.left(c, F.lit(most))
     cid = lambda i: F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), i.cast("string"))
     own = cid(F.col("chunk_index"))
-    doc_nodes = documents.select(F.col("doc_id").cast("string").alias("id"), F.lit("Document").alias("label"), F.lit(None).cast("string").alias("content"))
+    doc_nodes = documents.select(F.col("doc_id").cast("string").alias("id"), F.lit("Document").alias("label"), F.lit(None).cast("string").alias("content"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "doc_id"])).alias("metadata"))
     chunk_nodes = chunks.select(own.alias("id"), F.lit("Chunk").alias("label"), cut(F.col("content"), max_content).alias("content"))
     present = [f for f in entity_fields if f in documents.columns]
     named = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("kind"), cut(F.col(f).cast("string"), max_name).alias("name"))) for f in present]))
     about = documents.select("doc_id", F.explode(named).alias("e"))
     entities = (chunks if entity_chunks is None else chunks.where(F.col("chunk_index") < entity_chunks)).select("doc_id", own.alias("chunk")).join(about, "doc_id").select(
         "chunk", F.concat(F.col("chunk"), F.lit("_ent_"), F.col("e.kind")).alias("id"), F.col("e.name").alias("name"))
-    nodes = doc_nodes.unionByName(chunk_nodes).unionByName(entities.select("id", F.lit("Entity").alias("label"), F.col("name").alias("content")))
+    nodes = doc_nodes.unionByName(chunk_nodes, allowMissingColumns=True).unionByName(entities.select("id", F.lit("Entity").alias("label"), F.col("name").alias("content")), allowMissingColumns=True)
     following = F.lead("chunk_index").over(Window.partitionBy("doc_id").orderBy("chunk_index"))
     edge = lambda df, s, d, kind: df.select(s.alias("src"), d.alias("dst"), F.lit(kind).alias("type"))
     edges = (

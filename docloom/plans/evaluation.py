@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom import tables
+from docloom.functions import selection
 from docloom.operators import evaluation as ev
 from docloom.operators import vector_search as vs
 from docloom.plans import fragments as sq
@@ -201,8 +202,8 @@ def evl11(spark, sf_dir):
     means = ev.long_metrics(metrics(spark, sf_dir)).groupBy("metric").agg(F.avg("value").alias("value"))
     f1 = ev.token_set_scores(pairs).agg(F.lit("bertscore_f1").alias("metric"), F.avg("f1").alias("value"))
     faith = answer_faithfulness(spark, sf_dir).agg(F.lit("faithfulness").alias("metric"), F.avg("faithfulness").alias("value"))
-    latency = tables.load(spark, sf_dir, "events").agg(
-        F.lit("latency_p95_ms").alias("metric"), F.percentile(F.col("value") * 20, F.lit(0.95)).alias("value"))
+    timed = tables.load(spark, sf_dir, "events").select(F.lit("latency_p95_ms").alias("metric"), (F.col("value") * 20).alias("ms"))
+    latency = selection.quantiles(timed, ["metric"], "ms", {"value": 0.95})
     return rounded(ev.threshold_alerts(means.unionByName(f1).unionByName(faith).unionByName(latency)), "value")
 
 

@@ -78,9 +78,11 @@ def grf3(spark, sf_dir):
 
 
 MERGED = MENTIONED + """,
-gn AS (SELECT CASE WHEN lang = 'en' THEN 1 WHEN lang = 'de' THEN 2 ELSE 3 END AS graph, lang || ':' || i.entity_text AS id, i.entity_text AS name, entity_type AS type, max(0.5 + 0.1 * CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 ELSE 3 END) AS confidence, lang AS properties
+gn AS (SELECT CASE WHEN lang = 'en' THEN 1 WHEN lang = 'de' THEN 2 ELSE 3 END AS graph, lang || ':' || i.entity_text AS id, i.entity_text AS name, entity_type AS type, max(0.5 + 0.1 * CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 ELSE 3 END) AS confidence, lang
   FROM ids i JOIN documents d ON d.doc_id = i.doc_id GROUP BY ALL),
-mn AS (SELECT lower(name) AS key, type, arg_min(id, (graph, id)) AS id, max(confidence)::DOUBLE AS confidence, arg_max(properties, (graph, id)) AS properties, count(*) AS n_merged FROM gn GROUP BY 1, 2),
+pr AS (SELECT lower(name) AS key, type, k, arg_max(v, (graph, id)) AS v FROM (SELECT *, unnest(['lang', 'from_' || lang]) AS k, unnest([lang, name]) AS v FROM gn) GROUP BY 1, 2, 3),
+pm AS (SELECT key, type, string_agg(k || '=' || v, ';' ORDER BY k) AS properties FROM pr GROUP BY 1, 2),
+mn AS (SELECT lower(name) AS key, type, arg_min(id, (graph, id)) AS id, max(confidence)::DOUBLE AS confidence, count(*) AS n_merged FROM gn GROUP BY 1, 2),
 im AS (SELECT DISTINCT g.id, m.id AS new_id FROM gn g JOIN mn m ON lower(g.name) = m.key AND g.type = m.type)"""
 
 
@@ -90,15 +92,18 @@ def labelled_graphs(spark, sf_dir):
     m = mentioned(spark, sf_dir).join(docs, "doc_id").withColumn("id", F.concat("lang", F.lit(":"), "entity_text"))
     number = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "de", 2).otherwise(3)
     nodes = m.select(number.alias("graph"), "id", F.col("entity_text").alias("name"), F.col("entity_type").alias("type"),
-                     F.round(0.5 + 0.1 * number, 1).alias("confidence"), F.col("lang").alias("properties")).distinct()
+                     F.round(0.5 + 0.1 * number, 1).alias("confidence"), "lang").distinct()
+    nodes = nodes.withColumn("properties", F.create_map(F.lit("lang"), F.col("lang"), F.concat(F.lit("from_"), F.col("lang")), F.col("name"))).drop("lang")
     chunk = F.concat(F.lit("chunk_"), F.col("chunk_id").cast("string"))
     edges = m.select(F.col("id").alias("src"), chunk.alias("dst"), F.lit("appears_in").alias("type")).distinct()
     return nodes, m.select("id", "chunk_id").distinct(), edges
 
 
-@query("grf4_merged_nodes", MERGED + " SELECT id, type, round(confidence, 1) AS confidence, properties, n_merged FROM mn")
+@query("grf4_merged_nodes", MERGED + " SELECT id, mn.type, round(confidence, 1) AS confidence, properties, n_merged FROM mn JOIN pm ON pm.key = mn.key AND pm.type = mn.type")
 def grf4_nodes(spark, sf_dir):
-    return gr.merge(*labelled_graphs(spark, sf_dir))[0].drop("name")
+    merged = gr.merge(*labelled_graphs(spark, sf_dir))[0].drop("name")
+    listed = F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return merged.withColumn("properties", F.array_join(listed, ";"))
 
 
 @query(
@@ -243,6 +248,25 @@ def grf11_coverage(spark, sf_dir):
     return rounded(gr.coverage(simple_edges(spark, sf_dir), grouped(spark, sf_dir).select("id", "label")), "coverage", digits=9)
 
 
+@query(
+    "grf11_detection_summary",
+    GROUPED + """,
+al AS (SELECT 'C' || c_custkey AS id FROM customer UNION ALL SELECT 'S' || s_suppkey FROM supplier UNION ALL SELECT 'P' || p_partkey FROM part UNION ALL SELECT 'N' || n_nationkey FROM nation),
+lb2 AS (SELECT * FROM lb WHERE id IN (SELECT src FROM adj)),
+d AS (SELECT src, count(*) AS d FROM adj GROUP BY 1), t AS (SELECT sum(d)::DOUBLE AS two_m FROM d),
+s AS (SELECT count(*)::DOUBLE AS inside, sum((da.d * db.d)::DOUBLE) AS prod FROM adj JOIN lb2 a ON a.id = adj.src JOIN lb2 b ON b.id = adj.dst JOIN d da ON da.src = adj.src JOIN d db ON db.src = adj.dst WHERE a.label = b.label),
+k AS (SELECT sum(k * k) AS k2 FROM (SELECT sum(d)::DOUBLE AS k FROM lb2 JOIN d ON d.src = id GROUP BY label))
+SELECT (SELECT count(DISTINCT label) FROM lb2) AS communities, (SELECT count(*) FROM lb2) AS assigned, round((SELECT count(*) FROM lb2) / (SELECT count(*) FROM al), 9) AS coverage,
+  round((inside - prod / two_m) / two_m, 9) AS edge_only, round(inside / two_m - k2 / (two_m * two_m), 9) AS standard FROM s, k, t""",
+)
+def grf11_summary(spark, sf_dir):
+    """Nodes with an edge have a community; nations are nodes without any."""
+    edges, labels = simple_edges(spark, sf_dir), grouped(spark, sf_dir)
+    connected = labels.join(gr.both_ways(edges).select(F.col("src").alias("id")).distinct(), "id", "left_semi").select("id", "label")
+    nations = tables.load(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("id"))
+    return rounded(gr.detection_summary(edges, connected, labels.select("id").unionByName(nations)), "coverage", "edge_only", "standard", digits=9)
+
+
 @query("grf12_multi_level")
 def grf12(spark, sf_dir):
     return gr.multi_level(simple_edges(spark, sf_dir), 2).groupBy("level", "label").agg(F.count("*").alias("size"))
@@ -380,11 +404,13 @@ def grf16_triples(spark, sf_dir):
     PROPERTY + """,
 ch AS (SELECT doc_id || '_chunk_' || chunk_index AS id, content, source, lang, chunk_index FROM chunks),
 a AS (SELECT 'content' AS kind, id, NULL AS entity FROM ch WHERE contains(content, 'tion') ORDER BY id LIMIT 10),
-b AS (SELECT 'entity' AS kind, id, source AS entity FROM ch WHERE contains(source, 'src1') AND chunk_index < 3 ORDER BY id, entity LIMIT 10)
-SELECT * FROM a UNION ALL SELECT * FROM b""",
+b AS (SELECT 'entity' AS kind, id, source AS entity FROM ch WHERE contains(source, 'src1') AND chunk_index < 3 ORDER BY id, entity LIMIT 10),
+c AS (SELECT 'document' AS kind, doc_id::VARCHAR AS id, NULL AS entity FROM documents WHERE source = 'src1' AND lang = 'fr' ORDER BY id LIMIT 10)
+SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""",
 )
 def txt7(spark, sf_dir):
     nodes, edges = exported_graph(spark, sf_dir)
     by_text = gr.search(nodes, edges, "tion", "content", 10).withColumn("kind", F.lit("content"))
     by_name = gr.search(nodes, edges, "src1", "entity", 10).withColumn("kind", F.lit("entity"))
-    return by_text.unionByName(by_name)
+    by_metadata = gr.search(nodes, edges, '"title":"src1","author":"fr"', "document", 10).withColumn("kind", F.lit("document"))
+    return by_text.unionByName(by_name).unionByName(by_metadata)

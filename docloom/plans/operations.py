@@ -260,11 +260,16 @@ def ops14(spark, sf_dir):
 @query(
     "ops15_tuned_thresholds",
     "WITH" + HISTORY + """,
-s AS (SELECT content_type, count(*) AS n, avg(quality) AS m FROM hist GROUP BY 1)
-SELECT content_type, n, round(CASE WHEN n >= 5 THEN greatest(0.5, least(0.9, m * 0.9)) END::DOUBLE, 6) AS tuned, round(greatest(0.5, least(0.95, CASE WHEN n > 10 THEN 0.49 + m * 0.3 ELSE 0.7 END))::DOUBLE, 6) AS adaptive FROM s""",
+h2 AS (SELECT content_type, CASE WHEN file_type = 'Brand#11' THEN 'TIFF' WHEN file_type = 'Brand#22' THEN 'zip' ELSE file_type END AS file_type, quality FROM hist),
+s AS (SELECT content_type, count(*) AS n, avg(quality) AS m FROM h2 GROUP BY 1)
+SELECT content_type, file_type, n, round(CASE WHEN n >= 5 THEN greatest(0.5, least(0.9, m * 0.9)) END::DOUBLE, 6) AS tuned,
+  round(greatest(0.5, least(0.95, CASE WHEN n > 10 THEN 0.49 + m * 0.3 ELSE 0.7 END * CASE WHEN lower(file_type) IN ('tiff', 'zip') THEN 0.9 ELSE 1 END))::DOUBLE, 6) AS adaptive
+FROM (SELECT DISTINCT content_type, file_type FROM h2) JOIN s USING (content_type)""",
 )
 def ops15(spark, sf_dir):
-    return rounded(ops.tune_thresholds(history(spark, sf_dir)), "tuned", "adaptive")
+    """Two brands stand for file types that are hard to read."""
+    kind = F.when(F.col("file_type") == "Brand#11", "TIFF").when(F.col("file_type") == "Brand#22", "zip").otherwise(F.col("file_type"))
+    return rounded(ops.tune_thresholds(history(spark, sf_dir).withColumn("file_type", kind)), "tuned", "adaptive")
 
 
 @query(
@@ -289,6 +294,19 @@ def ops16(spark, sf_dir):
     return ops.failure_patterns(history(spark, sf_dir))
 
 
+@query(
+    "ops16_common_errors",
+    "WITH" + HISTORY + """, f AS (SELECT l_tax, error_type FROM hist JOIN lineitem ON id = l_orderkey * 10 + l_linenumber WHERE NOT success)
+SELECT error_type || '_' || CAST(CAST(l_tax * 100 AS INTEGER) AS VARCHAR) AS error_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, error_type || '_' || CAST(CAST(l_tax * 100 AS INTEGER) AS VARCHAR)) AS rank
+FROM f GROUP BY 1 QUALIFY rank <= 5""",
+)
+def ops16_common(spark, sf_dir):
+    """The five commonest of the finer error types."""
+    tax = tables.load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.round(F.col("l_tax") * 100).cast("int").cast("string").alias("tax"))
+    finer = history(spark, sf_dir).join(tax, "id").withColumn("error_type", F.concat_ws("_", "error_type", "tax"))
+    return ops.common_errors(finer, 5).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(
     "ops16_recent_failures",
     "WITH" + HISTORY + " SELECT id, parser, error_type FROM hist WHERE NOT success AND ts >= TIMESTAMP '2000-01-01 00:00:00' - to_hours(720) ORDER BY ts DESC, id LIMIT 100",
