@@ -8,7 +8,6 @@ from docloom import tables
 from docloom.session import cut_lineage
 from docloom.operators import context as cx
 from docloom.operators import fusion as fu
-from docloom.operators import text_search as ts
 from docloom.operators import vector_search as vs
 from docloom.plans import fragments as sq
 from docloom.plans.chunks import PAGE_MARKDOWN, page_documents
