@@ -145,11 +145,10 @@ def test_redaction():
 def test_secret_query(spark):
     docs = base.table(spark, SF, "documents").select("doc_id", "text", "source").collect()
     rows = queries.QUERIES["op4_owned_secrets"](spark, SF).collect()
-    owners, repositories = defaultdict(set), defaultdict(set)
+    owners = defaultdict(set)
     for d in docs:
         for _, _, _, v in secrets.candidates(d.text or ""):
             owners[v].add(d.source)
-            repositories[v].add((d.source, d.doc_id))
     by_id = {r.doc_id: r for r in rows}
     assert len(rows) == len(docs) == len(by_id)
     for d in docs:
@@ -157,7 +156,7 @@ def test_secret_query(spark):
         r, counts = by_id[d.doc_id], Counter(k for k, _, _ in want)
         assert (r.n_assign, r.n_access, r.n_hex) == (counts["assign"], counts["access"], counts["hex"])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
-        live = [(s, k, e, v) for s, k, e, v in secrets.candidates(d.text or "") if len(owners[v]) <= 1 and len(repositories[v]) <= 2]
+        live = [(s, k, e, v) for s, k, e, v in secrets.candidates(d.text or "") if len(owners[v]) <= 1]
         assert r.n_live == len(live)
         every = sorted([(s, secrets.KINDS.index(k), e) for k, s, e in want] + [(s, k, e) for s, k, e, _ in live if k == 3])
         assert r.spans == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in every)
