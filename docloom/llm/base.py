@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from docloom.session import shared_dir
 
 #: Entries that one worker remembers before it starts its memory of pieces anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 120_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

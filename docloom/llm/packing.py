@@ -16,7 +16,7 @@ from docloom.llm import base
 
 _MARKS = b".,;:!?"
 #: Words that one worker remembers before it starts anew; those in use stay for one more turn.
-WORDS = 250_000
+WORDS = 150_000
 PIECES = "piece INT, start LONG, length LONG, ids_crc32 LONG"
 
 
