@@ -15,8 +15,8 @@ from docloom.functions.ordered import sliced_row_number
 from docloom.llm import base
 
 _MARKS = b".,;:!?"
-#: Words that one worker remembers before it starts anew; those in use stay for one more turn.
-WORDS = 150_000
+#: Words that one worker remembers before it starts anew.
+WORDS = 800_000
 PIECES = "piece INT, start LONG, length LONG, ids_crc32 LONG"
 
 
@@ -52,17 +52,18 @@ def _encoder(path: str):
         coded = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in coded]
 
-    words = base.Remembered(lambda word: b"".join(ask(simpler(word))), WORDS)
+    words: dict[bytes, bytes] = {}
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
-        fresh = {w: simpler(w) for w in set().union(*split) if w not in words and w not in words.old}
-        parts = list({p for ps in fresh.values() for p in ps if p not in words and p not in words.old})
+        if len(words) >= WORDS:
+            words.clear()
+        fresh = {w: simpler(w) for w in set().union(*split) if w not in words}
+        parts = list({p for ps in fresh.values() for p in ps if p not in words})
         known = dict(zip(parts, ask(parts), strict=True))
         words.update(known)
         for w, ps in fresh.items():
             words[w] = b"".join(known[p] if p in known else words[p] for p in ps)
-        words.bound()
         return [b"".join(map(words.__getitem__, ws)) for ws in split]
 
     return encode
