@@ -14,12 +14,26 @@ from pyspark.sql.types import StructType
 from docloom.functions.ordered import sliced_row_number
 from docloom.llm import base
 
-_MARKS = b".,;:!?"
+#: ASCII marks: the tokenizer takes a run of them as one.
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 #: Words that one worker remembers before it starts anew.
 WORDS = 800_000
+#: Words of letters that go to the tokenizer as one text.
+TOGETHER = 1000
 PIECES = "piece INT, start LONG, length LONG, ids_crc32 LONG"
 
 
+def _letters(word: bytes) -> bool:
+    """Whether the word is letters only, in any case and form the tokenizer may give it.
+
+    Beyond Latin letters, and for the dotted capital I, composing and lower-casing can bring marks in.
+    """
+    if word.isascii():
+        return word.isalpha()
+    text = word.decode()
+    return text.isalpha() and max(text) < "\u0250" and "\u0130" not in text
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str):
     """Texts to their ids, as little-endian 32-bit integers.
@@ -39,31 +53,57 @@ def _encoder(path: str):
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def simpler(word: bytes) -> list[bytes]:
-        """Words that have the same ids one after another: without case, and without a mark at the end."""
-        if word.isascii() and b"<|" not in word:  # names of special tokens stay as they are
-            if word != word.lower():  # the tokenizer lower-cases too
-                return simpler(word.lower())
-            if len(word) > 1 and word[-1:] in _MARKS and word[-2:-1].isalpha():  # a mark after a letter is a token of its own
-                return [word[:-1], word[-1:]]
-        return [word]
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def ask(some: list[bytes]) -> list[bytes]:
+    def alone(some: list[bytes]) -> list[bytes]:
         coded = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in coded]
 
+    def side_by_side(some: list[bytes]) -> list[bytes]:
+        """Words of letters only, encoded as one text: a word is one pre-token, so its last id tells where it ends."""
+        ids = np.array(tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = ((np.flatnonzero(ends_word[ids]) + 1) * 4).tolist()
+        if len(ends) != len(some):
+            return alone(some)
+        coded = ids.tobytes()
+        return [coded[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
+
     words: dict[bytes, bytes] = {}
 
+    def learn(fresh: set[bytes]) -> None:
+        """Put words into the memory, by way of simpler ones that have the same ids one after another.
+
+        The tokenizer lower-cases too, and marks after letters are a token of their own. Names of special
+        tokens stay as they are.
+        """
+        heads, tails, lettered, others = [], [], set(), {b""}
+        for w in fresh:
+            low = w.lower() if b"<|" not in w else w
+            head = low.rstrip(_MARKS)
+            if head and _letters(head):
+                lettered.add(head)
+            else:
+                head = low
+                others.add(head)
+            heads.append(head)
+            tails.append(low[len(head):])
+        others.update(tails)
+        todo = list(lettered.difference(words))
+        known: dict[bytes, bytes] = {}
+        for lo in range(0, len(todo), TOGETHER):
+            known.update(zip(todo[lo:lo + TOGETHER], side_by_side(todo[lo:lo + TOGETHER]), strict=True))
+        todo = list(others.difference(words))
+        known.update(zip(todo, alone(todo), strict=True))
+        words.update(known)
+        words.update(zip(fresh, [words[h] + words[t] for h, t in zip(heads, tails, strict=True)], strict=True))
+
     def encode(texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
         if len(words) >= WORDS:
             words.clear()
-        fresh = {w: simpler(w) for w in set().union(*split) if w not in words}
-        parts = list({p for ps in fresh.values() for p in ps if p not in words})
-        known = dict(zip(parts, ask(parts), strict=True))
-        words.update(known)
-        for w, ps in fresh.items():
-            words[w] = b"".join(known[p] if p in known else words[p] for p in ps)
+        learn(set().union(*split).difference(words))
         return [b"".join(map(words.__getitem__, ws)) for ws in split]
 
     return encode
