@@ -110,6 +110,23 @@ class Remembered(dict):
             self.clear()
 
 
+#: What operators remember in this worker from task to task: the module that does, and how to forget it.
+_FORGET: dict[str, Callable[[], None]] = {}
+
+
+def remembers(module: str, forget: Callable[[], None]) -> None:
+    _FORGET[module] = forget
+
+
+def begin(module: str) -> None:
+    """A task of ``module`` begins in this worker: what others remember is dropped, so that memories do not add up."""
+    others = [m for m in _FORGET if m != module]
+    for m in others:
+        _FORGET.pop(m)()
+    if others:
+        pa.default_memory_pool().release_unused()
+
+
 def per_batch(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict]], schema) -> DataFrame:
     """``fn`` gets the columns of an Arrow batch as lists and yields columns of output rows."""
     from pyspark.sql.types import StructType
@@ -122,6 +139,7 @@ def per_batch(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict]], sc
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
+        begin(fn.__module__)
         for batch in batches:
             for part in slices(batch, batch.schema.names, 2000):
                 for out in fn(part.to_pydict()):
@@ -144,6 +162,7 @@ def with_columns(df: DataFrame, inputs: list[str], fn: Callable[..., dict[str, l
         from pyspark.sql.pandas.types import to_arrow_schema
 
         fresh = to_arrow_schema(made)
+        begin(fn.__module__)
         for batch in batches:
             for part in slices(batch, inputs, 500):
                 out = fn(*[part.column(c).to_pylist() for c in inputs])

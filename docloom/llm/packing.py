@@ -131,6 +131,7 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int, keep: list[str],
 
     def cut(batch):
         encode = _encoder(tokenizer)
+        base.remembers(__name__, _encoder.cache_clear)
         out: dict[str, list] = {name: [] for name in [*keep, "piece", "start", "length", "ids_crc32"]}
         end, step = end_id.to_bytes(4, "little"), capacity * 4
         for i, ids in ((lo + j, ids + end) for lo, some in _by_bytes(batch["_text"]) for j, ids in enumerate(encode(some))):

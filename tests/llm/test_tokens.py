@@ -220,3 +220,23 @@ def test_encoder_memory_is_bounded(monkeypatch):
         assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
         words = next(c.cell_contents for c in encode.__closure__ if isinstance(c.cell_contents, dict))
         assert 0 < len(words) < 300 + 2 * 130
+
+
+def test_letters_side_by_side_have_the_ids_of_the_library():
+    """Case, composed and decomposed letters, marks at ends, contractions and names of special tokens, in one batch."""
+    texts = ["Straße ÉTÉ été İstanbul ıŉǅ ΣΑΣ क़ 가 ſK", "shst### don't rock'n' a'sb we'll,... x_ _x *** <|endoftext|> a<|endoftext|>!! a<| ̸b≯",
+             "", " \t\n", "ªº ① 12a a12 queetión,*** A.B. ÀÁ!?", "\x1cA\x85b\xa0C"]
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    encode = packing._encoder.__wrapped__(P.path("word_bpe_49k.json"))
+    for _ in range(2):  # the second time from memory
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_worker_forgets_what_other_operators_remember():
+    cleared = []
+    base.remembers("one", lambda: cleared.append("one"))
+    base.begin("one")
+    assert cleared == []
+    base.begin("two")
+    base.begin("two")
+    assert cleared == ["one"]
