@@ -144,10 +144,9 @@ def dealt_signatures(df: DataFrame, key: str, text: str, rule: Rule) -> DataFram
     def run(batches):
         ids, seen = base.Remembered(word_hash), base.Remembered(lambda _: False)
         for batch in batches:
-            docs, texts = batch.column("doc").to_pylist(), batch.column("_text")
-            for lo in range(0, len(docs), 500):
+            for part in base.slices(batch, ["_text"], 500):
                 sig, doc, allow = [], [], []
-                for d, t in zip(docs[lo:lo + 500], texts.slice(lo, 500).to_pylist(), strict=True):
+                for d, t in zip(part.column("doc").to_pylist(), part.column("_text").to_pylist(), strict=True):
                     h = shingle_set(t, rule.k, ids)
                     same = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
                     if d is None or seen[same]:
