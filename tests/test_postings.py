@@ -171,3 +171,15 @@ def test_built_once(spark, tmp_path):
         with pytest.raises(RuntimeError):
             store.once(spark, "broken", "state", broken)
     assert len(calls) == 2
+
+
+def test_postings_hold_places_and_are_not_moved_again(made):
+    """Chunk ids and lengths lie in one row per shard, positions in one flat array; tasks grow in number, not in size."""
+    rows, _, index, _, frame = made
+    listed = index.postings.where("shard >= 0").collect()
+    assert sorted(i for r in listed for i in r.ids) == sorted(rows)
+    for r in listed:
+        assert bool(r.ids) == (r.term == ps.ALL) and len(r.ids) == len(r.lens) and len(r.places) == len(r.tfs) and len(r.positions) == sum(r.tfs)
+    got = ps.search(index, frame.select("query_id", "any_of"), "match")
+    assert "positions" not in got._jdf.queryExecution().sparkPlan().toString()
+    assert ps._tasks(10 * ps.TASK_SHARDS, 4) == 10 and ps._tasks(3, 4) == 3
