@@ -26,3 +26,14 @@ def test_converged_forms_rank_by_converged_scores(monkeypatch, name):
     monkeypatch.setattr(plans, "converged_pagerank", asked)
     with pytest.raises(LookupError, match="converged"):
         entry.queries()[name](None, "")
+
+
+def test_scores_take_every_pair_once(spark):
+    """Edges given twice, both ways, as loops or with null ends; a node with two labels counts with both."""
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "b"), ("b", "c"), ("c", "c"), (None, "a"), ("c", "d")], "src STRING, dst STRING")
+    labels = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 2), ("d", 2)], "id STRING, label INT")
+    assert sorted(map(tuple, graph.undirected(edges).collect())) == [("a", "b"), ("b", "c"), ("c", "d")]
+    assert graph.coverage(edges, labels).first()[0] == 1.0  # a-b once, c-d twice, of three pairs
+    assert graph.coverage(edges.limit(0), labels).first()[0] == 0.0
+    scores = graph.modularity(edges, labels).first()
+    assert abs(scores.edge_only - (6 - (2 * 2 + 4 * 2) / 6) / 6) < 1e-12 and abs(scores.standard - (1 - (9 + 16) / 36)) < 1e-12
