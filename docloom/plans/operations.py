@@ -359,7 +359,9 @@ def ops18(spark, sf_dir):
     for segment, names in lists.items():
         types = F.when(F.col("c_mktsegment") == segment, F.array(*[F.lit(n) for n in names])).otherwise(types)
     subs = tables.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subscription_id"), types.alias("event_types"), (F.col("c_acctbal") > 5000).alias("active"))
-    return ops.fan_out(tables.load(spark, sf_dir, "events"), subs).groupBy("subscription_id").agg(F.count("*").alias("n_events"), F.sum("event_id").alias("id_sum"))
+    # Events of a type reach the same subscriptions, so they are added up before they are fanned out and not after.
+    events = tables.load(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    return ops.fan_out(events, subs).groupBy("subscription_id").agg(F.sum("n").alias("n_events"), F.sum("ids").alias("id_sum"))
 
 
 RUNS = "runs AS (SELECT event_type AS stage, ts, event_type <> 'error' OR value < 10 AS success, value / 50 AS seconds FROM events)"
