@@ -66,7 +66,8 @@ def op4_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
                         F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(secrets.all_spans()).alias("spans"),
-                        F.size("live").cast("long").alias("n_live"))
+                        F.size("live").cast("long").alias("n_live"),
+                        F.size(F.filter("repositories", lambda n: n > 1)).cast("long").alias("n_shared"))
 
 
 @query

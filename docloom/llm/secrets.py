@@ -70,39 +70,43 @@ def scan(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     return base.with_columns(df, [text], run, StructType([StructField("found", ArrayType(_SPAN))]), keep)
 
 
-def ownership(scanned: DataFrame, owner: list[str]) -> DataFrame:
-    """hash, owners: over the whole corpus, by how many distinct owners each candidate is held.
+def ownership(scanned: DataFrame, owner: list[str], repository: list[str]) -> DataFrame:
+    """hash, owners, repositories: over the whole corpus, who holds each candidate and in how many places.
 
-    Pairs are made distinct before they are counted, so a value that a third of all rows hold is
-    reduced in every task before it is sent. A null owner is one of its own.
+    A repository belongs to an owner, so the same repository columns under two owners are two. Repositories are
+    counted per owner and then added up over owners, so a value that a third of all rows hold is reduced in every
+    task before it is sent. A null owner or repository is one of its own.
     """
-    pairs = scanned.select(F.to_json(F.struct(*owner)).alias("o"), F.explode("found.hash").alias("hash")).distinct()
-    return pairs.groupBy("hash").agg(F.count("*").alias("owners"))
+    held = scanned.select(F.to_json(F.struct(*owner)).alias("o"), F.to_json(F.struct(*repository)).alias("r"), F.explode("found.hash").alias("hash")).distinct()
+    per_owner = held.groupBy("hash", "o").agg(F.count("*").alias("n"))
+    return per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
 def find(df: DataFrame, keep: list[str], owner: list[str], repository: list[str], text: str = "text") -> DataFrame:
-    """Per row ``keep``, ``base`` and ``live``: arrays of (kind, start, end) by start, then kind.
+    """Per row ``keep``, ``base`` and ``live``: arrays of (kind, start, end) by start, then kind; and ``repositories``.
 
     ``base`` holds every base span. ``live`` holds the candidates of any kind whose value only one
-    owner has: these look live, while a value that many owners have is a copied example. How many of
-    its owner's repositories hold a value decides nothing: an owner's copies do not make an example.
-    ``repository`` is part of the call but no longer counted. An opaque candidate counts as a
-    secret only if it is live. Positions are code points, ends exclusive.
+    owner has: these look live, while a value that many owners have is a copied example.
+    ``repositories`` says for each of ``live`` in how many of its owner's repositories the value lies:
+    beyond one, the owner copied the secret or uses it again. However many there are, an owner's copies do not make an
+    example. An opaque candidate counts as a secret only if it is live. Positions are code points, ends exclusive.
     A null text is empty, repeated rows stay repeated, an empty table gives an empty one.
     """
     # A row number told apart only within this stored table, so rows may repeat.
-    held = list(dict.fromkeys([*keep, *owner]))
+    held = list(dict.fromkeys([*keep, *owner, *repository]))
     scanned = base.stored(scan(df, held, text).withColumn("_row", F.monotonically_increasing_id()), "secrets")
-    live = ownership(scanned.where(F.size("found") > 0), owner).where(F.col("owners") <= OWNERS).select("hash")
+    live = ownership(scanned.where(F.size("found") > 0), owner, repository).where(F.col("owners") <= OWNERS).select("hash", "repositories")
     spans = scanned.where(F.size("found") > 0).select("_row", F.explode("found").alias("s")).select("_row", "s.*")
-    chosen = spans.join(live, "hash", "left_semi").groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("_live"))
+    chosen = spans.join(live, "hash").groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end", "repositories")).alias("_live"))
     order = F.array(*[F.lit(k) for k in KINDS])
-    tidy = F.transform(F.array_sort(F.transform("_live", lambda s: F.struct(s["start"], F.array_position(order, s["kind"]).alias("k"), s["kind"], s["end"]))),
-                       lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    listed = F.array_sort(F.transform("_live", lambda s: F.struct(s["start"], F.array_position(order, s["kind"]).alias("k"), s["kind"], s["end"], s["repositories"])))
+    tidy = F.transform(listed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    places = F.transform(listed, lambda s: s["repositories"])
     rows = scanned.join(chosen, "_row", "left")
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     first = F.transform(F.filter("found", lambda s: s["kind"] != "opaque"), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return rows.select(*keep, first.alias("base"), F.coalesce(tidy, none).alias("live"))
+    return rows.select(*keep, first.alias("base"), F.coalesce(tidy, none).alias("live"),
+                       F.coalesce(places, F.array().cast("array<bigint>")).alias("repositories"))
 
 
 def as_text(spans: Column) -> Column:

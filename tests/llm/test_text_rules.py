@@ -136,6 +136,14 @@ def test_copies_within_one_owner_keep_a_secret_live(spark):
         assert [r.text[s.start:s.end] for s in r.live] == ([value] if r.doc_id < 100 else [])
 
 
+def test_repositories_are_counted_within_their_owner(spark):
+    shared, single, example = "Zx9kQ2mW8vL4pT7nR1yB", "Qw8eR3tY6uI1oP5aS9dF", "Ab1Cd2Ef3Gh4Ij5Kl6Mn7"
+    rows = [(1, f"{single} and {shared}", "s0"), (1, f"again {shared}", "s0"), (2, shared, "s0"), (3, f"{shared} {example}", "s0"), (3, example, "s1"), (None, None, "s1")]
+    found = secrets.find(spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING"), ["text"], ["source"], ["doc_id"]).collect()
+    got = {r.text: [((r.text or "")[s.start:s.end], n) for s, n in zip(r.live, r.repositories, strict=True)] for r in found}
+    assert got == {rows[0][1]: [(single, 1), (shared, 3)], rows[1][1]: [(shared, 3)], shared: [(shared, 3)], rows[3][1]: [(shared, 3)], example: [], None: []}
+
+
 def test_redaction():
     spans = lambda *pairs: [{"start": s, "end": e} for s, e in pairs]
     assert secrets.redact("abcdef", spans((0, 2), (1, 3), (4, 5))) == "[secret]d[secret]f"
