@@ -37,3 +37,15 @@ def test_scores_take_every_pair_once(spark):
     assert graph.coverage(edges.limit(0), labels).first()[0] == 0.0
     scores = graph.modularity(edges, labels).first()
     assert abs(scores.edge_only - (6 - (2 * 2 + 4 * 2) / 6) / 6) < 1e-12 and abs(scores.standard - (1 - (9 + 16) / 36)) < 1e-12
+
+
+def test_triples_of_more_lines_come_from_more_tasks(spark, tmp_path, monkeypatch):
+    lines = [(i % 40, i % 7, i % 3) for i in range(300)]
+    spark.createDataFrame(lines, "l_orderkey LONG, l_partkey LONG, l_suppkey LONG").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i, i % 5) for i in range(40)], "o_orderkey LONG, o_custkey LONG").write.parquet(str(tmp_path / "orders.parquet"))
+    few = sorted(map(tuple, plans.raw_triples(spark, str(tmp_path)).collect()))
+    size = sum(f.stat().st_size for f in (tmp_path / "lineitem.parquet").glob("*.parquet"))
+    monkeypatch.setattr(plans, "LINE_BYTES", size // 10)
+    many = plans.raw_triples(spark, str(tmp_path))
+    assert sorted(map(tuple, many.collect())) == few and len(few) == 600
+    assert many.rdd.getNumPartitions() >= 10
