@@ -138,17 +138,20 @@ def summaries(docs: DataFrame, max_words: int = 100, best: int = 5) -> DataFrame
     """Extractive summary: the best sentences by mean document frequency of their words, in a
     word budget, in text order. Texts of at most three sentences are their own summary.
 
-    Frequencies meet sentences by an equi-join on (document, word).
+    Texts are dealt by document once; words, frequencies and scores are made and stay where their text lies.
     """
     sents = docs.select("doc_id", "text", tx.sentences(F.col("text")).alias("ss"))
     short = sents.where(F.size("ss") <= 3).select("doc_id", F.col("text").alias("summary"), F.size("ss").alias("n_sentences"))
-    rows = sents.where(F.size("ss") > 3).select("doc_id", F.posexplode("ss").alias("pos", "sentence"))
-    toks = rows.select("doc_id", "pos", F.explode(tx.words(F.col("sentence"))).alias("w"))
-    per_sentence = toks.groupBy("doc_id", "pos", "w").agg(F.count("*").alias("n"))
-    freq = per_sentence.where(F.length("w") > 3).groupBy("doc_id", "w").agg(F.sum("n").alias("freq"))
-    scored = per_sentence.join(freq, ["doc_id", "w"], "left").groupBy("doc_id", "pos").agg(
-        (F.sum(F.col("n") * F.coalesce("freq", F.lit(0))) / F.sum("n")).alias("score"))
-    ranked = rows.join(scored, ["doc_id", "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    dealt = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", tx.sentences(F.col("text")).alias("ss")).where(F.size("ss") > 3)
+    rows = dealt.select("doc_id", F.posexplode("ss").alias("pos", "sentence"))
+    # Sentences without words stay as rows of a null word, so the scores of a document are an array by place.
+    per_sentence = rows.select("doc_id", "pos", F.explode_outer(tx.words(F.col("sentence"))).alias("w")).groupBy("doc_id", "pos", "w").agg(F.count("w").alias("n"))
+    freq = F.sum(F.when(F.length("w") > 3, F.col("n")).otherwise(0)).over(Window.partitionBy("doc_id", "w"))
+    scored = per_sentence.withColumn("freq", freq).groupBy("doc_id", "pos").agg(
+        F.coalesce(F.try_divide(F.sum(F.col("n") * F.col("freq")), F.sum("n")), F.lit(0.0)).alias("score"))
+    listed = scored.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "score"))), lambda x: x["score"]).alias("scores"))
+    ranked = dealt.join(listed, "doc_id", "left").select("doc_id", F.posexplode("ss").alias("pos", "sentence"), "scores").select(
+        "doc_id", "pos", "sentence", F.coalesce(F.get("scores", F.col("pos")), F.lit(0.0)).alias("score"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos")
     top = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= best)
     item = F.struct("r", "pos", "sentence", F.size(tx.whitespace_tokens(F.col("sentence"))).alias("words"))
