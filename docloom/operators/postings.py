@@ -4,8 +4,8 @@ Chunks are dealt into shards of bounded size. A row of the postings holds one te
 the chunks that contain it, as places in the shard's list of chunks, the term's count in each and
 its positions, one after the other. One more row per shard lists its chunks and their lengths. Rows lie in
 buckets by term, which are folders, so a search opens the folders of its terms only. A search moves
-these rows and its queries to shards; everything about a chunk is decided in its shard, and at most
-``k`` rows per query leave it. Queries are never collected.
+these rows to shards and its queries to the tasks that take them; everything about a chunk is decided in its
+shard, and at most ``k`` rows per query leave it. Queries are never collected.
 """
 
 from __future__ import annotations
@@ -33,6 +33,10 @@ from docloom.session import shared_dir
 SHARD_CHARS, BUCKET_CHARS, MOST_BUCKETS, CELLS = 1_000_000, 16_000_000, 64, 2_000_000
 #: Shards that one task takes before there are more tasks.
 TASK_SHARDS = 32
+#: Queries that one task holds while its shards go by; more of them are dealt into blocks, and shards go to every block.
+QUERY_BLOCK = 50_000
+#: Queries of which a task makes Python objects at once.
+QUERY_SLICE = 1000
 #: The entry of all chunks of a shard, and of those that a filter lets through. Words are never so spelt.
 ALL, ALLOWED = "", " "
 #: Part of the names of stored indexes: what is written differently needs a new one.
@@ -166,6 +170,33 @@ def open_index(spark: SparkSession, path: str) -> Index:
     return Index(spark, path, totals["n"], totals["avg_len"], totals["shards"], totals["buckets"], totals["all_bucket"])
 
 
+class _Asked:
+    """Queries as Arrow columns; of a slice of them Python objects are made when it is answered."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        self.table = pa.Table.from_batches(batches).combine_chunks()
+        self.ids = self.table["query_id"].combine_chunks()
+        lists = [self.table[c].combine_chunks() for c in CLAUSES]
+        self.bound = sum(np.diff(a.offsets.to_numpy()) for a in lists) > 0
+        if "weights" in self.table.column_names:
+            weights = self.table["weights"].combine_chunks()
+            self.offsets = weights.offsets.to_numpy() - weights.offsets[0].as_py()
+            flat = dict(zip((f.name for f in weights.type.value_type), weights.flatten().flatten(), strict=True))
+            terms = flat["term"].dictionary_encode()
+            self.vocabulary, self.term = terms.dictionary.to_pylist(), terms.indices.to_numpy()
+            if "idf" in flat:
+                self.idf = flat["idf"].to_numpy()
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def rows(self, lo: int, hi: int) -> list[dict]:
+        return self.table.slice(lo, hi - lo).to_pylist()
+
+    def clauses(self, i: int) -> dict:
+        return self.table.select(CLAUSES).slice(i, 1).to_pylist()[0]
+
+
 class _Shard:
     """The posting rows of one shard, as places in its sorted list of chunk ids."""
 
@@ -279,21 +310,19 @@ class _Shard:
         self.x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * self.lens[take] / avg_len))
         self.rows, self.begins = np.unique(self.row, return_index=True)
 
-    def scores(self, weights: list[list[dict]]) -> tuple[np.ndarray, np.ndarray]:
-        """(chunks, their scores for each query of a slice), rounded to seven digits."""
-        w = np.zeros((len(self.code), len(weights)))
-        for j, pairs in enumerate(weights):
-            for pair in pairs:
-                i = self.code.get(pair["term"])
-                if i is not None:
-                    w[i, j] = pair["idf"]
+    def scores(self, asked: _Asked, lo: int, hi: int, code_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(chunks, their scores for the queries ``lo`` to ``hi``), rounded to seven digits; ``code_of`` are the terms' codes here, -1 for none."""
+        w = np.zeros((len(self.code), hi - lo))
+        a, z = asked.offsets[lo], asked.offsets[hi]
+        code, column = code_of[asked.term[a:z]], np.repeat(np.arange(hi - lo), np.diff(asked.offsets[lo:hi + 1]))
+        w[code[code >= 0], column[code >= 0]] = asked.idf[a:z][code >= 0]
         if not len(self.rows):
-            return self.rows, np.zeros((0, len(weights)))
+            return self.rows, np.zeros((0, hi - lo))
         ends, parts = np.append(self.begins[1:], len(self.row)), []
-        for lo in range(0, len(self.rows), ts.SLICE_ROWS):
-            hi = min(lo + ts.SLICE_ROWS, len(self.rows))
-            a, z = self.begins[lo], ends[hi - 1]
-            parts.append(np.add.reduceat(w[self.entry[a:z]] * self.x[a:z, None], self.begins[lo:hi] - a, axis=0))
+        for first in range(0, len(self.rows), ts.SLICE_ROWS):
+            last = min(first + ts.SLICE_ROWS, len(self.rows))
+            a, z = self.begins[first], ends[last - 1]
+            parts.append(np.add.reduceat(w[self.entry[a:z]] * self.x[a:z, None], self.begins[first:last] - a, axis=0))
         return self.rows, np.round(np.concatenate(parts), 7)
 
 
@@ -327,13 +356,17 @@ class _Shard:
 
 
 CLAUSES = ["must", "any_of", "none_of", "phrases"]
+#: In place of a shard's number: a query that is asked of every shard of its task. It sorts before them.
+EVERY_SHARD = -1
+#: What modes need to know of a query's terms.
+WEIGHTS = {"rank": ["term", "idf"], "similar": ["term", "df"], "looked_at": ["term", "df"]}
 
 
 def _answers(mode: str, k: int, k1: float, b: float, avg_len: float, threshold: float, types: tuple[pa.DataType, pa.DataType]) -> Callable:
-    """What a shard task does: posting rows come first, then the queries, a batch at a time."""
+    """What a shard task does: queries of all shards come first and are kept, then of every shard its posting rows and queries of its own."""
 
     def out(query_ids, chunk_ids, scores=None):
-        columns = [pa.array(query_ids, types[0]), pa.array(chunk_ids, types[1])]
+        columns = [query_ids if isinstance(query_ids, pa.Array) else pa.array(query_ids, types[0]), pa.array(chunk_ids, types[1])]
         return pa.RecordBatch.from_arrays([*columns, pa.array(np.zeros(len(query_ids)) if scores is None else scores, pa.float64())], names=["query_id", "chunk_id", "score"])
 
     def answer(shard: _Shard, queries: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -349,42 +382,75 @@ def _answers(mode: str, k: int, k1: float, b: float, avg_len: float, threshold:
                     found, score = found[best], score[best]
                 yield out([q["query_id"]] * len(found), shard.ids[found], score)
             return
-        if mode == "similar" or mode == "looked_at":
-            for q in queries:
-                found, shared, looked_at = shard.shared_terms(q, threshold)
-                if mode == "looked_at":
-                    yield out([q["query_id"]], shard.ids[:1], [float(looked_at)])
-                    continue
-                score = np.round(shared / np.maximum(1, q["size"] + shard.sizes[found] - shared), 9)
-                keep = score >= threshold
-                if shard.allowed is not None or any(q[c] for c in CLAUSES):
-                    keep &= np.isin(found, shard.matches(q))
-                found, score = found[keep], score[keep]
-                best = np.lexsort((found, -score))[:k]
-                if len(best):
-                    yield out([q["query_id"]] * len(best), shard.ids[found[best]], score[best])
-            return
+        for q in queries:
+            found, shared, looked_at = shard.shared_terms(q, threshold)
+            if mode == "looked_at":
+                yield out([q["query_id"]], shard.ids[:1], [float(looked_at)])
+                continue
+            score = np.round(shared / np.maximum(1, q["size"] + shard.sizes[found] - shared), 9)
+            keep = score >= threshold
+            if shard.allowed is not None or any(q[c] for c in CLAUSES):
+                keep &= np.isin(found, shard.matches(q))
+            found, score = found[keep], score[keep]
+            best = np.lexsort((found, -score))[:k]
+            if len(best):
+                yield out([q["query_id"]] * len(best), shard.ids[found[best]], score[best])
+
+    def rank(shard: _Shard, asked: _Asked) -> Iterator[vs.Best]:
+        """The shard's best of every query, slice by slice."""
+        code_of = np.array([shard.code.get(t, -1) for t in asked.vocabulary], np.int64)
         step = max(1, CELLS // max(1, len(shard.ids), len(shard.code)))
-        for lo in range(0, len(queries), step):
-            some = queries[lo:lo + step]
-            rows, scores = shard.scores([q["weights"] for q in some])
+        for lo in range(0, len(asked), step):
+            rows, scores = shard.scores(asked, lo, min(lo + step, len(asked)), code_of)
             able = scores > 0
-            for j, q in enumerate(some):
-                if shard.allowed is not None or any(q[c] for c in CLAUSES):
-                    able[:, j] &= np.isin(rows, shard.matches(q))
+            for j in range(able.shape[1]):
+                if shard.allowed is not None or asked.bound[lo + j]:
+                    able[:, j] &= np.isin(rows, shard.matches(asked.clauses(lo + j)))
             best = vs.Best(k)
-            best.add(scores, shard.ids[rows], able, 0)
+            best.add(scores, shard.ids[rows], able, lo)
             if len(best.query):
-                yield out([some[i]["query_id"] for i in best.query], best.ids, best.score)
+                yield best
+
+    def named(best: vs.Best, asked: _Asked) -> pa.RecordBatch:
+        return out(asked.ids.take(pa.array(best.query)), best.ids, best.score)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_all, everything, tops = [], None, vs.Best(k)
         held, shard, current = [], None, None
+
+        def opened() -> _Shard:
+            made = _Shard(held)
+            if mode in ("rank", "similar", "looked_at"):
+                made.weigh(k1, b, avg_len)
+            return made
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            """The shard that goes by is whole: what is asked of every shard is answered, ranked queries when the task ends."""
+            nonlocal everything
+            if not held or not to_all:
+                return
+            if everything is None:
+                everything = _Asked(to_all)
+            last = opened() if shard is None else shard
+            if mode == "rank":
+                parts = list(rank(last, everything))
+                if parts:
+                    tops.merge(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("query", "ids", "score")))
+                return
+            for lo in range(0, len(everything), QUERY_SLICE):
+                yield from answer(last, everything.rows(lo, min(lo + QUERY_SLICE, len(everything))))
+
         for batch in batches:
             cuts = np.flatnonzero(np.append(True, (np.diff(batch.column("shard").to_numpy()) != 0) | (np.diff(batch.column("asks").to_numpy(zero_copy_only=False).astype(int)) != 0)))
+            asks_of = [c for c in ("query_id", *CLAUSES, "weights", "size") if c in batch.schema.names]
             for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
                 part = batch.slice(lo, hi - lo)
                 number, asks = part.column("shard")[0].as_py(), part.column("asks")[0].as_py()
+                if number == EVERY_SHARD:
+                    to_all.append(part.select(asks_of).take(pa.array(np.arange(hi - lo))))  # a copy, without the columns of postings
+                    continue
                 if number != current:
+                    yield from ended()
                     held, shard, current = [], None, number
                 if not asks:
                     held.append(part)
@@ -392,10 +458,15 @@ def _answers(mode: str, k: int, k1: float, b: float, avg_len: float, threshold:
                 if not held:
                     continue
                 if shard is None:
-                    shard = _Shard(held)
-                    if mode in ("rank", "similar", "looked_at"):
-                        shard.weigh(k1, b, avg_len)
-                yield from answer(shard, part.select(["query_id", *CLAUSES, "weights", "size"]).to_pylist())
+                    shard = opened()
+                some = _Asked([part.select(asks_of)])
+                if mode == "rank":
+                    yield from (named(best, some) for best in rank(shard, some))
+                else:
+                    yield from answer(shard, some.rows(0, len(some)))
+        yield from ended()
+        if len(tops.query):
+            yield named(tops, everything)
 
     return run
 
@@ -425,9 +496,11 @@ def search(index: Index, queries: DataFrame, mode: str, k: int = 10, chunks: Dat
     # Every query with the weights of its terms and, if it requires words, the rarest of them.
     known = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "df", idf.alias("idf"))).alias("known"))
     q = q.withColumn("required", required).join(known, "query_id", "left")
-    weights = F.transform(F.filter("known", lambda t: F.array_contains(F.col("terms"), t["term"])), lambda t: F.struct(t["term"].alias("term"), t["idf"].alias("idf"), t["df"].alias("df")))
+    fields = WEIGHTS.get(mode, [])
+    weights = F.transform(F.filter("known", lambda t: F.array_contains(F.col("terms"), t["term"])), lambda t: F.struct(*[t[c].alias(c) for c in fields or ["term"]]))
+    asking = ["query_id", *CLAUSES, *(["weights"] if fields else []), "size"]
     must = F.filter("known", lambda t: F.array_contains(F.col("required"), t["term"]))
-    q = q.select("query_id", *CLAUSES, F.coalesce(weights, F.array().cast("array<struct<term:string,idf:double,df:bigint>>")).alias("weights"), F.size("terms").alias("size"),
+    q = q.select("query_id", *CLAUSES, F.coalesce(weights, F.array()).alias("weights"), F.size("terms").alias("size"),
                  F.array_min(F.transform(must, lambda t: F.struct(t["df"], t["term"])))["term"].alias("anchor"), F.size("required").alias("needs"),
                  F.coalesce(F.size(must), F.lit(0)).alias("has"))
     q = q.where(F.col("has") >= F.col("needs"))  # a required word that no chunk holds
@@ -436,7 +509,7 @@ def search(index: Index, queries: DataFrame, mode: str, k: int = 10, chunks: Dat
     folders = vocabulary.groupBy("bucket").count().collect()  # at most MOST_BUCKETS numbers of folders
     small = sum(r[1] for r in folders) <= sizing.SMALL_ROWS
     left_out = [] if mode == "cover" or "phrases" in queries.columns else ["positions"]
-    rows = index.postings.where(F.col("bucket").isin(sorted({*(r[0] for r in folders), index.all_bucket})))
+    rows = index.postings.where("shard >= 0").where(F.col("bucket").isin(sorted({*(r[0] for r in folders), index.all_bucket})))
     wanted = rows.join(sizing.small_side(vocabulary.select("term"), small), "term", "left_semi").unionByName(rows.where((F.col("bucket") == index.all_bucket) & (F.col("term") == ALL)))
     columns = ["shard", "term", *[c for c in LISTS if c not in left_out]]
     stream = wanted.select(*columns)
@@ -445,17 +518,20 @@ def search(index: Index, queries: DataFrame, mode: str, k: int = 10, chunks: Dat
         none = F.array().cast("array<int>")
         stream = stream.unionByName(allowed.select("shard", F.lit(ALLOWED).alias("term"), "ids", *[none.alias(c) for c in columns[3:]]))
 
-    # A query goes to the shards that hold its rarest required word; one without such a word to all.
+    # A query goes to the shards that hold its rarest required word; one without such a word to every task, which keeps it for all its shards.
+    tasks = _tasks(index.shards, min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) * 4)  # each gets every query
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    here, every = F.col("shard") % tasks, F.sequence(F.lit(0), F.lit(blocks - 1))
     present = rows.select(F.col("term").alias("anchor"), "shard")
-    to_some = q.where(F.col("needs") > 0).join(present, "anchor")
-    to_all = q.where(F.col("needs") == 0).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(index.shards - 1))))
-    asks = to_some.select("shard", "query_id", *CLAUSES, "weights", "size").unionByName(to_all.select("shard", "query_id", *CLAUSES, "weights", "size"))
-    both = stream.withColumn("asks", F.lit(False)).unionByName(asks.withColumn("asks", F.lit(True)), allowMissingColumns=True)
-    tasks = _tasks(index.shards, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
+    to_some = q.where(F.col("needs") > 0).join(present, "anchor").select("shard", here.alias("task"), *asking)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int") * tasks
+    to_all = q.where(F.col("needs") == 0).select(F.lit(EVERY_SHARD).alias("shard"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(tasks - 1)), lambda t: t + block)).alias("task"), *asking)
+    stream = stream.withColumn("task", here) if blocks == 1 else stream.withColumn("task", F.explode(F.transform(every, lambda i: i * tasks + here)))
+    both = stream.withColumn("asks", F.lit(False)).unionByName(to_some.unionByName(to_all).withColumn("asks", F.lit(True)), allowMissingColumns=True)
     id_types = (queries.schema["query_id"].dataType, index.postings.schema["ids"].dataType.elementType)
     run = _answers(mode, k, k1, b, index.avg_len or 1.0, threshold, tuple(to_arrow_type(t) for t in id_types))
     schema = T.StructType([T.StructField("query_id", id_types[0]), T.StructField("chunk_id", id_types[1]), T.StructField("score", T.DoubleType())])
-    found = both.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "asks").mapInArrow(run, schema)
+    found = both.repartitionById(tasks * blocks, F.col("task")).sortWithinPartitions("shard", "asks").mapInArrow(run, schema)
     return found if mode == "match" else found.where(F.col("score") > 0)
 
 

@@ -43,9 +43,13 @@ class Best:
             shown = np.where(allowed, scores, -np.inf)
             allowed = allowed & (shown >= np.partition(shown, len(scores) - self.k, axis=0)[len(scores) - self.k])
         row, column = np.nonzero(allowed)
-        query = np.concatenate([self.query, column + first_query])
-        found = ids[row] if self.ids is None else np.concatenate([self.ids, ids[row]])
-        score = np.concatenate([self.score, scores[row, column]])
+        self.merge(column + first_query, ids[row], scores[row, column])
+
+    def merge(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """More pairs with their scores; of these and those so far the best stay."""
+        query = np.concatenate([self.query, query])
+        found = ids if self.ids is None else np.concatenate([self.ids, ids])
+        score = np.concatenate([self.score, score])
         rank_of_id = np.unique(found, return_inverse=True)[1]
         order = np.lexsort((rank_of_id, -score, query))
         query = query[order]

@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,25 @@ def test_postings_hold_places_and_are_not_moved_again(made):
     got = ps.search(index, frame.select("query_id", "any_of"), "match")
     assert "positions" not in got._jdf.queryExecution().sparkPlan().toString()
     assert ps._tasks(10 * ps.TASK_SHARDS, 4) == 10 and ps._tasks(3, 4) == 3
+
+
+def test_queries_of_all_shards_move_once_per_task(made, spark, monkeypatch):
+    """A task keeps them for all its shards; with more queries than a task may hold, blocks of them give the same."""
+    rows, _, index, qs, frame = made
+    plain = frame.select("query_id", "any_of", "none_of", "terms")
+    want = {mode: as_lists(ps.ranked(index, plain, 5, mode)) for mode in ("rank", "cover")}
+    matched = sorted(map(tuple, ps.search(index, frame, "match").collect()))
+    monkeypatch.setattr(ps, "QUERY_BLOCK", 9)
+    assert {mode: as_lists(ps.ranked(index, plain, 5, mode)) for mode in ("rank", "cover")} == want and len(want["rank"]) > 30
+    assert sorted(map(tuple, ps.search(index, frame, "match").collect())) == matched
+    monkeypatch.undo()
+
+    def counted(*_):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array(["x"]), pa.array([float(sum(batch.column("asks").to_pylist()))])], names=["query_id", "chunk_id", "score"])
+        return run
+
+    monkeypatch.setattr(ps, "_answers", counted)
+    monkeypatch.setattr(ps, "_tasks", lambda shards, most: 3)
+    assert index.shards > 3 and ps.search(index, plain, "rank").agg(F.sum("score")).first()[0] == 3 * len(qs)
