@@ -205,9 +205,9 @@ class _Shard:
         names = table["term"].to_pylist()
         held = {c: pa.concat_arrays(table[c].chunks) for c in LISTS if c in table.column_names}
         flat = {c: a.flatten().to_numpy(zero_copy_only=False) for c, a in held.items()}
-        offsets = {c: held[c].offsets.to_numpy() - held[c].offsets[0].as_py() for c in ("ids", "places")}
+        offsets = {c: held[c].offsets.to_numpy() - held[c].offsets[0].as_py() for c in ("ids", "lens", "places")}
         whole, chosen = names.index(ALL), names.index(ALLOWED) if ALLOWED in names else None
-        of_row = lambda c, i: flat[c][offsets["ids"][i]:offsets["ids"][i + 1]]
+        of_row = lambda c, i: flat[c][offsets[c][i]:offsets[c][i + 1]]  # noqa: E731  # the row of allowed chunks has ids, but no lens, wherever it comes
         order = np.argsort(of_row("ids", whole), kind="stable")
         self.ids, self.sizes = of_row("ids", whole)[order], of_row("lens", whole)[order]
         self.place = np.searchsorted(self.ids, of_row("ids", whole))[flat["places"]]

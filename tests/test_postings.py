@@ -206,3 +206,14 @@ def test_queries_of_all_shards_move_once_per_task(made, spark, monkeypatch):
     monkeypatch.setattr(ps, "_answers", counted)
     monkeypatch.setattr(ps, "_tasks", lambda shards, most: 3)
     assert index.shards > 3 and ps.search(index, plain, "rank").agg(F.sum("score")).first()[0] == 3 * len(qs)
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2], [2, 0, 1], [2, 1, 0], [1, 2, 0]])
+def test_allowed_chunks_may_come_before_all_chunks(order):
+    """Rows of a shard come in any order; the row of allowed chunks has ids, but no lengths."""
+    rows = [(ps.ALL, [30, 10, 20], [3, 1, 2], [], []), ("b", [], [], [0, 2], [1, 2]), (ps.ALLOWED, [30, 10], [], [], [])]
+    names = ["term", "ids", "lens", "places", "tfs"]
+    kinds = [pa.string(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3]
+    shard = ps._Shard([pa.RecordBatch.from_arrays([pa.array([rows[i][c]], k) for c, k in enumerate(kinds)], names=names) for i in order])
+    assert (shard.ids.tolist(), shard.sizes.tolist(), shard.allowed.tolist()) == ([10, 20, 30], [1, 2, 3], [0, 2])
+    assert (shard.docs("b").tolist(), shard.lens.tolist()) == ([2, 1], [3, 2])
